@@ -53,5 +53,66 @@ ORACLE["eval_rollup"] = ("WITH " + _JUDGED.format(k=10)
                          + f"SELECT batch, {_summary('ap')} FROM pq GROUP BY ROLLUP (batch)")
 
 
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_GOLD = "gold AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+
+ORACLE["gold_pairs_contains"] = "WITH " + _GOLD + " SELECT doc_id, item_id FROM gold"
+ORACLE["pmid_from_url_last"] = "SELECT page_id, string_split(url, '/')[-1] AS pmid FROM pages"
+ORACLE["pmid_from_url_regex"] = ("SELECT page_id, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS pmid "
+                                 "FROM pages")
+ORACLE["corpus_semi"] = ("WITH " + _GOLD + " SELECT doc_id, lang, source, n_chars FROM documents "
+                         "WHERE doc_id IN (SELECT doc_id FROM gold)")
+ORACLE["ingest_anti"] = ("SELECT doc_id, lang FROM documents d "
+                         "WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+ORACLE["found_filter"] = ("WITH " + _GOLD + " SELECT item_id, doc_id FROM gold "
+                          "WHERE doc_id IN (SELECT doc_id FROM labels)")
+ORACLE["docs_per_query"] = ("WITH " + _GOLD + """, per AS (SELECT item_id, count(*) AS n FROM gold GROUP BY item_id)
+SELECT count(*) AS n_questions, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_links,
+       round(CAST(coalesce(sum(n), 0) AS DOUBLE) / count(*), 6) AS docs_per_query
+FROM benchmark b LEFT JOIN per USING (item_id)""")
+ORACLE["distinct_docs"] = ("WITH " + _GOLD
+                           + " SELECT count(*) AS n_links, count(DISTINCT doc_id) AS n_distinct_docs FROM gold")
+ORACLE["dataset_profile"] = """SELECT conv_id, count(*) AS n_queries,
+  count(*) FILTER (WHERE role = 'assistant') AS assistant,
+  count(*) FILTER (WHERE role = 'system') AS system,
+  count(*) FILTER (WHERE role = 'user') AS "user"
+FROM conversations GROUP BY conv_id"""
+ORACLE["null_backfill"] = """SELECT d.doc_id, d.lang, l.quality, l.toxic, l.quality IS NULL AS missing
+FROM documents d LEFT JOIN labels l USING (doc_id)"""
+ORACLE["dup_texts"] = """SELECT doc_id, n_copies FROM (
+  SELECT doc_id, count(*) OVER (PARTITION BY text) AS n_copies FROM documents) WHERE n_copies > 1"""
+ORACLE["first_per_key"] = """SELECT doc_id, lang FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+
+
+def _tokens_cte(source: str = "documents", id_col: str = "doc_id", text: str = "text",
+                name: str = "tk") -> str:
+    from qalake.functions.text import (DEFAULT_STOPWORDS, DIGITS_RE, MIN_TOKEN_LEN, PUNCT_RE,
+                                       TAG_RE, WS_RE)
+    stop = "[" + ", ".join(sql_str(w) for w in DEFAULT_STOPWORDS) + "]"
+    clean = f"lower({text})"
+    clean = f"regexp_replace({clean}, {sql_str(TAG_RE)}, '', 'g')"
+    clean = f"regexp_replace({clean}, {sql_str(PUNCT_RE)}, ' ', 'g')"
+    clean = f"regexp_replace({clean}, {sql_str(WS_RE)}, ' ', 'g')"
+    clean = f"regexp_replace({clean}, {sql_str(DIGITS_RE)}, '', 'g')"
+    return (f"{name} AS (SELECT {id_col}, list_filter(regexp_split_to_array({clean}, {sql_str(WS_RE)}), "
+            f"lambda x: length(x) >= {MIN_TOKEN_LEN} AND NOT list_contains({stop}, x)) AS toks FROM {source})")
+
+
+_TK = _tokens_cte()
+_TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM tk) GROUP BY doc_id, term)"
+
+ORACLE["clean_tokens"] = ("WITH " + _TK + " SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, "
+                          "array_to_string(toks, ' ') AS tokens FROM tk")
+ORACLE["term_stats"] = ("WITH " + _TK + ", " + _TF
+                        + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
+ORACLE["bow"] = ("WITH " + _TK + ", " + _TF + """,
+vocab AS (SELECT DISTINCT term FROM tf WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT doc_id, term, tf FROM tf WHERE term IN (SELECT term FROM vocab)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -11,7 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qalake.functions import ids
+from qalake.operators import dedup as D
 from qalake.operators import metrics as M
+from qalake.operators import prep as P
+from qalake.operators import textops as TXT
 from qalake.plans import standins as S
 from qalake.sources.tables import Tables
 
@@ -55,8 +59,115 @@ def eval_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return M.summarize_rollup(_per_q(spark, sf), "batch")
 
 
-def queries() -> dict[str, QueryFn]:
-    return dict(REGISTRY)
+# ---- slice 2: dataset preparation ------------------------------------------
+@query("gold_pairs_contains")
+def gold_pairs_contains(spark, sf):
+    """Question text occurs in a document (anchored equi join + instr)."""
+    return S.gold_links(Tables(spark, sf))
+
+
+@query("pmid_from_url_last")
+def pmid_from_url_last(spark, sf):
+    """id = last path segment of the link."""
+    return Tables(spark, sf).pages.select("page_id", ids.id_from_url_last("url").alias("pmid"))
+
+
+@query("pmid_from_url_regex")
+def pmid_from_url_regex(spark, sf):
+    """id = first /digits run of the link, null when absent."""
+    return Tables(spark, sf).pages.select("page_id", ids.id_from_url_digits("url").alias("pmid"))
+
+
+@query("corpus_semi")
+def corpus_semi(spark, sf):
+    """Documents referenced by any question."""
+    t = Tables(spark, sf)
+    return P.semi_corpus(t.documents.select("doc_id", "lang", "source", "n_chars"),
+                         S.gold_links(t), key="doc_id")
+
+
+@query("ingest_anti")
+def ingest_anti(spark, sf):
+    """Incoming documents whose key is not stored yet (stored = labelled)."""
+    t = Tables(spark, sf)
+    return P.anti_stored(t.documents.select("doc_id", "lang"), t.labels, key="doc_id")
+
+
+@query("found_filter")
+def found_filter(spark, sf):
+    """A question's documents that exist in the stored corpus."""
+    t = Tables(spark, sf)
+    return P.found_in_corpus(S.gold_links(t), t.labels, key="doc_id").select("item_id", "doc_id")
+
+
+@query("docs_per_query")
+def docs_per_query(spark, sf):
+    """A3: gold documents per question over all questions."""
+    t = Tables(spark, sf)
+    out = P.docs_per_query(t.benchmark.select("item_id"), S.gold_links(t), "item_id")
+    return out.withColumn("docs_per_query", F.round("docs_per_query", 6))
+
+
+@query("distinct_docs")
+def distinct_docs(spark, sf):
+    """A1: distinct documents over all questions' links."""
+    return P.distinct_docs(S.gold_links(Tables(spark, sf)), "doc_id")
 
 
-_ = F
+@query("dataset_profile")
+def dataset_profile(spark, sf):
+    """A4/R2: per conversation (dataset), turns and counts per role (type)."""
+    return P.profile(Tables(spark, sf).conversations, "conv_id", "role",
+                     ["assistant", "system", "user"])
+
+
+@query("null_backfill")
+def null_backfill(spark, sf):
+    """Back-fill quality/toxic by key; rows still missing are flagged."""
+    t = Tables(spark, sf)
+    base = t.documents.select("doc_id", "lang")
+    out = P.backfill(base, t.labels, "doc_id", ["quality", "toxic"])
+    return out.withColumn("missing", F.col("quality").isNull())
+
+
+@query("dup_texts")
+def dup_texts(spark, sf):
+    """Every member of a group of identical texts, with the group size."""
+    return D.flag_duplicates(Tables(spark, sf).documents.select("doc_id", "text"), "text") \
+        .select("doc_id", "n_copies")
+
+
+@query("first_per_key")
+def first_per_key(spark, sf):
+    """First document (lowest doc_id = ingest order) per identical text."""
+    d = Tables(spark, sf).documents.select("doc_id", "lang", "text")
+    return D.first_per_key(d, D.text_key(F.col("text")), "doc_id").select("doc_id", "lang")
+
+
+# ---- slice 3: text -----------------------------------------------------------
+@query("clean_tokens")
+def clean_tokens(spark, sf):
+    """F3 (steps 1-7): cleaned tokens per document."""
+    tk = S.doc_tokens(Tables(spark, sf))
+    return tk.select("doc_id", F.size("toks").alias("n_tokens"),
+                     F.array_join("toks", " ").alias("tokens"))
+
+
+@query("term_stats")
+def term_stats(spark, sf):
+    """Per term, document frequency and collection frequency."""
+    return TXT.term_stats(S.doc_tokens(Tables(spark, sf)))
+
+
+@query("bow")
+def bow(spark, sf):
+    """Vocabulary of the training documents (those with labels), bag
+    of words of every document, unseen terms dropped."""
+    t = Tables(spark, sf)
+    toks = S.doc_tokens(t)
+    train = toks.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    return TXT.bag_of_words(toks, TXT.vocabulary(train))
+
+
+def queries() -> dict[str, QueryFn]:
+    return dict(REGISTRY)

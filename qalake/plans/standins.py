@@ -49,3 +49,16 @@ def embedding_judged(t: Tables, k: int = 10) -> DataFrame:
             .join(label_sizes(t).select(F.col("label").alias("batch"), "label_n"), "batch")
             .withColumn("hit", F.col("batch") == F.col("d_label"))
             .withColumn("n_rel", (F.col("label_n") - 1).cast("long")))
+
+
+def gold_links(t: Tables) -> DataFrame:
+    """(doc_id, item_id): documents containing a question's text."""
+    from qalake.operators.joins import containment_join
+    return containment_join(t.documents, t.benchmark)
+
+
+def doc_tokens(t: Tables, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, toks) with the F3 chain (no stemming)."""
+    from qalake.functions.text import tokens
+    d = docs if docs is not None else t.documents
+    return d.select("doc_id", tokens("text").alias("toks"))
