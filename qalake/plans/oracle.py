@@ -114,5 +114,71 @@ vocab AS (SELECT DISTINCT term FROM tf WHERE doc_id IN (SELECT doc_id FROM label
 SELECT doc_id, term, tf FROM tf WHERE term IN (SELECT term FROM vocab)""")
 
 
+_PREDS = """,
+preds AS (SELECT r.q_id, r.rank, 'label ' || CAST(d.label AS VARCHAR) AS answer
+          FROM ranked r JOIN embeddings d ON d.vec_id = r.doc_id),
+gold AS (SELECT vec_id AS q_id, 'Label ' || CAST(label AS VARCHAR) AS synonym FROM embeddings
+         UNION ALL SELECT vec_id, 'class ' || CAST(label AS VARCHAR) FROM embeddings)
+"""
+
+_POS = "WITH " + _RANKED.format(k=5) + _PREDS + """,
+hit AS (SELECT p.q_id, min(p.rank) AS pos FROM preds p JOIN gold g
+        ON g.q_id = p.q_id AND lower(trim(g.synonym)) = lower(trim(p.answer)) GROUP BY p.q_id),
+pos AS (SELECT e.vec_id AS q_id, e.label AS batch, CAST(coalesce(h.pos, 0) AS INTEGER) AS pos
+        FROM embeddings e LEFT JOIN hit h ON h.q_id = e.vec_id)
+"""
+ORACLE["answer_position"] = _POS + "SELECT q_id, batch, pos FROM pos"
+ORACLE["strict_lenient_mrr"] = _POS + """SELECT batch, count(*) AS n,
+  round(avg(CAST(pos = 1 AS DOUBLE)), 6) AS strict, round(avg(CAST(pos > 0 AS DOUBLE)), 6) AS lenient,
+  round(sum(CASE WHEN pos > 0 THEN 1.0 / pos ELSE 0.0 END) / count(*), 6) AS mrr
+FROM pos GROUP BY batch"""
+
+ORACLE["list_prf"] = "WITH " + _RANKED.format(k=10) + _PREDS + """,
+dp AS (SELECT DISTINCT q_id, answer FROM preds),
+m AS (SELECT dp.q_id, max(CASE WHEN g.q_id IS NOT NULL THEN 1 ELSE 0 END) AS hit
+      FROM dp LEFT JOIN gold g ON g.q_id = dp.q_id AND lower(trim(g.synonym)) = lower(trim(dp.answer))
+      GROUP BY dp.q_id, dp.answer),
+c AS (SELECT q_id, max(hit) AS tp, sum(1 - hit) AS fp, 1 - max(hit) AS fn FROM m GROUP BY q_id),
+pr AS (SELECT q_id, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS p, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS r FROM c),
+prf AS (SELECT q_id, p, r, 2 * p * r / nullif(p + r, 0) AS f FROM pr)
+SELECT e.label AS batch, count(*) AS n, round(avg(p), 6) AS mean_precision, round(avg(r), 6) AS mean_recall,
+       round(avg(f), 6) AS mean_f_measure
+FROM prf JOIN embeddings e ON e.vec_id = prf.q_id GROUP BY e.label"""
+
+ORACLE["answers_dedup"] = "WITH " + _RANKED.format(k=10) + _PREDS + """,
+f AS (SELECT q_id, answer, min(rank) AS fr FROM preds GROUP BY q_id, answer)
+SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY fr) AS INTEGER) AS rank, answer FROM f"""
+
+
+def _squad_tokens(col: str) -> str:
+    from qalake.operators.metrics import ASCII_PUNCT_CLASS, WS_CLASS
+    return (f"list_filter(regexp_split_to_array(regexp_replace(lower({col}), {sql_str(ASCII_PUNCT_CLASS)}, '', 'g'), "
+            f"{sql_str(WS_CLASS + '+')}), lambda x: x <> '' AND x NOT IN ('a', 'an', 'the'))")
+
+
+ORACLE["squad_em_f1"] = f"""WITH pairs AS (
+  SELECT a.conv_id, a.turn, g.turn AS gold_id, a.text AS prediction, g.text AS gold
+  FROM conversations a JOIN conversations g
+    ON g.conv_id = a.conv_id AND g.role = 'user' AND (g.turn = a.turn - 1 OR g.turn = a.turn + 1)
+  WHERE a.role = 'assistant'),
+tok AS (SELECT conv_id, turn, gold_id, {_squad_tokens('prediction')} AS pt, {_squad_tokens('gold')} AS gt FROM pairs),
+lens AS (SELECT conv_id, turn, gold_id, len(pt) AS np, len(gt) AS ng,
+                array_to_string(pt, ' ') = array_to_string(gt, ' ') AS em FROM tok),
+pc AS (SELECT conv_id, turn, gold_id, t, count(*) AS cp FROM (SELECT conv_id, turn, gold_id, unnest(pt) AS t FROM tok) GROUP BY ALL),
+gc AS (SELECT conv_id, turn, gold_id, t, count(*) AS cg FROM (SELECT conv_id, turn, gold_id, unnest(gt) AS t FROM tok) GROUP BY ALL),
+cm AS (SELECT conv_id, turn, gold_id, sum(least(cp, cg)) AS common FROM pc JOIN gc USING (conv_id, turn, gold_id, t) GROUP BY ALL),
+sc AS (SELECT l.*, coalesce(cm.common, 0) AS common FROM lens l LEFT JOIN cm USING (conv_id, turn, gold_id)),
+f AS (SELECT conv_id, turn, CAST(em AS DOUBLE) AS em,
+        CASE WHEN np = 0 OR ng = 0 THEN CAST(np = ng AS DOUBLE) WHEN common = 0 THEN 0.0
+             ELSE 2 * (CAST(common AS DOUBLE) / np) * (CAST(common AS DOUBLE) / ng)
+                  / ((CAST(common AS DOUBLE) / np) + (CAST(common AS DOUBLE) / ng)) END AS f1 FROM sc),
+pt AS (SELECT conv_id, turn, max(em) AS em, max(f1) AS f1 FROM f GROUP BY conv_id, turn)
+SELECT conv_id, count(*) AS n, round(avg(em) * 100, 6) AS exact_match, round(avg(f1) * 100, 6) AS f1
+FROM pt GROUP BY conv_id"""
+
+ORACLE["dup_question_report"] = """SELECT source AS batch, md5(text) AS body_md5, count(*) AS n
+FROM documents GROUP BY source, md5(text) HAVING count(*) > 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalake.functions import ids
+from qalake.operators import answers as A
 from qalake.operators import dedup as D
 from qalake.operators import metrics as M
 from qalake.operators import prep as P
@@ -169,5 +170,60 @@ def bow(spark, sf):
     return TXT.bag_of_words(toks, TXT.vocabulary(train))
 
 
+# ---- slice 4: answer scoring -------------------------------------------------
+@query("answer_position")
+def answer_position(spark, sf):
+    """M5: rank of the first predicted answer matching a gold synonym (0 = none)."""
+    t = Tables(spark, sf)
+    pos = A.answer_positions(S.embedding_predictions(t, 5), S.embedding_gold(t))
+    return pos.join(S.question_batches(t), "qid").select(
+        F.col("qid").alias("q_id"), "batch", "pos")
+
+
+@query("strict_lenient_mrr")
+def strict_lenient_mrr(spark, sf):
+    """Strict / lenient accuracy and MRR per batch."""
+    t = Tables(spark, sf)
+    pos = A.answer_positions(S.embedding_predictions(t, 5), S.embedding_gold(t))
+    return pos.join(S.question_batches(t), "qid").groupBy("batch").agg(*M.factoid_aggs("pos"))
+
+
+@query("list_prf")
+def list_prf(spark, sf):
+    """M6 + A13: list TP/FP/FN -> P/R/F per question, batch means skipping
+    undefined values (Q4)."""
+    t = Tables(spark, sf)
+    preds = A.dedup_predictions(S.embedding_predictions(t, 10))
+    counts = A.list_counts(preds, S.embedding_gold(t))
+    cols = M.list_prf_columns()
+    per_q = counts.select("qid", *[c.alias(n) for n, c in cols.items()])
+    return per_q.join(S.question_batches(t), "qid").groupBy("batch").agg(*M.list_aggs("skip"))
+
+
+@query("answers_dedup")
+def answers_dedup(spark, sf):
+    """Order-preserving, case-sensitive distinct of the ranked answers."""
+    t = Tables(spark, sf)
+    return A.dedup_predictions(S.embedding_predictions(t, 10)).select(
+        F.col("qid").alias("q_id"), "rank", "answer")
+
+
+@query("squad_em_f1")
+def squad_em_f1(spark, sf):
+    """M7 + A21: SQuAD exact match and token F1 (max over golds, mean x 100)."""
+    t = Tables(spark, sf)
+    per_turn = M.squad_scores(S.turn_pairs(t), key=["conv_id", "turn"])
+    return per_turn.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("em") * 100, 6).alias("exact_match"),
+        F.round(F.avg("f1") * 100, 6).alias("f1"))
+
+
+@query("dup_question_report")
+def dup_question_report(spark, sf):
+    """(batch, body) groups present more than once."""
+    return D.duplicate_report(Tables(spark, sf).documents, "source", "text")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

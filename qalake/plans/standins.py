@@ -62,3 +62,43 @@ def doc_tokens(t: Tables, docs: DataFrame | None = None) -> DataFrame:
     from qalake.functions.text import tokens
     d = docs if docs is not None else t.documents
     return d.select("doc_id", tokens("text").alias("toks"))
+
+
+def label_answer(col: str = "label", prefix: str = "label "):
+    return F.concat(F.lit(prefix), F.col(col).cast("string"))
+
+
+def embedding_predictions(t: Tables, k: int) -> DataFrame:
+    """Predicted answers of a question = labels of its top-k neighbours, in
+    rank order (repeats kept): ``(qid, rank, answer)``."""
+    lab = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
+    return (embedding_ranked(t, k).join(lab, "doc_id")
+            .select(F.col("q_id").alias("qid"), "rank", label_answer().alias("answer")))
+
+
+def embedding_gold(t: Tables) -> DataFrame:
+    """Gold answer of a question: one group (its own label) with two
+    synonyms spelled differently from the predictions: ``(qid, grp, synonym)``."""
+    e = t.embeddings
+    a = e.select(F.col("vec_id").alias("qid"), F.lit(0).alias("grp"),
+                 label_answer(prefix="Label ").alias("synonym"))
+    b = e.select(F.col("vec_id").alias("qid"), F.lit(0).alias("grp"),
+                 label_answer(prefix="class ").alias("synonym"))
+    return a.unionByName(b)
+
+
+def question_batches(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("qid"), F.col("label").alias("batch"))
+
+
+def turn_pairs(t: Tables) -> DataFrame:
+    """SQuAD stand-in: an assistant turn is a prediction, the user turns
+    right before and after it are its golds (bounded: at most two)."""
+    c = t.conversations
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.col("text").alias("prediction"))
+    g = c.where(F.col("role") == "user").select(
+        "conv_id", F.col("turn").alias("gold_id"), F.col("text").alias("gold"))
+    before = a.join(g.withColumn("turn", F.col("gold_id") + 1), ["conv_id", "turn"])
+    after = a.join(g.withColumn("turn", F.col("gold_id") - 1), ["conv_id", "turn"])
+    return before.unionByName(after)
