@@ -180,5 +180,95 @@ ORACLE["dup_question_report"] = """SELECT source AS batch, md5(text) AS body_md5
 FROM documents GROUP BY source, md5(text) HAVING count(*) > 1"""
 
 
+def _ws_count(col: str) -> str:
+    from qalake.functions.text import WS_RE
+    return f"len(list_filter(regexp_split_to_array({col}, {sql_str(WS_RE)}), lambda x: x <> ''))"
+
+
+def _squad_ctes() -> str:
+    from qalake.plans.standins import SENTENCE_SPLIT
+    sp = sql_str(SENTENCE_SPLIT)
+    return _GOLD + f""",
+pairs AS (SELECT g.doc_id, g.item_id, d.text AS context, d.source AS title, b.text AS question
+          FROM gold g JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+ans AS (SELECT item_id, unnest(regexp_split_to_array(text, {sp})) AS answer,
+               unnest(generate_series(0, len(regexp_split_to_array(text, {sp})) - 1)) AS answer_idx FROM benchmark),
+j AS (SELECT p.*, a.answer_idx, a.answer, instr(lower(p.context), lower(a.answer)) - 1 AS answer_start
+      FROM pairs p JOIN ans a USING (item_id) WHERE a.answer IS NOT NULL AND a.answer <> ''),
+rows AS (SELECT * FROM j WHERE answer_start >= 0)"""
+
+
+ORACLE["squad_rows"] = "WITH " + _squad_ctes() + """
+SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(item_id AS VARCHAR) AS id, doc_id, item_id, title, question, context,
+       CAST(answer_idx AS INTEGER) AS answer_idx, substr(context, answer_start + 1, length(answer)) AS answer_text,
+       CAST(answer_start AS INTEGER) AS answer_start FROM rows"""
+
+
+def _windows_sql(src: str, key: str, extra: str = "") -> str:
+    return f"""b AS (SELECT {key}, {_ws_count('question')} AS nq, {_ws_count('context')} AS n_tokens{extra} FROM {src}),
+b2 AS (SELECT *, greatest(384 - nq - 3, 129) AS budget FROM b),
+w0 AS (SELECT *, unnest(generate_series(0, greatest(n_tokens - 128, 1) - 1, budget - 128)) AS start_tok FROM b2),
+w AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start_tok) - 1 AS window_idx,
+             least(start_tok + budget, n_tokens) AS end_tok FROM w0)"""
+
+
+ORACLE["token_windows"] = """WITH qa AS (
+  SELECT u.conv_id, u.turn, u.text AS question, a.text AS context FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+""" + _windows_sql("qa", "conv_id, turn") + """
+SELECT conv_id, turn, CAST(nq AS INTEGER) AS nq, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(budget AS INTEGER) AS budget,
+       CAST(window_idx AS INTEGER) AS window_idx, CAST(start_tok AS INTEGER) AS start_tok, CAST(end_tok AS INTEGER) AS end_tok
+FROM w"""
+
+
+def _window_labels_sql() -> str:
+    from qalake.functions.text import WS_CLASS, WS_RE
+    ws, sep = sql_str(WS_RE), sql_str("(" + WS_CLASS + "+)")
+    return "WITH " + _squad_ctes() + ",\n" + _windows_sql(
+        "rows", "doc_id, item_id, answer_idx",
+        ", answer_start AS c, answer_start + length(answer) AS ce") + f""",
+ctx AS (SELECT DISTINCT doc_id, context FROM rows),
+pz AS (SELECT doc_id, unnest(regexp_split_to_array(context, {ws})) AS p, unnest(regexp_extract_all(context, {sep}, 1)) AS sp,
+              unnest(generate_series(0, len(regexp_split_to_array(context, {ws})) - 1)) AS i FROM ctx),
+pz2 AS (SELECT doc_id, i, length(p) AS lp,
+               coalesce(sum(length(p) + coalesce(length(sp), 0)) OVER (PARTITION BY doc_id ORDER BY i
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM pz),
+offs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS tok_idx, s, s + lp AS e
+         FROM pz2 WHERE lp > 0),
+around AS (SELECT b.doc_id, b.item_id, b.answer_idx, max(CASE WHEN o.s <= b.c THEN o.tok_idx END) AS t_c,
+                  min(CASE WHEN o.e >= b.ce THEN o.tok_idx END) AS t_e
+           FROM b JOIN offs o USING (doc_id) GROUP BY ALL),
+lab AS (SELECT w.*, a.t_c, a.t_e, f.s AS ws_s, l.e AS we_e FROM w JOIN around a USING (doc_id, item_id, answer_idx)
+        LEFT JOIN offs f ON f.doc_id = w.doc_id AND f.tok_idx = w.start_tok
+        LEFT JOIN offs l ON l.doc_id = w.doc_id AND l.tok_idx + 1 = w.end_tok)
+SELECT doc_id, item_id, CAST(answer_idx AS INTEGER) AS answer_idx, CAST(window_idx AS INTEGER) AS window_idx,
+       CAST(start_tok AS INTEGER) AS start_tok, CAST(end_tok AS INTEGER) AS end_tok,
+       CAST(CASE WHEN ws_s <= c AND we_e >= ce THEN nq + 2 - start_tok + least(t_c, end_tok - 1) ELSE 0 END AS INTEGER) AS start_position,
+       CAST(CASE WHEN ws_s <= c AND we_e >= ce THEN nq + 2 - start_tok + greatest(t_e, start_tok) ELSE 0 END AS INTEGER) AS end_position
+FROM lab"""
+
+
+ORACLE["window_labels"] = _window_labels_sql()
+
+_SPANS = """l AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS s, list_reverse(CAST(embedding AS DOUBLE[])) AS e FROM embeddings),
+sx AS (SELECT vec_id, unnest(s) AS logit, unnest(generate_series(0, len(s) - 1)) AS idx FROM l),
+ex AS (SELECT vec_id, unnest(e) AS logit, unnest(generate_series(0, len(e) - 1)) AS idx FROM l),
+sb AS (SELECT * FROM sx WHERE idx >= 1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, idx) <= 20),
+eb AS (SELECT * FROM ex WHERE idx >= 1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, idx) <= 20),
+c AS (SELECT sb.vec_id, sb.idx AS i, eb.idx AS j, sb.logit + eb.logit AS score FROM sb JOIN eb
+      ON sb.vec_id = eb.vec_id AND eb.idx >= sb.idx AND eb.idx - sb.idx + 1 <= 30),
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i, j) = 1),
+spans AS (SELECT l.vec_id, l.label, l.s[1] + l.e[1] AS null_s, CAST(coalesce(i, -1) AS INTEGER) AS start_idx,
+                 CAST(coalesce(j, -1) AS INTEGER) AS end_idx, coalesce(score, 0.0) AS score
+          FROM l LEFT JOIN best USING (vec_id))"""
+
+ORACLE["nbest_spans"] = "WITH " + _SPANS + " SELECT vec_id, start_idx, end_idx, round(score, 6) AS score FROM spans"
+ORACLE["null_score"] = "WITH " + _SPANS + """ SELECT label AS batch, round(min(null_s), 6) AS null_score,
+  round(max(CASE WHEN start_idx >= 0 THEN score END), 6) AS best_score,
+  coalesce(max(CASE WHEN start_idx >= 0 THEN score END) > min(null_s), false) AS answerable
+FROM spans GROUP BY label"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

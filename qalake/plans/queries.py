@@ -16,6 +16,7 @@ from qalake.operators import answers as A
 from qalake.operators import dedup as D
 from qalake.operators import metrics as M
 from qalake.operators import prep as P
+from qalake.operators import squad as Q
 from qalake.operators import textops as TXT
 from qalake.plans import standins as S
 from qalake.sources.tables import Tables
@@ -225,5 +226,60 @@ def dup_question_report(spark, sf):
     return D.duplicate_report(Tables(spark, sf).documents, "source", "text")
 
 
+# ---- slice 5: SQuAD rows, windows, spans ---------------------------------------
+SQUAD_KEY = ["doc_id", "item_id"]
+
+
+def _squad_rows(t):
+    pairs, answers = S.squad_inputs(t)
+    return Q.squad_rows(pairs, answers, ["item_id"])
+
+
+@query("squad_rows")
+def squad_rows(spark, sf):
+    """Flat SQuAD rows, one per located answer."""
+    r = _squad_rows(Tables(spark, sf))
+    return r.select(ids.composite_key("doc_id", "item_id").alias("id"), "doc_id", "item_id", "title",
+                    "question", "context", "answer_idx", "answer_text", "answer_start")
+
+
+@query("token_windows")
+def token_windows(spark, sf):
+    """384-token windows with 128 overlap over whitespace tokens."""
+    return Q.token_windows(S.qa_turns(Tables(spark, sf)), ["conv_id", "turn"])
+
+
+@query("window_labels")
+def window_labels(spark, sf):
+    """Answer start/end positions per window (0 when cut by an edge)."""
+    t = Tables(spark, sf)
+    rows = _squad_rows(t)
+    key = ["doc_id", "item_id", "answer_idx"]
+    windows = Q.token_windows(rows, key)
+    ctx = t.documents.join(rows.select("doc_id").distinct(), "doc_id", "left_semi") \
+        .select("doc_id", F.col("text").alias("context"))
+    offsets = Q.token_offsets(ctx, ["doc_id"])
+    ans = rows.select(*key, "answer_start", F.length("answer_text").alias("answer_len"))
+    return Q.window_labels(windows, offsets, ans, key, ["doc_id"])
+
+
+@query("nbest_spans")
+def nbest_spans(spark, sf):
+    """Best span among 20 x 20 candidates (CLS position masked)."""
+    sp = Q.nbest_spans(S.logits(Tables(spark, sf)), ["vec_id"], valid=lambda i: i >= 1)
+    return sp.withColumn("score", F.round("score", 6))
+
+
+@query("null_score")
+def null_score(spark, sf):
+    """Per question (label), minimum null score over its features,
+    best span score and answerability."""
+    lg = S.logits(Tables(spark, sf))
+    sp = Q.nbest_spans(lg, ["vec_id"], valid=lambda i: i >= 1)
+    out = Q.null_scores(lg, sp, ["vec_id"], "label")
+    return out.select(F.col("label").alias("batch"), F.round("null_score", 6).alias("null_score"),
+                      F.round("best_score", 6).alias("best_score"), "answerable")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

@@ -102,3 +102,34 @@ def turn_pairs(t: Tables) -> DataFrame:
     before = a.join(g.withColumn("turn", F.col("gold_id") + 1), ["conv_id", "turn"])
     after = a.join(g.withColumn("turn", F.col("gold_id") - 1), ["conv_id", "turn"])
     return before.unionByName(after)
+
+
+SENTENCE_SPLIT = "[.!?][ \\t\\n\\r\\f\\x0B]+"
+
+
+def squad_inputs(t: Tables):
+    """(pairs, answers) for SQuAD rows: gold (document, question) pairs with
+    the document as context; the answers are the question's sentences."""
+    g = gold_links(t)
+    pairs = (g.join(t.documents.select("doc_id", F.col("text").alias("context"),
+                                       F.col("source").alias("title")), "doc_id")
+             .join(t.benchmark.select("item_id", F.col("text").alias("question")), "item_id"))
+    answers = t.benchmark.select(
+        "item_id", F.posexplode(F.split("text", SENTENCE_SPLIT)).alias("answer_idx", "answer"))
+    return pairs, answers
+
+
+def qa_turns(t: Tables) -> DataFrame:
+    """A user turn (question) with the assistant turn that follows it (context)."""
+    c = t.conversations
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+def logits(t: Tables) -> DataFrame:
+    """Stand-in logits: start = the embedding, end = the reversed embedding."""
+    s = F.transform("embedding", lambda x: x.cast("double"))
+    return t.embeddings.select("vec_id", "label", s.alias("start_logits"),
+                               F.reverse(s).alias("end_logits"))
