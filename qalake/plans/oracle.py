@@ -270,5 +270,63 @@ ORACLE["null_score"] = "WITH " + _SPANS + """ SELECT label AS batch, round(min(n
 FROM spans GROUP BY label"""
 
 
+_LB = """lb AS (SELECT event_type AS system, strftime(ts, '%Y-%m-%d') AS batch, round(sum(value), 2) / count(*) AS mean_value,
+                count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL)"""
+
+ORACLE["metrics_long"] = "WITH " + _LB + """
+SELECT system, batch, 'mean_value' AS metric, mean_value AS value FROM lb
+UNION ALL SELECT system, batch, 'n_events', CAST(n_events AS DOUBLE) FROM lb
+UNION ALL SELECT system, batch, 'n_users', CAST(n_users AS DOUBLE) FROM lb"""
+ORACLE["system_means"] = "WITH " + _LB + """
+SELECT system, round(avg(mean_value), 6) AS mean_value, round(avg(n_events), 6) AS n_events,
+       round(avg(n_users), 6) AS n_users FROM lb GROUP BY system"""
+ORACLE["top_per_batch"] = "WITH " + _LB + """
+SELECT batch, CAST(row_number() OVER (PARTITION BY batch ORDER BY mean_value DESC, system) AS INTEGER) AS rank,
+       system, mean_value FROM lb QUALIFY rank <= 3"""
+ORACLE["top3_trend"] = "WITH " + _LB + """,
+top AS (SELECT system FROM lb GROUP BY system ORDER BY avg(mean_value) DESC, system LIMIT 3)
+SELECT batch, system, round(avg(mean_value), 6) AS mean_value FROM lb WHERE system IN (SELECT system FROM top)
+GROUP BY batch, system"""
+ORACLE["top5_logs"] = "WITH " + _LB + """
+SELECT system, batch, mean_value FROM lb ORDER BY mean_value DESC, system, batch LIMIT 5"""
+ORACLE["other_systems"] = "WITH " + _LB + """
+SELECT system, batch, n_events FROM lb WHERE system IS DISTINCT FROM 'view' AND batch = '2024-01-15'"""
+ORACLE["best_trial"] = """SELECT study, trial_id, score, k FROM (
+  SELECT event_type AS study, event_id AS trial_id, value AS score,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+QUALIFY row_number() OVER (PARTITION BY study ORDER BY score DESC, trial_id) = 1"""
+ORACLE["pending_trials"] = """SELECT DISTINCT user_id AS study, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+FROM events e WHERE event_type = 'view' AND NOT EXISTS (
+  SELECT 1 FROM events d WHERE d.event_type = 'purchase' AND d.user_id = e.user_id
+    AND CAST(json_extract_string(d.props, '$.k') AS INTEGER) = CAST(json_extract_string(e.props, '$.k') AS INTEGER))"""
+
+
+def _html_sql() -> str:
+    from qalake.sources.html import ENTITIES, H1_RE, LANG_RE, NOISE_RE, PARA_RE, TAG_RE, TITLE_RE
+
+    def text_of(x: str) -> str:
+        x = f"regexp_replace({x}, {sql_str(TAG_RE)}, '', 'g')"
+        for k, v in ENTITIES:
+            x = f"replace({x}, {sql_str(k)}, {sql_str(v)})"
+        return f"trim({x})"
+    return f"""WITH c AS (SELECT page_id, url, html, regexp_replace(html, {sql_str(NOISE_RE)}, '', 'g') AS clean FROM pages),
+p AS (SELECT *, list_filter(list_transform(regexp_extract_all(clean, {sql_str(PARA_RE)}, 1), lambda x: {text_of('x')}),
+                            lambda x: x <> '') AS texts FROM c)
+SELECT page_id, {text_of(f"regexp_extract(clean, {sql_str(TITLE_RE)}, 1)")} AS title,
+       {text_of(f"regexp_extract(clean, {sql_str(H1_RE)}, 1)")} AS h1,
+       regexp_extract(html, {sql_str(LANG_RE)}, 1) AS page_lang,
+       CAST(len(texts) AS INTEGER) AS n_paragraphs, array_to_string(texts, chr(10)) AS body_text FROM p"""
+
+
+ORACLE["html_fields"] = _html_sql()
+ORACLE["report_pivot"] = """SELECT user_id AS batch,
+  max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'error') AS error,
+  max(value) FILTER (WHERE event_type = 'purchase') AS purchase, max(value) FILTER (WHERE event_type = 'signup') AS signup,
+  max(value) FILTER (WHERE event_type = 'view') AS "view"
+FROM events GROUP BY user_id"""
+ORACLE["union_aligned"] = """SELECT doc_id, lang, NULL::INTEGER AS quality FROM documents
+UNION ALL SELECT doc_id, NULL::VARCHAR AS lang, quality FROM labels"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from qalake.functions import ids
 from qalake.operators import answers as A
+from qalake.operators import compare as C
 from qalake.operators import dedup as D
 from qalake.operators import metrics as M
 from qalake.operators import prep as P
 from qalake.operators import squad as Q
 from qalake.operators import textops as TXT
 from qalake.plans import standins as S
+from qalake.sources import html as H
+from qalake.sources import reports as R
 from qalake.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -281,5 +284,94 @@ def null_score(spark, sf):
                       F.round("best_score", 6).alias("best_score"), "answerable")
 
 
+# ---- slice 6: comparison, leaderboards, reports, HTML -----------------------------
+LB_METRICS = ["mean_value", "n_events", "n_users"]
+
+
+@query("metrics_long")
+def metrics_long(spark, sf):
+    """Wide leaderboard -> (system, batch, metric, value)."""
+    lb = S.leaderboard(Tables(spark, sf))
+    return C.to_long(lb, ["system", "batch"], LB_METRICS)
+
+
+@query("system_means")
+def system_means(spark, sf):
+    """Mean of each metric per system."""
+    return C.means_by(S.leaderboard(Tables(spark, sf)), ["system"], LB_METRICS)
+
+
+@query("top_per_batch")
+def top_per_batch(spark, sf):
+    """The 3 best systems per batch by mean value (ties: system name)."""
+    lb = S.leaderboard(Tables(spark, sf))
+    out = C.top_k_per_group(lb, ["batch"], "mean_value", 3, ["system"])
+    return out.select("batch", "rank", "system", "mean_value")
+
+
+@query("top3_trend")
+def top3_trend(spark, sf):
+    """O4 + J10 + A15: top 3 systems overall, their mean value per batch."""
+    lb = S.leaderboard(Tables(spark, sf))
+    keep = C.keep_keys(lb, C.top_n_keys(lb, "system", "mean_value", 3), "system")
+    return C.means_by(keep, ["batch", "system"], ["mean_value"])
+
+
+@query("top5_logs")
+def top5_logs(spark, sf):
+    """O2: the 5 best rows by metric over all logs (a top-k report)."""
+    lb = S.leaderboard(Tables(spark, sf))
+    out = C.top_rows(lb, "mean_value", 5, ["system", "batch"])
+    return out.select("system", "batch", "mean_value")
+
+
+@query("other_systems")
+def other_systems(spark, sf):
+    """P13 + P17: rows of every system but one (null-safe), one batch."""
+    lb = S.leaderboard(Tables(spark, sf))
+    out = lb.where(C.not_equal_null_safe("system", "view") & (F.col("batch") == "2024-01-15"))
+    return out.select("system", "batch", "n_events")
+
+
+@query("best_trial")
+def best_trial(spark, sf):
+    """Best trial per study (max score, ties: lowest trial id) and its params."""
+    return C.best_by(S.trials(Tables(spark, sf)), ["study"], "score", "trial_id", ["k"])
+
+
+@query("pending_trials")
+def pending_trials(spark, sf):
+    """Planned (study, params) without a finished trial (anti join)."""
+    e = Tables(spark, sf).events
+    k = F.get_json_object("props", "$.k").cast("int").alias("k")
+    planned = e.where(F.col("event_type") == "view").select(F.col("user_id").alias("study"), k).distinct()
+    done = e.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("study"), k)
+    return planned.join(done, ["study", "k"], "left_anti")
+
+
+@query("html_fields")
+def html_fields(spark, sf):
+    """Title, h1, language and paragraph text of raw pages."""
+    return H.html_fields(Tables(spark, sf).pages.select("page_id", "html"))
+
+
+@query("report_pivot")
+def report_pivot(spark, sf):
+    """Parse ``metric: score`` lines and pivot to one row per batch."""
+    e = Tables(spark, sf).events
+    lines = e.select(F.col("user_id").alias("batch"),
+                     F.concat(F.col("event_type"), F.lit(": "), F.col("value").cast("string")).alias("value"))
+    return R.report_to_wide(R.parse_report_lines(lines),
+                            ["click", "error", "purchase", "signup", "view"])
+
+
+@query("union_aligned")
+def union_aligned(spark, sf):
+    """Union by name, missing columns filled with null."""
+    t = Tables(spark, sf)
+    return P.union_aligned(t.documents.select("doc_id", "lang"),
+                           t.labels.select("doc_id", "quality"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

@@ -133,3 +133,23 @@ def logits(t: Tables) -> DataFrame:
     s = F.transform("embedding", lambda x: x.cast("double"))
     return t.embeddings.select("vec_id", "label", s.alias("start_logits"),
                                F.reverse(s).alias("end_logits"))
+
+
+def leaderboard(t: Tables) -> DataFrame:
+    """System x batch scores: system = event type, batch = day."""
+    e = t.events
+    return (e.groupBy(F.col("event_type").alias("system"),
+                      F.date_format("ts", "yyyy-MM-dd").alias("batch"))
+            # value has 2 decimals: the rounded sum is exact, so the mean is one
+            # correctly rounded division -- identical in any engine.
+            .agg((F.round(F.sum("value"), 2) / F.count(F.lit(1))).alias("mean_value"),
+                 F.count(F.lit(1)).alias("n_events"),
+                 F.countDistinct("user_id").alias("n_users")))
+
+
+def trials(t: Tables) -> DataFrame:
+    """Trial table stand-in: study = event type, trial = event, param k from
+    the JSON props, score = value."""
+    return t.events.select(
+        F.col("event_type").alias("study"), F.col("event_id").alias("trial_id"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("value").alias("score"))
