@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +56,16 @@ def containment_join(docs: DataFrame, needles: DataFrame, *, doc_id: str = "doc_
 
     n_grams = long_n.select(
         "item_id", F.posexplode(_gram_hashes(F.col("t"), 2, F.size("t") - 3)).alias("gpos", "g"))
+    # explode_outer (+ null filter) keeps Catalyst from inferring a size()
+    # filter that would tokenise every document twice.
     d_grams = (d.select("doc_id", _tok("dtext").alias("t"))
-               .where(F.size("t") >= 3)
-               .select("doc_id", F.explode(_gram_hashes(F.col("t"), 1, F.size("t") - 2)).alias("g")))
+               .select("doc_id", F.explode_outer(F.when(F.size("t") >= 3, _gram_hashes(F.col("t"), 1, F.size("t") - 2))).alias("g"))
+               .where(F.col("g").isNotNull()))
     # Only document trigrams that some needle uses survive; this set is small
-    # compared with the corpus and is read twice (frequency, candidates).
+    # compared with the corpus. It feeds both the frequency count and the
+    # candidate join; the identical shuffle is reused (ReusedExchange).
     matched = (d_grams.join(n_grams.select("g").distinct(), "g", "left_semi")
-               .distinct().persist(StorageLevel.MEMORY_AND_DISK))
+               .distinct())
     freq = matched.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     anchor = (n_grams.join(freq, "g")
               .groupBy("item_id")

@@ -95,7 +95,8 @@ def token_offsets(df: DataFrame, key: list[str], context: str = "context") -> Da
     """
     pieces = F.split(F.col(context), WS_RE)
     seps = F.regexp_extract_all(F.col(context), F.lit("(" + WS_CLASS + "+)"), 1)
-    z = df.select(*key, F.posexplode(F.arrays_zip(pieces.alias("p"), seps.alias("sp"))).alias("i", "z"))
+    z = df.select(*key, F.posexplode_outer(F.arrays_zip(pieces.alias("p"), seps.alias("sp"))).alias("i", "z"))
+    z = z.where(F.col("i").isNotNull())
     z = z.select(*key, "i", F.length(F.col("z.p")).alias("lp"),
                  F.coalesce(F.length(F.col("z.sp")), F.lit(0)).alias("ls"))
     w = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)

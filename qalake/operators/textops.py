@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 def term_counts(toks: DataFrame, doc_id: str = "doc_id", col: str = "toks") -> DataFrame:
     """(doc_id, term, tf) from a token-array column."""
-    return (toks.select(doc_id, F.explode(col).alias("term"))
+    # explode_outer: plain explode makes Catalyst infer ``size(toks) > 0`` and
+    # evaluate the whole tokenizer twice per row.
+    return (toks.select(doc_id, F.explode_outer(col).alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -30,6 +33,9 @@ def vocabulary(train_toks: DataFrame, doc_id: str = "doc_id", col: str = "toks",
     ``max_terms`` keeps the most frequent terms (cf desc, term asc) -- needed
     only when the vocabulary feeds a model whose size grows with it (LDA).
     """
+    if min_df <= 1 and max_terms is None:
+        return (train_toks.select(F.explode_outer(col).alias("term"))
+                .where(F.col("term").isNotNull()).distinct())
     v = term_stats(train_toks, doc_id, col).where(F.col("df") >= min_df)
     if max_terms is not None:
         v = v.orderBy(F.desc("cf"), F.asc("term")).limit(max_terms)

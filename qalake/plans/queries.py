@@ -169,9 +169,9 @@ def bow(spark, sf):
     """Vocabulary of the training documents (those with labels), bag
     of words of every document, unseen terms dropped."""
     t = Tables(spark, sf)
-    toks = S.doc_tokens(t)
-    train = toks.join(t.labels.select("doc_id"), "doc_id", "left_semi")
-    return TXT.bag_of_words(toks, TXT.vocabulary(train))
+    train_docs = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    vocab = TXT.vocabulary(S.doc_tokens(t, train_docs))
+    return TXT.bag_of_words(S.doc_tokens(t), vocab)
 
 
 # ---- slice 4: answer scoring -------------------------------------------------
@@ -233,8 +233,8 @@ def dup_question_report(spark, sf):
 SQUAD_KEY = ["doc_id", "item_id"]
 
 
-def _squad_rows(t):
-    pairs, answers = S.squad_inputs(t)
+def _squad_rows(t, materialize=False):
+    pairs, answers = S.squad_inputs(t, materialize)
     return Q.squad_rows(pairs, answers, ["item_id"])
 
 
@@ -256,7 +256,7 @@ def token_windows(spark, sf):
 def window_labels(spark, sf):
     """Answer start/end positions per window (0 when cut by an edge)."""
     t = Tables(spark, sf)
-    rows = _squad_rows(t)
+    rows = _squad_rows(t, materialize=True)
     key = ["doc_id", "item_id", "answer_idx"]
     windows = Q.token_windows(rows, key)
     ctx = t.documents.join(rows.select("doc_id").distinct(), "doc_id", "left_semi") \

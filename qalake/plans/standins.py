@@ -51,10 +51,18 @@ def embedding_judged(t: Tables, k: int = 10) -> DataFrame:
             .withColumn("n_rel", (F.col("label_n") - 1).cast("long")))
 
 
-def gold_links(t: Tables) -> DataFrame:
-    """(doc_id, item_id): documents containing a question's text."""
+def gold_links(t: Tables, materialize: bool = False) -> DataFrame:
+    """(doc_id, item_id): documents containing a question's text.
+
+    ``materialize`` writes the (small) link table to the cluster's checkpoint
+    folder, cutting lineage when a plan reads it several times."""
     from qalake.operators.joins import containment_join
-    return containment_join(t.documents, t.benchmark)
+    from qalake.session import ensure_checkpoint_dir
+    g = containment_join(t.documents, t.benchmark)
+    if materialize:
+        ensure_checkpoint_dir(t.spark)
+        g = g.checkpoint(eager=True)
+    return g
 
 
 def doc_tokens(t: Tables, docs: DataFrame | None = None) -> DataFrame:
@@ -107,10 +115,10 @@ def turn_pairs(t: Tables) -> DataFrame:
 SENTENCE_SPLIT = "[.!?][ \\t\\n\\r\\f\\x0B]+"
 
 
-def squad_inputs(t: Tables):
+def squad_inputs(t: Tables, materialize: bool = False):
     """(pairs, answers) for SQuAD rows: gold (document, question) pairs with
     the document as context; the answers are the question's sentences."""
-    g = gold_links(t)
+    g = gold_links(t, materialize)
     pairs = (g.join(t.documents.select("doc_id", F.col("text").alias("context"),
                                        F.col("source").alias("title")), "doc_id")
              .join(t.benchmark.select("item_id", F.col("text").alias("question")), "item_id"))
