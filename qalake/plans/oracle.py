@@ -328,5 +328,46 @@ ORACLE["union_aligned"] = """SELECT doc_id, lang, NULL::INTEGER AS quality FROM
 UNION ALL SELECT doc_id, NULL::VARCHAR AS lang, quality FROM labels"""
 
 
+_MIX = """e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS a FROM embeddings),
+m AS (SELECT vec_id, unnest(a) AS x, unnest(generate_series(0, len(a) - 1)) AS topic, list_sum(a) AS tot FROM e),
+mix AS (SELECT vec_id, CAST(topic AS INTEGER) AS topic, coalesce(x / nullif(tot, 0), 0) AS w FROM m)"""
+ORACLE["topic_sizes"] = "WITH " + _MIX + " SELECT topic, count(*) FILTER (WHERE w >= 0.01) AS n_docs FROM mix GROUP BY topic"
+ORACLE["doc_topic_indicator"] = "WITH " + _MIX + " SELECT vec_id, topic FROM mix WHERE w >= 0.01"
+
+_TOP = _TK + """,
+dt AS (SELECT DISTINCT * FROM (SELECT tk.doc_id, d.lang, unnest(tk.toks) AS term FROM tk JOIN documents d USING (doc_id))),
+dfl AS (SELECT lang, term, count(*) AS df FROM dt GROUP BY lang, term),
+top AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS rank FROM dfl QUALIFY rank <= 10),
+tl AS (SELECT doc_id, unnest(toks) AS term, unnest(generate_series(0, len(toks) - 1)) AS pos FROM tk)"""
+
+ORACLE["coherence_umass"] = "WITH " + _TOP + """,
+alldt AS (SELECT DISTINCT doc_id, term FROM tl),
+nd AS (SELECT count(DISTINCT doc_id) AS D FROM alldt),
+hit AS (SELECT a.doc_id, t.lang, t.rank FROM alldt a JOIN top t USING (term)),
+single AS (SELECT lang, rank, count(*) AS dl FROM hit GROUP BY lang, rank),
+pair AS (SELECT a.lang, a.rank AS rm, b.rank AS rl, count(*) AS dml FROM hit a JOIN hit b
+         ON a.doc_id = b.doc_id AND a.lang = b.lang AND b.rank < a.rank GROUP BY ALL),
+allp AS (SELECT a.lang, a.rank AS rm, b.rank AS rl FROM top a JOIN top b ON a.lang = b.lang AND b.rank < a.rank)
+SELECT allp.lang, round(avg(ln((coalesce(dml, 0) / nd.D + 1e-12) / (dl / nd.D))), 6) AS u_mass
+FROM allp LEFT JOIN pair USING (lang, rm, rl) LEFT JOIN single s ON s.lang = allp.lang AND s.rank = allp.rl
+CROSS JOIN nd GROUP BY allp.lang"""
+
+ORACLE["coherence_npmi"] = "WITH " + _TOP + """,
+n AS (SELECT doc_id, greatest(max(pos) + 1 - 10 + 1, 1) AS nwin FROM tl GROUP BY doc_id),
+tw AS (SELECT sum(nwin) AS W FROM n),
+occ AS (SELECT DISTINCT * FROM (SELECT h.doc_id, t.lang, t.rank,
+          unnest(generate_series(greatest(h.pos - 9, 0), least(h.pos, n.nwin - 1))) AS start
+        FROM tl h JOIN top t USING (term) JOIN n USING (doc_id))),
+p1 AS (SELECT lang, rank, count(*) AS c1 FROM occ GROUP BY ALL),
+p2 AS (SELECT a.lang, a.rank AS ra, b.rank AS rb, count(*) AS c2 FROM occ a JOIN occ b
+       ON a.doc_id = b.doc_id AND a.start = b.start AND a.lang = b.lang AND a.rank < b.rank GROUP BY ALL),
+pairs AS (SELECT a.lang, a.rank AS ra, b.rank AS rb FROM top a JOIN top b ON a.lang = b.lang AND a.rank < b.rank),
+sc AS (SELECT pairs.lang, coalesce(c2, 0) / tw.W AS pab, coalesce(x.c1, 0) / tw.W AS pa, coalesce(y.c1, 0) / tw.W AS pb
+       FROM pairs LEFT JOIN p2 USING (lang, ra, rb)
+       LEFT JOIN p1 x ON x.lang = pairs.lang AND x.rank = pairs.ra
+       LEFT JOIN p1 y ON y.lang = pairs.lang AND y.rank = pairs.rb CROSS JOIN tw)
+SELECT lang, round(avg(ln((pab + 1e-12) / (pa * pb)) / (-ln(pab + 1e-12))), 6) AS c_npmi FROM sc GROUP BY lang"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

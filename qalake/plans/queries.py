@@ -19,6 +19,7 @@ from qalake.operators import metrics as M
 from qalake.operators import prep as P
 from qalake.operators import squad as Q
 from qalake.operators import textops as TXT
+from qalake.operators import topics as TP
 from qalake.plans import standins as S
 from qalake.sources import html as H
 from qalake.sources import reports as R
@@ -373,5 +374,88 @@ def union_aligned(spark, sf):
                            t.labels.select("doc_id", "quality"))
 
 
+# ---- slice 7: topics ------------------------------------------------------------------
+@query("topic_sizes")
+def topic_sizes(spark, sf):
+    """Vectors per topic with weight >= 0.01 (empty topics stay 0)."""
+    return TP.topic_sizes(S.embedding_topic_mix(Tables(spark, sf)))
+
+
+@query("doc_topic_indicator")
+def doc_topic_indicator(spark, sf):
+    """(document, topic) indicator rows for weights >= 0.01."""
+    mix = S.embedding_topic_mix(Tables(spark, sf))
+    return mix.where(F.col("w") >= TP.MIN_PROBABILITY).select(
+        F.col("doc_id").alias("vec_id"), "topic")
+
+
+@query("coherence_umass")
+def coherence_umass(spark, sf):
+    """T10 u_mass of each language's top-10 document-frequency terms."""
+    t = Tables(spark, sf)
+    top = S.top_terms_by_group(t, "lang", 10)
+    tl = S.tokens_long(t).select("doc_id", "term")
+    out = TP.coherence_umass(top, tl, group="lang")
+    return out.select("lang", F.round("u_mass", 6).alias("u_mass"))
+
+
+@query("coherence_npmi")
+def coherence_npmi(spark, sf):
+    """T10 c_npmi (10-token sliding windows) of each language's top-10 terms."""
+    t = Tables(spark, sf)
+    top = S.top_terms_by_group(t, "lang", 10)
+    out = TP.coherence_windowed(S.tokens_long(t), top, 10, "c_npmi", group="lang")
+    return out.select("lang", F.round("c_npmi", 6).alias("c_npmi"))
+
+
+@query("stem_tokens")
+def stem_tokens(spark, sf):
+    """Porter stems per document, stemmed once per distinct term."""
+    t = Tables(spark, sf)
+    st = TXT.stem_terms(S.doc_tokens(t))
+    return (st.groupBy("doc_id")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
+            .select("doc_id", F.size("s").alias("n_tokens"),
+                    F.array_join(F.transform("s", lambda x: x["stem"]), " ").alias("stems")))
+
+
+@query("lda_topics")
+def lda_topics(spark, sf):
+    """Online LDA (k=10) on the documents, top 5 terms per topic."""
+    fit = S.LdaFit(Tables(spark, sf))
+    return TP.describe_topics(fit.model, fit.vocab, 5)
+
+
+@query("lda_retrieve")
+def lda_retrieve(spark, sf):
+    """Questions -> tokens -> bag of words -> LDA topics (< 0.01 dropped)
+    -> exact cosine top 10 documents."""
+    from qalake.functions.text import tokens
+    from qalake.operators.retrieve import cosine_topk
+    t = Tables(spark, sf)
+    fit = S.LdaFit(t)
+    qv = fit.cv.transform(t.benchmark.select(F.col("item_id").alias("doc_id"),
+                                             tokens("text").alias("toks")))
+    q = TP.topic_vectors(fit.model, qv).withColumnRenamed("doc_id", "q_id")
+    d = TP.topic_vectors(fit.model, fit.doc_vectors)
+    return cosine_topk(q, d, k=10)
+
+
+@query("topic_relevance")
+def topic_relevance(spark, sf):
+    """Per-topic term relevance (lambda = 0.6), top 5 terms, and topic
+    prevalence weighted by document length."""
+    t = Tables(spark, sf)
+    fit = S.LdaFit(t)
+    phi = TP.topic_term_table(fit.model, fit.vocab)
+    tc = TXT.term_counts(fit.docs).join(fit.vocab, "term")
+    p = tc.groupBy("term").agg(F.sum("tf").alias("cf"))
+    p = p.select("term", (F.col("cf") / p.agg(F.sum("cf")).scalar()).alias("p"))
+    rel = TP.term_relevance(phi, p, 0.6, 5)
+    mix = TP.topic_mix(fit.model, fit.doc_vectors, min_probability=0.0)
+    prev = TP.topic_prevalence(mix, fit.docs.select("doc_id", F.size("toks").alias("len")))
+    return rel.join(prev, "topic")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

@@ -161,3 +161,50 @@ def trials(t: Tables) -> DataFrame:
     return t.events.select(
         F.col("event_type").alias("study"), F.col("event_id").alias("trial_id"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("value").alias("score"))
+
+
+def embedding_topic_mix(t: Tables) -> DataFrame:
+    """Topic mixture of each vector: |x_i| / sum |x| -- long, unfiltered."""
+    absv = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    tot = F.aggregate(absv, F.lit(0.0), lambda a, x: a + x)
+    mix = F.transform(absv, lambda x: F.coalesce(F.try_divide(x, tot), F.lit(0.0)))
+    return t.embeddings.select(F.col("vec_id").alias("doc_id"),
+                               F.posexplode(mix).alias("topic", "w"))
+
+
+def top_terms_by_group(t: Tables, group: str = "lang", n: int = 10) -> DataFrame:
+    """A fixed word list per group derived from data: the n terms with the
+    highest document frequency in the group's documents (ties: term)."""
+    from pyspark.sql import Window
+    from qalake.functions.text import tokens
+    d = t.documents.select("doc_id", group, tokens("text").alias("toks"))
+    dt = (d.select("doc_id", group, F.explode_outer(F.array_distinct("toks")).alias("term"))
+          .where(F.col("term").isNotNull()))
+    df = dt.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy(group).orderBy(F.desc("df"), F.asc("term"))
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
+        .select(group, "rank", "term")
+
+
+def tokens_long(t: Tables) -> DataFrame:
+    """(doc_id, pos, term) over every document (F3 tokens, 0-based pos)."""
+    from qalake.functions.text import tokens
+    return (t.documents.select("doc_id", F.posexplode_outer(tokens("text")).alias("pos", "term"))
+            .where(F.col("term").isNotNull()))
+
+
+class LdaFit:
+    """CountVectorizer + online LDA on the documents' F3 tokens."""
+
+    def __init__(self, t: Tables, k: int = 10, vocab_size: int = 2000, max_iter: int = 10,
+                 subsampling_rate: float = 0.1, seed: int = 1):
+        from qalake.functions.text import tokens
+        from qalake.operators import topics as TP
+        self.t = t
+        self.docs = t.documents.select("doc_id", tokens("text").alias("toks")) \
+            .where(F.size("toks") > 0)
+        self.cv = TP.count_vectors(self.docs, vocab_size=vocab_size)
+        self.vocab = TP.vocabulary_table(self.cv)
+        self.doc_vectors = self.cv.transform(self.docs)
+        self.model = TP.fit_lda(self.doc_vectors, TP.LdaParams(
+            k=k, max_iter=max_iter, subsampling_rate=subsampling_rate, seed=seed))
