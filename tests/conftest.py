@@ -4,7 +4,12 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_TESTS = os.path.dirname(os.path.abspath(__file__))
+_REPO = os.path.dirname(_TESTS)
+sys.path.insert(0, _REPO)
+# Python workers must import functions defined in test modules (and the package).
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [_REPO, _TESTS] + [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p])
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
