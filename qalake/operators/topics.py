@@ -60,18 +60,32 @@ def lda_params_from_reference(num_topics: int, chunksize: int, passes: int, n_do
 
 # ---- T2/T3 vectors ---------------------------------------------------------------
 def count_vectors(train_toks: DataFrame, col: str = "toks", vocab_size: int = 5000,
-                  min_df: float = 1.0) -> CountVectorizerModel:
-    """Vocabulary of the training corpus (most frequent ``vocab_size``)."""
+                  min_df: int = 1, doc_id: str = "doc_id") -> CountVectorizerModel:
+    """Vocabulary of the training corpus -- the ``vocab_size`` most frequent
+    terms (collection frequency desc, term asc) with ``df >= min_df``.
+
+    Term statistics are DataFrame aggregates (partial, map-side combined); only
+    the capped term list reaches the driver, where the topic model keeps its
+    k x vocabulary matrix anyway."""
+    from qalake.operators.textops import term_stats
+    top = (term_stats(train_toks, doc_id, col).where(F.col("df") >= min_df)
+           .orderBy(F.desc("cf"), F.asc("term")).limit(vocab_size))
+    vocab = [r.term for r in top.select("term").collect()]  # bounded by vocab_size
+    return CountVectorizerModel.from_vocabulary(vocab, inputCol=col, outputCol="features")
+
+
+def count_vectors_ml(train_toks: DataFrame, col: str = "toks", vocab_size: int = 5000,
+                     min_df: float = 1.0) -> CountVectorizerModel:
+    """The same with Spark ML's ``CountVectorizer`` estimator (RDD-based counting)."""
     return CountVectorizer(inputCol=col, outputCol="features", vocabSize=vocab_size,
                            minDF=min_df).fit(train_toks)
 
 
 def vocabulary_table(cv: CountVectorizerModel) -> DataFrame:
     """(term_id, term) as a DataFrame, so later lookups are joins."""
-    spark = cv.sparkSession if hasattr(cv, "sparkSession") else None
     from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
-    vocab = cv.vocabulary
+    spark = SparkSession.getActiveSession()
+    vocab = cv.vocabulary  # already on the driver (capped)
     return spark.createDataFrame(list(enumerate(vocab)), "term_id int, term string")
 
 

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,6 +206,10 @@ class LdaFit:
             .where(F.size("toks") > 0)
         self.cv = TP.count_vectors(self.docs, vocab_size=vocab_size)
         self.vocab = TP.vocabulary_table(self.cv)
-        self.doc_vectors = self.cv.transform(self.docs)
+        # Sparse count vectors are far smaller than the text and LDA reads
+        # them once per iteration: keep them (recomputable from lineage if an
+        # executor is lost).
+        self.doc_vectors = self.cv.transform(self.docs).select("doc_id", "features") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         self.model = TP.fit_lda(self.doc_vectors, TP.LdaParams(
             k=k, max_iter=max_iter, subsampling_rate=subsampling_rate, seed=seed))
