@@ -49,6 +49,27 @@ def set_ap(hits: Column, n_pred: Column, n_gold: Column) -> Column:
     return r * p + (F.lit(1.0) - r) * safe_div(n_gold, union)
 
 
+def set_metrics_arrays(gold: Column, pred: Column) -> dict[str, Column]:
+    """U4 + M1/M2 on per-row arrays (reference data: small gold/predicted
+    lists): distinct sets, ``array_intersect``/``array_union`` sizes."""
+    t, p = F.array_distinct(gold), F.array_distinct(pred)
+    hits = F.size(F.array_intersect(t, p))
+    prec = set_precision(hits, F.size(p))
+    rec = set_recall(hits, F.size(t))
+    return {"precision": prec, "recall": rec, "f1": f1(prec, rec),
+            "ap": set_ap(hits, F.size(p), F.size(t)),
+            "n_union": F.size(F.array_union(t, p))}
+
+
+def binarize_labels(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
+    """Multi-label binarisation of gold u predicted, long form
+    ``(key, label, y_true, y_pred)``."""
+    u = df.select(key, gold, pred, F.explode(F.array_union(F.array_distinct(gold),
+                                                            F.array_distinct(pred))).alias("label"))
+    return u.select(key, "label", F.array_contains(gold, F.col("label")).cast("int").alias("y_true"),
+                    F.array_contains(pred, F.col("label")).cast("int").alias("y_pred"))
+
+
 # ---- per question retrieval metrics ----------------------------------------
 def judge_ranked(ranked: DataFrame, gold_pairs: DataFrame, q_id: str = "q_id",
                  d_id: str = "doc_id") -> DataFrame:
@@ -102,8 +123,12 @@ def per_question(judged: DataFrame, keys: list[str] | None = None, cutoff: int =
             .withColumn("rank_ap", safe_div(F.col("ap_sum"), den) + F.lit(ap_epsilon)))
 
 
-def gmap(ap: Column) -> Column:
-    """Geometric mean, 0 as soon as any value is <= 0 (ln(0) is null in Spark)."""
+def gmap(ap: Column, eps: float = 0.0) -> Column:
+    """Geometric mean, 0 as soon as any value is <= 0 (ln(0) is null in
+    Spark). With ``eps > 0`` (M4 evaluator form) every value is shifted by eps
+    instead: exp(mean(ln(ap + eps)))."""
+    if eps > 0:
+        return F.exp(F.avg(F.ln(ap + F.lit(eps))))
     return F.when(F.min(ap) <= 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(ap))))
 
 
@@ -129,6 +154,18 @@ def summarize(per_q: DataFrame, by: list[str] | None = None, ap_col: str = "ap",
     return per_q.agg(*aggs)
 
 
+def evaluate(ranked: DataFrame, gold_pairs: DataFrame, by: list[str] | None = None,
+             metric: str = "MAP", ap_col: str = "ap", cutoff: int = 10) -> DataFrame:
+    """Ranked retrieval + gold relation -> metric summary as a DataFrame
+    (overall, or per ``by`` keys carried on ``ranked``). Questions that
+    retrieved nothing are absent from ``ranked`` and score like the reference
+    (they are not in its ranked lists either)."""
+    judged = judge_ranked(ranked, gold_pairs)
+    per_q = per_question(judged, keys=by, cutoff=cutoff)
+    out = summarize(per_q, by=by, ap_col=ap_col)
+    return out if metric is None else out
+
+
 def summarize_rollup(per_q: DataFrame, by: str, ap_col: str = "ap",
                      digits: int | None = DIGITS) -> DataFrame:
     """Per-batch rows plus the overall row (batch null) in one ``rollup``."""

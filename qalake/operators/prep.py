@@ -100,3 +100,30 @@ def union_aligned(*dfs: DataFrame) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def prepare(questions: DataFrame, docs: DataFrame, id_col: str = "id", links: str = "documents",
+            key: str = "pmid", extractor=id_from_url_last,
+            links_long_df: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Load -> ids from links -> documents referenced -> keep links found
+    in the corpus -> keep questions with at least one -> counts.
+
+    Returns ``(found_long, profile)``: the answerable questions' links in long
+    form ``(id, pos, pmid)`` and a one-row profile (questions, distinct
+    documents referenced, documents found, answerable questions, documents
+    per answerable question). Every step is a join or aggregate; the ratio is
+    ``try_divide`` (null when nothing survives, Q19)."""
+    if links_long_df is not None:   # already long: (id, pos, link)
+        ll = links_long_df.select(id_col, "pos", extractor(F.col("link")).alias(key))
+    else:
+        ll = links_long(questions, id_col, links, extractor)
+    found = found_in_corpus(ll, docs, key)
+    f = found.agg(F.struct(F.countDistinct(key).alias("d"), F.countDistinct(id_col).alias("q"),
+                           F.count(F.lit(1)).alias("n"))).scalar()  # scalar subqueries, no joins
+    prof = questions.agg(F.count(F.lit(1)).alias("n_questions")).select(
+        "n_questions",
+        ll.agg(F.countDistinct(key)).scalar().alias("n_distinct_docs"),
+        f["d"].alias("n_docs_found"), f["q"].alias("n_answerable"), f["n"].alias("n_found_links"))
+    prof = prof.withColumn("docs_per_query", F.try_divide(F.col("n_found_links").cast("double"),
+                                                          F.col("n_answerable").cast("double")))
+    return found, prof

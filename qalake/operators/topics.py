@@ -227,6 +227,38 @@ def coherence_windowed(tokens_long: DataFrame, top: DataFrame, window: int = 10,
     return s.groupBy(group).agg(F.avg(val).alias(measure))
 
 
+def coherence_cv(tokens_long: DataFrame, top: DataFrame, window: int = 110,
+                 eps: float = EPSILON, group: str = "topic") -> DataFrame:
+    """c_v per topic: NPMI context vectors over boolean sliding windows; each
+    word's vector v_i = [NPMI(w_i, w_j)]_j (diagonal included) is compared by
+    cosine with the topic's set vector sum_k v_k; mean over words."""
+    occ = window_occurrences(tokens_long, top, window, group)
+    total = (tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
+             .agg(F.sum(F.greatest(F.col("last") + 1 - F.lit(window) + 1, F.lit(1))).alias("W")))
+    W = total.scalar()
+    p1 = occ.groupBy(group, "rank").agg(F.count(F.lit(1)).alias("c1"))
+    a = occ.select("doc_id", "start", group, F.col("rank").alias("ra"))
+    b = occ.select("doc_id", "start", group, F.col("rank").alias("rb"))
+    p2 = (a.join(b, ["doc_id", "start", group]).where(F.col("ra") < F.col("rb"))
+          .groupBy(group, "ra", "rb").agg(F.count(F.lit(1)).alias("c2")))
+    ranks = top.select(group, "rank")
+    allp = (ranks.select(group, F.col("rank").alias("i"))
+            .join(ranks.select(group, F.col("rank").alias("j")), group))
+    m = (allp.withColumn("ra", F.least("i", "j")).withColumn("rb", F.greatest("i", "j"))
+         .join(p2, [group, "ra", "rb"], "left")
+         .join(p1.select(group, F.col("rank").alias("i"), F.col("c1").alias("ci")), [group, "i"], "left")
+         .join(p1.select(group, F.col("rank").alias("j"), F.col("c1").alias("cj")), [group, "j"], "left"))
+    pab = F.when(F.col("i") == F.col("j"), F.col("ci")).otherwise(F.coalesce(F.col("c2"), F.lit(0))) / W
+    pa, pb = F.col("ci") / W, F.col("cj") / W
+    v = m.select(group, "i", "j", (F.ln((pab + F.lit(eps)) / (pa * pb)) / (-F.ln(pab + F.lit(eps)))).alias("npmi"))
+    sv = v.groupBy(group, "j").agg(F.sum("npmi").alias("sj"))
+    c = (v.join(sv, [group, "j"]).groupBy(group, "i")
+         .agg((F.sum(F.col("npmi") * F.col("sj"))
+               / (F.sqrt(F.sum(F.col("npmi") * F.col("npmi"))) * F.sqrt(F.sum(F.col("sj") * F.col("sj")))))
+              .alias("cs")))
+    return c.groupBy(group).agg(F.avg("cs").alias("c_v"))
+
+
 # ---- T13 ---------------------------------------------------------------------------
 def topic_term_table(model, vocab: DataFrame) -> DataFrame:
     """phi(t, w) as a long table ``(topic, term, phi)`` (k x V rows)."""

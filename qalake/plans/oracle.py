@@ -369,5 +369,39 @@ sc AS (SELECT pairs.lang, coalesce(c2, 0) / tw.W AS pab, coalesce(x.c1, 0) / tw.
 SELECT lang, round(avg(ln((pab + 1e-12) / (pa * pb)) / (-ln(pab + 1e-12))), 6) AS c_npmi FROM sc GROUP BY lang"""
 
 
+ORACLE["prepare_profile"] = "WITH " + _GOLD + """,
+ll AS (SELECT item_id AS id, doc_id AS pos, string_split('http://www.ncbi.nlm.nih.gov/pubmed/' || CAST(doc_id AS VARCHAR), '/')[-1] AS pmid FROM gold),
+found AS (SELECT * FROM ll WHERE pmid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))
+SELECT (SELECT count(*) FROM benchmark) AS n_questions,
+       (SELECT count(DISTINCT pmid) FROM ll) AS n_distinct_docs,
+       (SELECT count(DISTINCT pmid) FROM found) AS n_docs_found,
+       (SELECT count(DISTINCT id) FROM found) AS n_answerable,
+       (SELECT count(*) FROM found) AS n_found_links,
+       round((SELECT count(*) FROM found) / nullif((SELECT count(DISTINCT id) FROM found), 0), 6) AS docs_per_query"""
+
+ORACLE["type_counts"] = "SELECT role AS type, count(*) AS n FROM conversations GROUP BY role"
+
+ORACLE["coherence_cv"] = "WITH " + _TOP + """,
+n AS (SELECT doc_id, greatest(max(pos) + 1 - 110 + 1, 1) AS nwin FROM tl GROUP BY doc_id),
+tw AS (SELECT sum(nwin) AS W FROM n),
+occ AS (SELECT DISTINCT * FROM (SELECT h.doc_id, t.lang, t.rank,
+          unnest(generate_series(greatest(h.pos - 109, 0), least(h.pos, n.nwin - 1))) AS start
+        FROM tl h JOIN top t USING (term) JOIN n USING (doc_id))),
+p1 AS (SELECT lang, rank, count(*) AS c1 FROM occ GROUP BY ALL),
+p2 AS (SELECT a.lang, a.rank AS ra, b.rank AS rb, count(*) AS c2 FROM occ a JOIN occ b
+       ON a.doc_id = b.doc_id AND a.start = b.start AND a.lang = b.lang AND a.rank < b.rank GROUP BY ALL),
+allp AS (SELECT a.lang, a.rank AS i, b.rank AS j FROM top a JOIN top b ON a.lang = b.lang),
+m AS (SELECT allp.lang, i, j,
+             CASE WHEN i = j THEN x.c1 ELSE coalesce(p2.c2, 0) END / tw.W AS pab, x.c1 / tw.W AS pa, y.c1 / tw.W AS pb
+      FROM allp LEFT JOIN p2 ON p2.lang = allp.lang AND p2.ra = least(i, j) AND p2.rb = greatest(i, j)
+      LEFT JOIN p1 x ON x.lang = allp.lang AND x.rank = i
+      LEFT JOIN p1 y ON y.lang = allp.lang AND y.rank = j CROSS JOIN tw),
+v AS (SELECT lang, i, j, ln((pab + 1e-12) / (pa * pb)) / (-ln(pab + 1e-12)) AS npmi FROM m),
+sv AS (SELECT lang, j, sum(npmi) AS sj FROM v GROUP BY lang, j),
+c AS (SELECT v.lang, v.i, sum(v.npmi * sv.sj) / (sqrt(sum(v.npmi * v.npmi)) * sqrt(sum(sv.sj * sv.sj))) AS cs
+      FROM v JOIN sv USING (lang, j) GROUP BY v.lang, v.i)
+SELECT lang, round(avg(cs), 6) AS c_v FROM c GROUP BY lang"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

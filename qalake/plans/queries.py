@@ -457,5 +457,44 @@ def topic_relevance(spark, sf):
     return rel.join(prev, "topic")
 
 
+# ---- coverage additions -------------------------------------------------------------
+@query("prepare_profile")
+def prepare_profile(spark, sf):
+    """P16 composite: links rebuilt as URLs (P12) -> ids (P2) -> found in the
+    stored corpus (P7) -> answerable questions (P8) -> counts and ratio (A1/A3)."""
+    t = Tables(spark, sf)
+    g = S.gold_links(t)
+    ll = g.select(F.col("item_id").alias("id"), F.col("doc_id").alias("pos"),
+                  ids.url_from_id("doc_id").alias("link"))
+    corpus = t.labels.select(F.col("doc_id").cast("string").alias("pmid"))
+    _, prof = P.prepare(t.benchmark.select(F.col("item_id").alias("id")), corpus, links_long_df=ll)
+    return prof.withColumn("docs_per_query", F.round("docs_per_query", 6))
+
+
+@query("type_counts")
+def type_counts(spark, sf):
+    """A2: questions per type (conversation turns per role)."""
+    return Tables(spark, sf).conversations.groupBy(F.col("role").alias("type")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("coherence_cv")
+def coherence_cv(spark, sf):
+    """T10 c_v (110-token boolean sliding windows) of each language's top-10 terms."""
+    t = Tables(spark, sf)
+    top = S.top_terms_by_group(t, "lang", 10)
+    out = TP.coherence_cv(S.tokens_long(t), top, 110, group="lang")
+    return out.select("lang", F.round("c_v", 6).alias("c_v"))
+
+
+@query("lda_eval")
+def lda_eval(spark, sf):
+    """LDA retrieval scored against the gold links (P/R/F1, MAP, GMAP)."""
+    t = Tables(spark, sf)
+    ranked = lda_retrieve(spark, sf)
+    gold = S.gold_links(t).select(F.col("item_id").alias("q_id"), "doc_id")
+    return M.evaluate(ranked, gold)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "benchmark", "labels", "pages", "conversations", "embeddings", "events"]
-ROWS_ONLY = {"stem_tokens", "lda_topics", "lda_retrieve", "topic_relevance"}
+ROWS_ONLY = {"stem_tokens", "lda_topics", "lda_retrieve", "topic_relevance", "lda_eval"}
 
 
 def test_entry_runs(spark):

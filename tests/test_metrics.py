@@ -111,3 +111,24 @@ def test_squad_em_f1(spark):
     p, r = 2 / 3, 2 / 3
     assert got[3].f1 == pytest.approx(2 * p * r / (p + r))
     assert math.isclose(got[3].em, 0.0)
+
+
+def test_array_set_metrics_and_binarize(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "b"], ["b", "c"]), (2, ["a"], []), (3, [], ["x"])],
+                               "k long, gold array<string>, pred array<string>")
+    cols = M.set_metrics_arrays(F.col("gold"), F.col("pred"))
+    got = {r.k: r for r in df.select("k", *[c.alias(n) for n, c in cols.items()]).collect()}
+    assert (got[1].precision, got[1].recall) == (0.5, 0.5)
+    assert got[1].ap == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
+    assert got[2].ap == 1.0 and got[3].ap == 0.0
+    b = {(r.k, r.label): (r.y_true, r.y_pred) for r in M.binarize_labels(df, "k", "gold", "pred").collect()}
+    assert b[(1, "a")] == (1, 0) and b[(1, "b")] == (1, 1) and b[(1, "c")] == (0, 1)
+
+
+def test_evaluate_and_gmap_eps(spark):
+    ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 12)], "q_id long, rank int, doc_id long")
+    gold = spark.createDataFrame([(1, 11), (2, 99)], "q_id long, doc_id long")
+    r = M.evaluate(ranked, gold).first()
+    assert r.n_questions == 2 and r.mean_recall == pytest.approx(0.5) and r.GMAP == 0.0
+    df = spark.createDataFrame([(0.0,), (1.0,)], "ap double")
+    assert df.agg(M.gmap(F.col("ap"), eps=0.01).alias("g")).first().g == pytest.approx((0.01 * 1.01) ** 0.5)

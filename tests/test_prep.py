@@ -73,3 +73,16 @@ def test_containment_join_matches_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in containment_join(dd, nn).collect()}
     exp = {(i, j) for i, t in docs for j, n in needles if n in t}
     assert got == exp
+
+
+def test_prepare_composite(spark):
+    q = spark.createDataFrame([("q1", ["u/1", "u/2", "u/1"]), ("q2", ["u/7"]), ("q3", [])],
+                              "id string, documents array<string>")
+    corpus = spark.createDataFrame([("1",), ("5",)], "pmid string")
+    found, prof = P.prepare(q, corpus)
+    r = prof.first()
+    assert (r.n_questions, r.n_distinct_docs, r.n_docs_found, r.n_answerable, r.n_found_links) == (3, 3, 1, 1, 2)
+    assert r.docs_per_query == 2.0
+    assert sorted((x.id, x.pos) for x in found.collect()) == [("q1", 0), ("q1", 2)]
+    empty, prof2 = P.prepare(q, corpus.where("false"))
+    assert prof2.first().docs_per_query is None  # Q19: nothing survives -> null, no error
