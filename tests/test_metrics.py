@@ -129,6 +129,7 @@ def test_evaluate_and_gmap_eps(spark):
     ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 12)], "q_id long, rank int, doc_id long")
     gold = spark.createDataFrame([(1, 11), (2, 99)], "q_id long, doc_id long")
     r = M.evaluate(ranked, gold).first()
-    assert r.n_questions == 2 and r.mean_recall == pytest.approx(0.5) and r.GMAP == 0.0
+    # set AP without a hit is |T|/|T u P| = 0.5 (M2), so GMAP = sqrt(0.5 * 0.5)
+    assert r.n_questions == 2 and r.mean_recall == pytest.approx(0.5) and r.GMAP == pytest.approx(0.5)
     df = spark.createDataFrame([(0.0,), (1.0,)], "ap double")
     assert df.agg(M.gmap(F.col("ap"), eps=0.01).alias("g")).first().g == pytest.approx((0.01 * 1.01) ** 0.5)
