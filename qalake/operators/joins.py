@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,10 @@ def containment_join(docs: DataFrame, needles: DataFrame, *, doc_id: str = "doc_
     trigram) are verified against every document through a broadcast of that
     short-needle set, whose row count is checked first.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("dtext"))
-    n = needles.select(F.col(needle_id).alias("item_id"), F.col(needle_text).alias("ntext"))
+    d = (docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("dtext"))
+         .where(F.col("doc_id").isNotNull() & F.col("dtext").isNotNull()))
+    n = (needles.select(F.col(needle_id).alias("item_id"), F.col(needle_text).alias("ntext"))
+         .where(F.col("item_id").isNotNull() & F.col("ntext").isNotNull()))
 
     n_tok = n.select("item_id", _tok("ntext").alias("t"))
     long_n = n_tok.where(F.size("t") >= 5)
@@ -62,10 +65,11 @@ def containment_join(docs: DataFrame, needles: DataFrame, *, doc_id: str = "doc_
                .select("doc_id", F.explode_outer(F.when(F.size("t") >= 3, _gram_hashes(F.col("t"), 1, F.size("t") - 2))).alias("g"))
                .where(F.col("g").isNotNull()))
     # Only document trigrams that some needle uses survive; this set is small
-    # compared with the corpus. It feeds both the frequency count and the
-    # candidate join; the identical shuffle is reused (ReusedExchange).
+    # compared with the corpus and feeds both the frequency count and the
+    # candidate join, so it is kept (MEMORY_AND_DISK; recomputed from lineage
+    # if an executor is lost) instead of tokenising the corpus twice.
     matched = (d_grams.join(n_grams.select("g").distinct(), "g", "left_semi")
-               .distinct())
+               .distinct().persist(StorageLevel.MEMORY_AND_DISK))
     freq = matched.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     anchor = (n_grams.join(freq, "g")
               .groupBy("item_id")

@@ -118,12 +118,15 @@ def prepare(questions: DataFrame, docs: DataFrame, id_col: str = "id", links: st
     else:
         ll = links_long(questions, id_col, links, extractor)
     found = found_in_corpus(ll, docs, key)
-    f = found.agg(F.struct(F.countDistinct(key).alias("d"), F.countDistinct(id_col).alias("q"),
-                           F.count(F.lit(1)).alias("n"))).scalar()  # scalar subqueries, no joins
-    prof = questions.agg(F.count(F.lit(1)).alias("n_questions")).select(
-        "n_questions",
-        ll.agg(F.countDistinct(key)).scalar().alias("n_distinct_docs"),
-        f["d"].alias("n_docs_found"), f["q"].alias("n_answerable"), f["n"].alias("n_found_links"))
+    # One pass over the links: flag the ones found, aggregate once.
+    flag = docs.select(key).distinct().withColumn("_f", F.lit(True))
+    fl = ll.join(flag, key, "left")
+    prof = fl.agg(
+        F.countDistinct(key).alias("n_distinct_docs"),
+        F.countDistinct(F.when(F.col("_f"), F.col(key))).alias("n_docs_found"),
+        F.countDistinct(F.when(F.col("_f"), F.col(id_col))).alias("n_answerable"),
+        F.count(F.when(F.col("_f"), 1)).alias("n_found_links"))
+    prof = prof.select(questions.agg(F.count(F.lit(1))).scalar().alias("n_questions"), "*")
     prof = prof.withColumn("docs_per_query", F.try_divide(F.col("n_found_links").cast("double"),
                                                           F.col("n_answerable").cast("double")))
     return found, prof
