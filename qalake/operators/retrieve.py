@@ -7,10 +7,11 @@ without sending any side through the driver:
 * queries are hashed into ``QB`` blocks and documents into ``DB`` blocks,
   sized so that one (query block, document block) group fits in a task;
 * each query row is replicated to the ``DB`` groups of its block and each
-  document row to the ``QB`` groups of its block (a join against a tiny
-  ``range(QB*DB)`` table -- the classic blocked matrix product);
-* ``cogroup(...).applyInPandas`` multiplies the two blocks with numpy and
-  emits only the block-local top-k per query (ties kept exact);
+  document row to the ``QB`` groups of its block (``explode(sequence)``,
+  the classic blocked matrix product);
+* ``cogroup(...).applyInPandas`` multiplies the two blocks with numpy in
+  fixed tiles with a running exact top-k and emits only the block-local
+  top-k per query (ties kept exact);
 * a ``row_number`` window finishes the global top-k. Catalyst places a
   ``WindowGroupLimit`` before the shuffle, so at most ``DB*k`` rows per query
   move.
@@ -45,7 +46,29 @@ def _block_count(n: int, per_block: int) -> int:
     return max(1, int(math.ceil(n / max(per_block, 1))))
 
 
-def _score_blocks(k: int, exclude_self: bool, digits: int):
+Q_TILE = 2048
+D_TILE = 8192
+
+
+def _tile_topk(sims: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the k best (sim desc, id asc) of one tile -- exact with ties."""
+    kk = min(k, sims.shape[1])
+    part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+    cs = np.take_along_axis(sims, part, 1)
+    ci = d_ids[part]
+    kth = cs.min(axis=1)
+    for r in np.flatnonzero((sims >= kth[:, None]).sum(axis=1) > kk):
+        # more ties at the k-th value than slots: cut them by the lower id
+        idx = np.flatnonzero(sims[r] >= kth[r])
+        o = np.lexsort((d_ids[idx], -sims[r, idx]))[:kk]
+        cs[r], ci[r] = sims[r, idx[o]], d_ids[idx[o]]
+    return cs, ci
+
+
+def _score_blocks(k: int, exclude_self: bool, digits: int, q_tile: int = Q_TILE,
+                  d_tile: int = D_TILE):
+    """One (query block, document block) group: tiled products with a running
+    exact top-k, so memory is bounded by the tile sizes, not the blocks."""
     def fn(qdf: pd.DataFrame, ddf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or ddf.empty:
             return pd.DataFrame({"q_id": pd.Series([], dtype="int64"),
@@ -55,24 +78,25 @@ def _score_blocks(k: int, exclude_self: bool, digits: int):
         d_ids = ddf["doc_id"].to_numpy(dtype=np.int64)
         qm = np.vstack(qdf["vec"].to_numpy()).astype(np.float64, copy=False)
         dm = np.vstack(ddf["vec"].to_numpy()).astype(np.float64, copy=False)
-        sims = np.round(qm @ dm.T, digits)
-        if exclude_self:
-            sims[q_ids[:, None] == d_ids[None, :]] = -np.inf
-        kk = min(k, dm.shape[0])
-        # k-th best rounded similarity per query, then every candidate at or
-        # above it; rows with ties beyond k are cut exactly by (sim desc, id asc).
-        kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1]
         out_q, out_d, out_s = [], [], []
-        for i in range(sims.shape[0]):
-            row = sims[i]
-            idx = np.flatnonzero(row >= kth[i])
-            idx = idx[np.isfinite(row[idx])]
-            if idx.size > kk:
-                order = np.lexsort((d_ids[idx], -row[idx]))
-                idx = idx[order[:kk]]
-            out_q.append(np.full(idx.size, q_ids[i], dtype=np.int64))
-            out_d.append(d_ids[idx])
-            out_s.append(row[idx])
+        for q0 in range(0, len(q_ids), q_tile):
+            qi = q_ids[q0:q0 + q_tile]
+            best_s = np.full((len(qi), k), -np.inf)
+            best_i = np.full((len(qi), k), np.iinfo(np.int64).max, dtype=np.int64)
+            for d0 in range(0, len(d_ids), d_tile):
+                di = d_ids[d0:d0 + d_tile]
+                sims = np.round(qm[q0:q0 + q_tile] @ dm[d0:d0 + d_tile].T, digits)
+                if exclude_self:
+                    sims[qi[:, None] == di[None, :]] = -np.inf
+                cs, ci = _tile_topk(sims, di, k)
+                comb_s, comb_i = np.hstack([best_s, cs]), np.hstack([best_i, ci])
+                order = np.lexsort((comb_i, -comb_s), axis=1)[:, :k]
+                best_s = np.take_along_axis(comb_s, order, 1)
+                best_i = np.take_along_axis(comb_i, order, 1)
+            keep = np.isfinite(best_s)
+            out_q.append(np.repeat(qi, keep.sum(axis=1)))
+            out_d.append(best_i[keep])
+            out_s.append(best_s[keep])
         return pd.DataFrame({"q_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
                              "sim": np.concatenate(out_s)})
     return fn
@@ -82,14 +106,20 @@ def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 10, *,
                 q_id: str = "q_id", q_vec: str = "vec",
                 d_id: str = "doc_id", d_vec: str = "vec",
                 exclude_self: bool = False,
-                q_block_rows: int = 2048, d_block_rows: int = 8192,
+                q_block_rows: int = 50_000, d_block_rows: int = 200_000,
                 min_doc_blocks: int | None = None,
-                digits: int = SIM_DIGITS) -> DataFrame:
+                digits: int = SIM_DIGITS, q_tile: int = Q_TILE, d_tile: int = D_TILE) -> DataFrame:
     """Exact top-k documents per query by cosine similarity.
 
     Returns ``(q_id long, rank int, doc_id long, sim double)``; ``rank`` is
     1-based, ties go to the lower ``doc_id`` (stable corpus order, Q9/W1), and
     every query gets ``min(k, |docs|)`` rows even when similarities are 0 (Q10).
+
+    Block sizes bound what one group holds (rows x dimension x 8 bytes); the
+    number of document blocks is at least the cluster parallelism so that
+    small inputs still use every core. Each query row is replicated to the
+    ``DB`` document blocks and each document row to the ``QB`` query blocks
+    with ``explode(sequence(...))`` -- no join, no broadcast.
     """
     spark = queries.sparkSession
     q = queries.select(F.col(q_id).cast("long").alias("q_id"), unit_vector(q_vec).alias("vec"))
@@ -101,18 +131,14 @@ def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 10, *,
     par = min_doc_blocks or spark.sparkContext.defaultParallelism
     db = max(_block_count(n_d, d_block_rows), min(par, max(1, n_d // max(k, 1))))
 
-    blocks = spark.range(qb * db).select(
-        (F.col("id") / db).cast("int").alias("qb"), (F.col("id") % db).cast("int").alias("db"))
-    # The block table has qb*db rows by construction (bounded), so it is
-    # safe to broadcast.
-    q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(qb)).cast("int"))
-             .join(F.broadcast(blocks), "qb"))
-    d_rep = (d.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(db)).cast("int"))
-             .join(F.broadcast(blocks), "db"))
+    q_rep = q.select("q_id", "vec", F.pmod(F.xxhash64("q_id"), F.lit(qb)).cast("int").alias("qb"),
+                     F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("db"))
+    d_rep = d.select("doc_id", "vec", F.pmod(F.xxhash64("doc_id"), F.lit(db)).cast("int").alias("db"),
+                     F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
 
     cand = (q_rep.groupBy("qb", "db")
             .cogroup(d_rep.groupBy("qb", "db"))
-            .applyInPandas(_score_blocks(k, exclude_self, digits),
+            .applyInPandas(_score_blocks(k, exclude_self, digits, q_tile, d_tile),
                            schema="q_id long, doc_id long, sim double"))
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), F.asc("doc_id"))
     return (cand.withColumn("rank", F.row_number().over(w))

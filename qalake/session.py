@@ -45,14 +45,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     and is used as is. Only when it is unset -- local runs and tests -- do we
     create a scratch folder of our own.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = sc.getCheckpointDir()
+        if d:
+            return d
     if not d:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would be lost with its executor
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) "
+                               "before running jobs that checkpoint")
         d = tempfile.mkdtemp(prefix="qalake-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -29,6 +29,8 @@ def test_topk_matches_brute_force_with_small_blocks(spark):
     q = spark.createDataFrame([(i, v.tolist()) for i, v in zip(qids, qv)], "q_id long, vec array<double>")
     d = spark.createDataFrame([(i, v.tolist()) for i, v in zip(dids, dv)], "doc_id long, vec array<double>")
     got = cosine_topk(q, d, k=7, q_block_rows=10, d_block_rows=25).collect()
+    got2 = cosine_topk(q, d, k=7, q_tile=4, d_tile=3, min_doc_blocks=2).collect()
+    assert sorted(got) == sorted(got2)   # multi-tile running merge = single tile
     exp = _brute(qv, dv, qids, dids, 7, False)
     by_q = {}
     for r in got:
