@@ -193,19 +193,58 @@ def window_occurrences(tokens_long: DataFrame, top: DataFrame, window: int,
                        F.explode(F.sequence(lo, hi)).alias("start")).distinct())
 
 
+def window_counts(tokens_long: DataFrame, top: DataFrame, window: int,
+                  group: str = "topic") -> tuple[DataFrame, DataFrame, "Column"]:
+    """Boolean sliding-window counts without enumerating windows.
+
+    Returns ``(p1, p2, W)``: windows containing each top word
+    ``(group, rank, c1)``, windows containing both words of each pair
+    ``(group, ra, rb, c2)`` and the total number of windows (a scalar
+    subquery). An occurrence at p lies in windows ``[max(0, p-w+1),
+    min(p, nwin-1)]``; the windows holding a word are the union of its
+    occurrences' intervals, measured in one ``lag`` pass over the sorted
+    occurrences (starts and ends both grow with p). Pairs use
+    |A n B| = |A| + |B| - |A u B|, the union taken over the merged
+    occurrences of both words -- each occurrence is copied to the n-1 pairs
+    of its word only, so the work is linear in occurrences."""
+    n = tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
+    nwin = F.greatest(F.col("last") + 1 - F.lit(window) + 1, F.lit(1))
+    W = n.agg(F.sum(nwin)).scalar()
+    occ = (tokens_long.join(top.select(group, "rank", "term"), "term").join(n, "doc_id")
+           .select("doc_id", group, "rank", "pos",
+                   F.greatest(F.col("pos") - F.lit(window - 1), F.lit(0)).alias("lo"),
+                   F.least(F.col("pos"), nwin - 1).alias("hi")))
+
+    def union_len(df: DataFrame, part: list[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy("pos")
+        start = F.greatest(F.col("lo"), F.coalesce(F.lag("hi").over(w) + 1, F.col("lo")))
+        return (df.withColumn("_c", F.greatest(F.col("hi") - start + 1, F.lit(0)))
+                .groupBy(*part).agg(F.sum("_c").alias("len")))
+
+    single = union_len(occ, ["doc_id", group, "rank"])
+    p1 = single.groupBy(group, "rank").agg(F.sum("len").alias("c1"))
+    ranks = top.select(group, "rank")
+    pairs = (ranks.select(group, F.col("rank").alias("ra"))
+             .join(ranks.select(group, F.col("rank").alias("rb")), group)
+             .where(F.col("ra") < F.col("rb")))
+    both = (occ.join(F.broadcast(pairs), (occ[group] == pairs[group])
+                     & ((occ["rank"] == pairs["ra"]) | (occ["rank"] == pairs["rb"])))
+            .select("doc_id", occ[group].alias(group), "ra", "rb", "pos", "lo", "hi"))
+    uni = union_len(both, ["doc_id", group, "ra", "rb"]).withColumnRenamed("len", "lu")
+    sa = single.select("doc_id", group, F.col("rank").alias("ra"), F.col("len").alias("la"))
+    sb = single.select("doc_id", group, F.col("rank").alias("rb"), F.col("len").alias("lb"))
+    p2 = (uni.join(sa, ["doc_id", group, "ra"]).join(sb, ["doc_id", group, "rb"])
+          .groupBy(group, "ra", "rb")
+          .agg(F.sum(F.col("la") + F.col("lb") - F.col("lu")).alias("c2")))
+    return p1, p2, W
+
+
 def coherence_windowed(tokens_long: DataFrame, top: DataFrame, window: int = 10,
                        measure: str = "c_npmi", eps: float = EPSILON,
                        group: str = "topic") -> DataFrame:
     """c_uci / c_npmi per topic on sliding windows (Roeder et al. 2015):
     P = share of windows containing the word(s); pairs a<b by rank."""
-    occ = window_occurrences(tokens_long, top, window, group)
-    total = (tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
-             .agg(F.sum(F.greatest(F.col("last") + 1 - F.lit(window) + 1, F.lit(1))).alias("W")))
-    p1 = occ.groupBy(group, "rank").agg(F.count(F.lit(1)).alias("c1"))
-    a = occ.select("doc_id", "start", group, F.col("rank").alias("ra"))
-    b = occ.select("doc_id", "start", group, F.col("rank").alias("rb"))
-    p2 = (a.join(b, ["doc_id", "start", group]).where(F.col("ra") < F.col("rb"))
-          .groupBy(group, "ra", "rb").agg(F.count(F.lit(1)).alias("c2")))
+    p1, p2, W = window_counts(tokens_long, top, window, group)
     ranks = top.select(group, "rank")
     pairs = (ranks.select(group, F.col("rank").alias("ra"))
              .join(ranks.select(group, F.col("rank").alias("rb")), group)
@@ -213,7 +252,6 @@ def coherence_windowed(tokens_long: DataFrame, top: DataFrame, window: int = 10,
     s = (pairs.join(p2, [group, "ra", "rb"], "left")
          .join(p1.select(group, F.col("rank").alias("ra"), F.col("c1").alias("ca")), [group, "ra"], "left")
          .join(p1.select(group, F.col("rank").alias("rb"), F.col("c1").alias("cb")), [group, "rb"], "left"))
-    W = total.scalar()  # scalar subquery: number of windows
     pab = F.coalesce(F.col("c2"), F.lit(0)) / W
     pa = F.coalesce(F.col("ca"), F.lit(0)) / W
     pb = F.coalesce(F.col("cb"), F.lit(0)) / W
@@ -232,15 +270,7 @@ def coherence_cv(tokens_long: DataFrame, top: DataFrame, window: int = 110,
     """c_v per topic: NPMI context vectors over boolean sliding windows; each
     word's vector v_i = [NPMI(w_i, w_j)]_j (diagonal included) is compared by
     cosine with the topic's set vector sum_k v_k; mean over words."""
-    occ = window_occurrences(tokens_long, top, window, group)
-    total = (tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
-             .agg(F.sum(F.greatest(F.col("last") + 1 - F.lit(window) + 1, F.lit(1))).alias("W")))
-    W = total.scalar()
-    p1 = occ.groupBy(group, "rank").agg(F.count(F.lit(1)).alias("c1"))
-    a = occ.select("doc_id", "start", group, F.col("rank").alias("ra"))
-    b = occ.select("doc_id", "start", group, F.col("rank").alias("rb"))
-    p2 = (a.join(b, ["doc_id", "start", group]).where(F.col("ra") < F.col("rb"))
-          .groupBy(group, "ra", "rb").agg(F.count(F.lit(1)).alias("c2")))
+    p1, p2, W = window_counts(tokens_long, top, window, group)
     ranks = top.select(group, "rank")
     allp = (ranks.select(group, F.col("rank").alias("i"))
             .join(ranks.select(group, F.col("rank").alias("j")), group))

@@ -394,8 +394,7 @@ def coherence_umass(spark, sf):
     """T10 u_mass of each language's top-10 document-frequency terms."""
     t = Tables(spark, sf)
     top = S.top_terms_by_group(t, "lang", 10)
-    tl = S.tokens_long(t).select("doc_id", "term")
-    out = TP.coherence_umass(top, tl, group="lang")
+    out = TP.coherence_umass(top, S.tokens_long(t).select("doc_id", "term"), group="lang")
     return out.select("lang", F.round("u_mass", 6).alias("u_mass"))
 
 

@@ -187,11 +187,14 @@ def top_terms_by_group(t: Tables, group: str = "lang", n: int = 10) -> DataFrame
         .select(group, "rank", "term")
 
 
-def tokens_long(t: Tables) -> DataFrame:
-    """(doc_id, pos, term) over every document (F3 tokens, 0-based pos)."""
+def tokens_long(t: Tables, keep: list[str] | None = None, persist: bool = False) -> DataFrame:
+    """(doc_id, [keep...], pos, term) over every document (F3 tokens, 0-based
+    pos). ``persist`` keeps it for plans that read it more than once."""
     from qalake.functions.text import tokens
-    return (t.documents.select("doc_id", F.posexplode_outer(tokens("text")).alias("pos", "term"))
-            .where(F.col("term").isNotNull()))
+    out = (t.documents.select("doc_id", *(keep or []),
+                              F.posexplode_outer(tokens("text")).alias("pos", "term"))
+           .where(F.col("term").isNotNull()))
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 class LdaFit:
@@ -202,8 +205,9 @@ class LdaFit:
         from qalake.functions.text import tokens
         from qalake.operators import topics as TP
         self.t = t
+        # tokens feed the vocabulary and the vectors: tokenise once
         self.docs = t.documents.select("doc_id", tokens("text").alias("toks")) \
-            .where(F.size("toks") > 0)
+            .where(F.size("toks") > 0).persist(StorageLevel.MEMORY_AND_DISK)
         self.cv = TP.count_vectors(self.docs, vocab_size=vocab_size)
         self.vocab = TP.vocabulary_table(self.cv)
         # Sparse count vectors are far smaller than the text and LDA reads
