@@ -403,5 +403,24 @@ c AS (SELECT v.lang, v.i, sum(v.npmi * sv.sj) / (sqrt(sum(v.npmi * v.npmi)) * sq
 SELECT lang, round(avg(cs), 6) AS c_v FROM c GROUP BY lang"""
 
 
+ORACLE["chart_means"] = "WITH " + _LB + """,
+long AS (SELECT system, 'mean_value' AS metric, mean_value AS value FROM lb
+         UNION ALL SELECT system, 'n_events', CAST(n_events AS DOUBLE) FROM lb
+         UNION ALL SELECT system, 'n_users', CAST(n_users AS DOUBLE) FROM lb)
+SELECT system, metric, round(avg(value), 6) AS value FROM long GROUP BY system, metric"""
+
+ORACLE["link_keys"] = "WITH " + _GOLD + """
+SELECT doc_id, item_id, 'http://www.ncbi.nlm.nih.gov/pubmed/' || CAST(doc_id AS VARCHAR) AS link,
+       CAST(doc_id AS VARCHAR) || '_' || CAST(item_id AS VARCHAR) AS example_id FROM gold"""
+
+ORACLE["label_indicators"] = "WITH " + _RANKED.format(k=10) + _PREDS + """,
+u AS (SELECT DISTINCT q_id, answer AS label FROM preds
+      UNION SELECT vec_id AS q_id, 'label ' || CAST(label AS VARCHAR) FROM embeddings)
+SELECT u.q_id, u.label,
+       CAST(u.label = 'label ' || CAST(e.label AS VARCHAR) AS INTEGER) AS y_true,
+       CAST(EXISTS (SELECT 1 FROM preds p WHERE p.q_id = u.q_id AND p.answer = u.label) AS INTEGER) AS y_pred
+FROM u JOIN embeddings e ON e.vec_id = u.q_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

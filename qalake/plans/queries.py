@@ -495,5 +495,34 @@ def lda_eval(spark, sf):
     return M.evaluate(ranked, gold)
 
 
+@query("chart_means")
+def chart_means(spark, sf):
+    """Chart aggregate -- mean value per (system, metric) of the long table."""
+    long = C.to_long(S.leaderboard(Tables(spark, sf)), ["system", "batch"], LB_METRICS)
+    return C.means_by(long, ["system", "metric"], ["value"])
+
+
+@query("link_keys")
+def link_keys(spark, sf):
+    """A gold link rebuilt as a URL and the SQuAD example key
+    ``<pmid>_<question id>``."""
+    g = S.gold_links(Tables(spark, sf))
+    return g.select("doc_id", "item_id", ids.url_from_id("doc_id").alias("link"),
+                    ids.composite_key("doc_id", "item_id").alias("example_id"))
+
+
+@query("label_indicators")
+def label_indicators(spark, sf):
+    """Multi-label binarisation of gold u predicted labels per question
+    (predicted = labels of the top-10 neighbours)."""
+    t = Tables(spark, sf)
+    preds = S.embedding_predictions(t, 10).groupBy("qid").agg(
+        F.collect_set("answer").alias("pred"))   # bounded: at most k per question
+    gold = t.embeddings.select(F.col("vec_id").alias("qid"),
+                               F.array(S.label_answer()).alias("gold"))
+    b = M.binarize_labels(gold.join(preds, "qid"), "qid", "gold", "pred")
+    return b.select(F.col("qid").alias("q_id"), "label", "y_true", "y_pred")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)

@@ -38,6 +38,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def cluster_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Spill-aware settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions start at ~input / 128 MB (never below 2x the cores);
+    AQE then coalesces small ones toward ``target_partition_bytes`` and splits
+    skewed ones. Scans use 256 MB splits (row groups permitting)."""
+    initial = max(2 * cores, input_bytes // (128 << 20))
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
