@@ -422,5 +422,11 @@ SELECT u.q_id, u.label,
 FROM u JOIN embeddings e ON e.vec_id = u.q_id"""
 
 
+ORACLE["gold_contexts"] = ("WITH " + _GOLD + """
+SELECT g.item_id AS id, g.doc_id AS ctx_pos, CAST(length(d.text) AS INTEGER) AS context_chars
+FROM gold g JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL""")
+ORACLE["new_keys_except"] = "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from qalake.functions import ids
 from qalake.operators import answers as A
 from qalake.operators import compare as C
+from qalake.operators import contexts as CX
 from qalake.operators import dedup as D
 from qalake.operators import metrics as M
 from qalake.operators import prep as P
@@ -524,5 +525,24 @@ def label_indicators(spark, sf):
     return b.select(F.col("qid").alias("q_id"), "label", "y_true", "y_pred")
 
 
+@query("gold_contexts")
+def gold_contexts(spark, sf):
+    """The ``by_documents`` context source -- each question's gold
+    documents as (id, ctx_pos, context), here reported by context length."""
+    t = Tables(spark, sf)
+    ll = S.gold_links(t).select(F.col("item_id").alias("id"), F.col("doc_id").alias("pos"),
+                                F.col("doc_id").alias("pmid"))
+    docs = t.documents.select(F.col("doc_id").alias("pmid"), F.col("text").alias("abstractText"))
+    ctx = CX.contexts("by_documents", links_long=ll, docs=docs)
+    return ctx.select("id", "ctx_pos", F.length("context").alias("context_chars"))
+
+
+@query("new_keys_except")
+def new_keys_except(spark, sf):
+    """Multiset difference of keys (incoming minus stored, ``exceptAll``)."""
+    t = Tables(spark, sf)
+    return t.documents.select("doc_id").exceptAll(t.labels.select("doc_id"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
