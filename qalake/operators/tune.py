@@ -117,3 +117,39 @@ def checkpoint_scores(fit_at: Callable[[int], float], checkpoints: list[int]) ->
     """Spark's LDA has no per-pass callback; score a model fitted with
     ``maxIter`` = each checkpoint instead (one trial row per checkpoint)."""
     return [(it, float(fit_at(it))) for it in checkpoints]
+
+
+def lda_objective(question_toks: DataFrame, doc_toks: DataFrame, gold_pairs: DataFrame,
+                  metric: str = "MAP", vocab_size: int = 5000, topn: int = 10,
+                  n_docs: int | None = None):
+    """SURVEY 3.1 as an objective for ``run_study``: params (num_topics,
+    chunksize, passes, ...) -> online LDA on the documents -> topic vectors of
+    questions and documents -> exact top-n cosine retrieval -> metric against
+    the gold (q_id, doc_id) pairs. Every step is a Spark job; only the score
+    comes back."""
+    from pyspark import StorageLevel
+
+    from qalake.operators import metrics as M
+    from qalake.operators import topics as TP
+    from qalake.operators.retrieve import cosine_topk
+
+    cv = TP.count_vectors(doc_toks, vocab_size=vocab_size)
+    dvec = cv.transform(doc_toks).select("doc_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    qvec = cv.transform(question_toks).select("doc_id", "features")
+    n = n_docs if n_docs is not None else dvec.count()
+
+    def objective(params: dict) -> float:
+        p = TP.lda_params_from_reference(
+            num_topics=int(params.get("num_topics", 10)), chunksize=int(params.get("chunksize", 2000)),
+            passes=int(params.get("passes", 1)), n_docs=n,
+            update_every=int(params.get("update_every", 1)),
+            decay=float(params.get("decay", 0.5)), offset=float(params.get("offset", 1.0)))
+        model = TP.fit_lda(dvec, p)
+        q = TP.topic_vectors(model, qvec).withColumnRenamed("doc_id", "q_id")
+        d = TP.topic_vectors(model, dvec)
+        ranked = cosine_topk(q, d, k=topn)
+        score = M.evaluate(ranked, gold_pairs).first()[metric]
+        if score is None:
+            raise ValueError("empty evaluation")
+        return float(score)
+    return objective

@@ -74,3 +74,24 @@ def test_streaming_ingest_is_incremental(spark, tmp_dir):
     ingest_stream(spark, landing, table, ARTICLE, name="t_ingest_" + os.path.basename(tmp_dir)).awaitTermination()
     got = sorted(r.pmid for r in spark.read.schema(ARTICLE).parquet(table).collect())
     assert got == ["1", "2", "3"]
+
+
+def test_lda_study_end_to_end(spark, tmp_dir):
+    """SURVEY 3.1: sample params -> fit -> retrieve -> MAP -> trial rows; resumable."""
+    from qalake.functions.text import tokens
+    from qalake.plans import standins as S
+    from qalake.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    docs = t.documents.select("doc_id", tokens("text").alias("toks")).where(F.size("toks") > 0)
+    qs = t.benchmark.select(F.col("item_id").alias("doc_id"), tokens("text").alias("toks"))
+    gold = S.gold_links(t).select(F.col("item_id").alias("q_id"), "doc_id")
+    obj = tune.lda_objective(qs, docs, gold, vocab_size=300)
+    cands = tune.sample_space({"num_topics": ("int", 2, 6), "passes": ("int", 1, 2),
+                               "chunksize": ("int", 50, 200)}, 2, seed=4)
+    path = os.path.join(tmp_dir, "study")
+    t1 = tune.run_study(spark, "lda", cands, path, obj)
+    assert t1.where(F.col("state") == "COMPLETE").count() == 2
+    t2 = tune.run_study(spark, "lda", cands, path, obj)   # nothing left to do
+    assert t2.count() == 2
+    best = tune.best_trial(t2).first()
+    assert 0.0 <= best.best_value <= 1.0
