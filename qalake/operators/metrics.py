@@ -132,7 +132,7 @@ def gmap(ap: Column, eps: float = 0.0) -> Column:
     return F.when(F.min(ap) <= 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(ap))))
 
 
-def summary_aggs(ap_col: str = "ap", digits: int | None = DIGITS) -> list[Column]:
+def summary_aggs(ap_col: str = "ap", digits: int | None = DIGITS, gmap_eps: float = 0.0) -> list[Column]:
     def rnd(c: Column) -> Column:
         return F.round(c, digits) if digits is not None else c
     return [
@@ -141,14 +141,14 @@ def summary_aggs(ap_col: str = "ap", digits: int | None = DIGITS) -> list[Column
         rnd(F.avg("recall")).alias("mean_recall"),
         rnd(F.avg("f1")).alias("mean_f1"),
         rnd(F.avg(ap_col)).alias("MAP"),
-        rnd(gmap(F.col(ap_col))).alias("GMAP"),
+        rnd(gmap(F.col(ap_col), gmap_eps)).alias("GMAP"),
     ]
 
 
 def summarize(per_q: DataFrame, by: list[str] | None = None, ap_col: str = "ap",
-              digits: int | None = DIGITS) -> DataFrame:
+              digits: int | None = DIGITS, gmap_eps: float = 0.0) -> DataFrame:
     """Macro means + MAP + GMAP, overall or per group (one job)."""
-    aggs = summary_aggs(ap_col, digits)
+    aggs = summary_aggs(ap_col, digits, gmap_eps)
     if by:
         return per_q.groupBy(*by).agg(*aggs)
     return per_q.agg(*aggs)

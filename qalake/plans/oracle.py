@@ -49,6 +49,13 @@ ORACLE["retrieve_eval_by_batch"] = ("WITH " + _JUDGED.format(k=10)
 ORACLE["retrieve_eval_rank_ap"] = ("WITH " + _JUDGED.format(k=10)
                                    + f"SELECT batch, {_summary('rank_ap')} FROM pq GROUP BY batch")
 
+ORACLE["retrieve_eval_min_relevant"] = ("WITH " + _JUDGED.format(k=10) + """,
+pm AS (SELECT *, coalesce(ap_sum / nullif(least(n_rel, 10), 0), 0) AS ap_m FROM pq)
+SELECT batch, count(*) AS n_questions, round(avg(precision), 6) AS mean_precision,
+       round(avg(recall), 6) AS mean_recall, round(avg(f1), 6) AS mean_f1, round(avg(ap_m), 6) AS MAP,
+       round(exp(avg(ln(ap_m + 0.01))), 6) AS GMAP
+FROM pm GROUP BY batch""")
+
 ORACLE["eval_rollup"] = ("WITH " + _JUDGED.format(k=10)
                          + f"SELECT batch, {_summary('ap')} FROM pq GROUP BY ROLLUP (batch)")
 

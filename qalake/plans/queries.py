@@ -60,6 +60,15 @@ def retrieve_eval_rank_ap(spark: SparkSession, sf: str) -> DataFrame:
     return M.summarize(_per_q(spark, sf), by=["batch"], ap_col="rank_ap")
 
 
+@query("retrieve_eval_min_relevant")
+def retrieve_eval_min_relevant(spark: SparkSession, sf: str) -> DataFrame:
+    """M4 evaluator form: rank AP divided by min(|T|, 10), GMAP with an
+    epsilon shift (0.01) instead of the zero guard."""
+    per_q = M.per_question(S.embedding_judged(Tables(spark, sf), 10), keys=["batch"],
+                           ap_denominator="min_relevant", ap_epsilon=0.0)
+    return M.summarize(per_q, by=["batch"], ap_col="rank_ap", gmap_eps=0.01)
+
+
 @query("eval_rollup")
 def eval_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Per-batch rows and the overall row (batch null) from one rollup."""
