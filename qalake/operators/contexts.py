@@ -21,15 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qalake.operators.answers import dedup_predictions
-
 CONTEXT_SOURCES = ("by_documents", "by_snippets", "by_lda")
 
 
 def first_per_pmid(docs: DataFrame, key: str = "pmid", order: str = "doc_pos") -> DataFrame:
     """J3 prerequisite (W4): one document per key, the first by ingest order."""
-    best = docs.groupBy(key).agg(F.min(F.struct(order, *[c for c in docs.columns if c != key])).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in docs.columns if c != key])
+    rest = [c for c in docs.columns if c != key]
+    best = docs.groupBy(key).agg(
+        F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rest])).alias("_r"))
+    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def contexts_by_documents(links_long: DataFrame, docs: DataFrame, id_col: str = "id",
@@ -85,9 +85,11 @@ def predict(questions: DataFrame, ctx: DataFrame, reader: Reader, k: int,
     """K answers per question from any context source.
 
     ``reader`` maps a pandas batch with ``id, question, ctx_pos, context`` to
-    rows ``id, answer, score``; Spark ranks each question's candidates by
-    score (ties: answer text) with a group-limited window and removes repeats
-    keeping the first occurrence (W5)."""
+    rows ``id, answer, score``. Repeats are removed keeping the first
+    occurrence in score order (W5) -- i.e. each answer's best score, a partial
+    aggregate -- and the k best remain (score desc, ties: answer text) through
+    a group-limited window, so a question with many contexts never sorts all
+    of its candidates in one task."""
     pairs = ctx.join(questions.select(F.col(id_col).alias("id"), F.col(question).alias("question")), "id")
 
     def run(batches):
@@ -97,10 +99,10 @@ def predict(questions: DataFrame, ctx: DataFrame, reader: Reader, k: int,
                 yield out[["id", "answer", "score"]]
 
     cand = pairs.mapInPandas(run, schema="id string, answer string, score double")
+    best = cand.groupBy("id", "answer").agg(F.max("score").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("answer"))
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    dedup = dedup_predictions(ranked.withColumnRenamed("id", "qid"), qid="qid")
-    return dedup.where(F.col("rank") <= k).withColumnRenamed("qid", "id")
+    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("id", "rank", "answer", "score"))
 
 
 def judging_template(predictions: DataFrame, questions: DataFrame, qtype: str) -> DataFrame:
