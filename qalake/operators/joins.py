@@ -58,7 +58,8 @@ def containment_join(docs: DataFrame, needles: DataFrame, *, doc_id: str = "doc_
     short_n = n.join(n_tok.where(F.size("t") < 5).select("item_id"), "item_id")
 
     n_grams = long_n.select(
-        "item_id", F.posexplode(_gram_hashes(F.col("t"), 2, F.size("t") - 3)).alias("gpos", "g"))
+        "item_id", F.posexplode_outer(_gram_hashes(F.col("t"), 2, F.size("t") - 3)).alias("gpos", "g")) \
+        .where(F.col("g").isNotNull())
     # explode_outer (+ null filter) keeps Catalyst from inferring a size()
     # filter that would tokenise every document twice.
     d_grams = (d.select("doc_id", _tok("dtext").alias("t"))

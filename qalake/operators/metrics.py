@@ -239,9 +239,12 @@ def squad_scores(pairs: DataFrame, key: list[str], pred: str = "prediction",
     lens = base.select(*key, gold_key, F.size("pt").alias("np"), F.size("gt").alias("ng"),
                        (F.array_join("pt", " ") == F.array_join("gt", " ")).alias("em"))
     pk = key + [gold_key]
-    pc = (base.select(*pk, F.explode("pt").alias("tok")).groupBy(*pk, "tok")
+    # explode_outer + null filter: no inferred size() filter re-running the regexes
+    pc = (base.select(*pk, F.explode_outer("pt").alias("tok")).where(F.col("tok").isNotNull())
+          .groupBy(*pk, "tok")
           .agg(F.count(F.lit(1)).alias("cp")))
-    gc = (base.select(*pk, F.explode("gt").alias("tok")).groupBy(*pk, "tok")
+    gc = (base.select(*pk, F.explode_outer("gt").alias("tok")).where(F.col("tok").isNotNull())
+          .groupBy(*pk, "tok")
           .agg(F.count(F.lit(1)).alias("cg")))
     common = (pc.join(gc, pk + ["tok"]).groupBy(*pk)
               .agg(F.sum(F.least("cp", "cg")).alias("common")))

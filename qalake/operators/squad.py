@@ -81,7 +81,9 @@ def token_windows(df: DataFrame, key: list[str], question: str = "question",
     b = b.withColumn("budget", window_budget(F.col("nq"), max_len, overlap))
     step = F.col("budget") - F.lit(overlap)
     starts = F.sequence(F.lit(0), F.greatest(F.col("n_tokens") - F.lit(overlap), F.lit(1)) - 1, step)
-    return (b.select(*key, "nq", "n_tokens", "budget", F.posexplode(starts).alias("window_idx", "start_tok"))
+    # *_outer: a plain explode makes Catalyst infer size(...) > 0 and split
+    # the context a second time; sequence() is never empty here anyway.
+    return (b.select(*key, "nq", "n_tokens", "budget", F.posexplode_outer(starts).alias("window_idx", "start_tok"))
             .withColumn("end_tok", F.least(F.col("start_tok") + F.col("budget"), F.col("n_tokens"))))
 
 
@@ -175,7 +177,8 @@ def mask_offsets(offsets_col, sequence_ids_col, context_id: int = 1):
 def nbest_positions(logits: DataFrame, key: list[str], col: str, n_best: int = N_BEST,
                     valid=None) -> DataFrame:
     """The ``n_best`` largest entries of a logit array (ties: lower index)."""
-    x = logits.select(*key, F.posexplode(col).alias("idx", "logit"))
+    x = (logits.select(*key, F.posexplode_outer(col).alias("idx", "logit"))
+         .where(F.col("idx").isNotNull()))
     if valid is not None:
         x = x.where(valid(F.col("idx")))
     w = Window.partitionBy(*key).orderBy(F.desc("logit"), F.asc("idx"))

@@ -54,6 +54,7 @@ def stem_terms(toks: DataFrame, doc_id: str = "doc_id", col: str = "toks") -> Da
     then map every token through an equi join on the term. Returns
     ``(doc_id, pos, term, stem)``."""
     from qalake.functions.stem import porter_stem_udf
-    long = toks.select(doc_id, F.posexplode(col).alias("pos", "term"))
+    long = (toks.select(doc_id, F.posexplode_outer(col).alias("pos", "term"))
+            .where(F.col("term").isNotNull()))
     stems = long.select("term").distinct().withColumn("stem", porter_stem_udf(F.col("term")))
     return long.join(stems, "term").select(doc_id, "pos", "term", "stem")

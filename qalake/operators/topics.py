@@ -106,7 +106,9 @@ def topic_mix(model, vectors: DataFrame, key: str = "doc_id",
     """T5: long ``(key, topic, w)`` topic mixture, entries below
     ``min_probability`` dropped, no re-normalisation."""
     td = model.transform(vectors).select(key, vector_to_array("topicDistribution").alias("td"))
-    return (td.select(key, F.posexplode("td").alias("topic", "w"))
+    # posexplode_outer: a plain posexplode lets Catalyst infer a size() filter
+    # that would run the model's inference twice per document.
+    return (td.select(key, F.posexplode_outer("td").alias("topic", "w"))
             .where(F.col("w") >= min_probability))
 
 

@@ -124,7 +124,8 @@ def squad_inputs(t: Tables, materialize: bool = False):
                                        F.col("source").alias("title")), "doc_id")
              .join(t.benchmark.select("item_id", F.col("text").alias("question")), "item_id"))
     answers = t.benchmark.select(
-        "item_id", F.posexplode(F.split("text", SENTENCE_SPLIT)).alias("answer_idx", "answer"))
+        "item_id", F.posexplode_outer(F.split("text", SENTENCE_SPLIT)).alias("answer_idx", "answer")) \
+        .where(F.col("answer").isNotNull())
     return pairs, answers
 
 
@@ -170,7 +171,7 @@ def embedding_topic_mix(t: Tables) -> DataFrame:
     tot = F.aggregate(absv, F.lit(0.0), lambda a, x: a + x)
     mix = F.transform(absv, lambda x: F.coalesce(F.try_divide(x, tot), F.lit(0.0)))
     return t.embeddings.select(F.col("vec_id").alias("doc_id"),
-                               F.posexplode(mix).alias("topic", "w"))
+                               F.posexplode_outer(mix).alias("topic", "w")).where(F.col("w").isNotNull())
 
 
 def top_terms_by_group(t: Tables, group: str = "lang", n: int = 10) -> DataFrame:
