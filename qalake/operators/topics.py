@@ -229,9 +229,12 @@ def window_counts(tokens_long: DataFrame, top: DataFrame, window: int,
     pairs = (ranks.select(group, F.col("rank").alias("ra"))
              .join(ranks.select(group, F.col("rank").alias("rb")), group)
              .where(F.col("ra") < F.col("rb")))
-    both = (occ.join(F.broadcast(pairs), (occ[group] == pairs[group])
-                     & ((occ["rank"] == pairs["ra"]) | (occ["rank"] == pairs["rb"])))
-            .select("doc_id", occ[group].alias(group), "ra", "rb", "pos", "lo", "hi"))
+    # each occurrence goes to the n-1 pairs of its word: two equi joins on the
+    # (bounded) pair list of the topic's top words
+    cols = ["doc_id", group, "ra", "rb", "pos", "lo", "hi"]
+    as_a = occ.withColumnRenamed("rank", "ra").join(F.broadcast(pairs), [group, "ra"])
+    as_b = occ.withColumnRenamed("rank", "rb").join(F.broadcast(pairs), [group, "rb"])
+    both = as_a.select(*cols).unionByName(as_b.select(*cols))
     uni = union_len(both, ["doc_id", group, "ra", "rb"]).withColumnRenamed("len", "lu")
     sa = single.select("doc_id", group, F.col("rank").alias("ra"), F.col("len").alias("la"))
     sb = single.select("doc_id", group, F.col("rank").alias("rb"), F.col("len").alias("lb"))

@@ -297,7 +297,7 @@ GROUP BY batch, system"""
 ORACLE["top5_logs"] = "WITH " + _LB + """
 SELECT system, batch, mean_value FROM lb ORDER BY mean_value DESC, system, batch LIMIT 5"""
 ORACLE["other_systems"] = "WITH " + _LB + """
-SELECT system, batch, n_events FROM lb WHERE system IS DISTINCT FROM 'view' AND batch = '2024-01-15'"""
+SELECT system, batch, n_events FROM lb WHERE system IS DISTINCT FROM 'view'"""
 ORACLE["best_trial"] = """SELECT study, trial_id, score, k FROM (
   SELECT event_type AS study, event_id AS trial_id, value AS score,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
