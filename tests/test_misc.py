@@ -61,3 +61,28 @@ def test_s4_resumable_append(spark, tmp_dir):
     # the stored row for "2" is kept (skip keys already stored)
     assert questions.load_articles(spark, path).where("pmid = '2'").first().title == "t2"
     _ = new
+
+
+def test_j7_contexts_by_ranking_and_p11(spark):
+    import pytest
+    from qalake.operators import prep as P
+    ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11)], "q_id long, rank int, doc_id long")
+    docs = spark.createDataFrame([(10, "ten"), (11, "eleven")], "doc_id long, text string")
+    got = sorted((r.id, r.ctx_pos, r.context) for r in CX.contexts("by_lda", ranked=ranked, docs=docs).collect())
+    assert got == [(1, 0, "ten"), (1, 1, "eleven")]
+    assert P.require_columns(docs, ["doc_id"]) is docs
+    with pytest.raises(ValueError):
+        P.require_columns(docs, ["doc_id", "pmid"])
+
+
+def test_t14_checkpoint_scores():
+    from qalake.operators import tune
+    assert tune.checkpoint_scores(lambda it: it / 10, [1, 5]) == [(1, 0.1), (5, 0.5)]
+
+
+def test_spread_only_small_split_scans(spark, tmp_dir):
+    from qalake.sources.tables import spread
+    small = spark.range(10).coalesce(1)
+    assert "RoundRobinPartitioning" in spread(small, 4)._jdf.queryExecution().executedPlan().toString()
+    wide = spark.range(100).repartition(8)
+    assert spread(wide, 4) is wide
