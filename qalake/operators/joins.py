@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,59 +36,94 @@ def _gram_hashes(toks, first: int, last: int):
         lambda i: F.xxhash64(F.element_at(toks, i), F.element_at(toks, i + 1), F.element_at(toks, i + 2)))
 
 
+def _anchored_candidates(n_grams: DataFrame, d_grams: DataFrame, max_keys: int) -> DataFrame:
+    """(doc_id, item_id) candidates: each needle is anchored on its rarest gram.
+
+    ``n_grams`` is ``(item_id, gpos, g)``, ``d_grams`` ``(doc_id, g)``. The
+    needle gram set is broadcast with a proven size (counted first, at most
+    ``max_keys`` keys per broadcast); beyond that the needles are split into
+    hash chunks, each with its own bounded broadcast and document pass."""
+    n_keys = n_grams.select("g").distinct().count()
+    chunks = max(1, math.ceil(n_keys / max(max_keys, 1)))
+    parts = []
+    for c in range(chunks):
+        ng = n_grams if chunks == 1 else n_grams.where(
+            F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c)
+        keys = ng.select("g").distinct()
+        # Document grams some needle uses: small next to the corpus, and read
+        # by both the frequency count and the candidate join, so kept
+        # (MEMORY_AND_DISK, recomputed from lineage if an executor is lost).
+        matched = (d_grams.join(F.broadcast(keys), "g", "left_semi").distinct()
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+        freq = matched.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+        anchor = (ng.join(freq, "g").groupBy("item_id")
+                  .agg(F.min(F.struct("df", "gpos", "g")).alias("a"))
+                  .select("item_id", F.col("a.g").alias("g")))
+        parts.append(matched.join(anchor, "g").select("doc_id", "item_id"))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    return cand.distinct()
+
+
+def _char_grams(text, q: int):
+    """Distinct character q-grams of a text (empty when shorter than q)."""
+    return F.when(F.length(text) >= q, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substr(text, i, F.lit(q)))))
+
+
 def containment_join(docs: DataFrame, needles: DataFrame, *, doc_id: str = "doc_id",
                      doc_text: str = "text", needle_id: str = "item_id",
-                     needle_text: str = "text", short_needle_rows: int = 100_000) -> DataFrame:
+                     needle_text: str = "text", max_broadcast_keys: int = 5_000_000) -> DataFrame:
     """All (doc_id, needle_id) with ``needle_text`` a substring of ``doc_text``.
 
-    Exact, without a cross join. A needle's *interior* whitespace tokens
-    (all but its first and last) are whole, consecutive tokens of any
-    document that contains it, so each needle is anchored on the rarest of its
-    interior token trigrams; documents emit one hash per token trigram; an
-    equi join on the hash yields candidates that are verified with ``instr``
-    on the whole texts. Needles with fewer than three interior tokens (no
-    trigram) are verified against every document through a broadcast of that
-    short-needle set, whose row count is checked first.
+    Exact, with equi joins only. A needle's *interior* whitespace tokens (all
+    but its first and last) are whole, consecutive tokens of any document that
+    contains it, so a needle with at least three interior tokens is anchored
+    on the rarest of its interior token trigrams. Shorter needles are anchored
+    on the rarest of their character q-grams (q = 3, or the whole needle when
+    it is shorter); documents emit their distinct character q-grams only when
+    such needles exist. Candidates are verified with ``instr`` on the whole
+    texts, so the anchors only bound the work, never the result.
     """
     d = (docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("dtext"))
          .where(F.col("doc_id").isNotNull() & F.col("dtext").isNotNull()))
     n = (needles.select(F.col(needle_id).alias("item_id"), F.col(needle_text).alias("ntext"))
          .where(F.col("item_id").isNotNull() & F.col("ntext").isNotNull()))
 
-    n_tok = n.select("item_id", _tok("ntext").alias("t"))
+    n_tok = n.select("item_id", "ntext", _tok("ntext").alias("t"))
     long_n = n_tok.where(F.size("t") >= 5)
-    short_n = n.join(n_tok.where(F.size("t") < 5).select("item_id"), "item_id")
+    short_n = n_tok.where(F.size("t") < 5).select("item_id", "ntext")
 
-    n_grams = long_n.select(
-        "item_id", F.posexplode_outer(_gram_hashes(F.col("t"), 2, F.size("t") - 3)).alias("gpos", "g")) \
-        .where(F.col("g").isNotNull())
-    # explode_outer (+ null filter) keeps Catalyst from inferring a size()
-    # filter that would tokenise every document twice.
+    # token-trigram anchors (explode_outer + null filter: no inferred size()
+    # filter that would tokenise every document twice)
+    n_grams = (long_n.select("item_id", F.posexplode_outer(
+        _gram_hashes(F.col("t"), 2, F.size("t") - 3)).alias("gpos", "g"))
+        .where(F.col("g").isNotNull()))
     d_grams = (d.select("doc_id", _tok("dtext").alias("t"))
-               .select("doc_id", F.explode_outer(F.when(F.size("t") >= 3, _gram_hashes(F.col("t"), 1, F.size("t") - 2))).alias("g"))
+               .select("doc_id", F.explode_outer(F.when(
+                   F.size("t") >= 3, _gram_hashes(F.col("t"), 1, F.size("t") - 2))).alias("g"))
                .where(F.col("g").isNotNull()))
-    # Only document trigrams that some needle uses survive; this set is small
-    # compared with the corpus and feeds both the frequency count and the
-    # candidate join, so it is kept (MEMORY_AND_DISK; recomputed from lineage
-    # if an executor is lost) instead of tokenising the corpus twice.
-    matched = (d_grams.join(n_grams.select("g").distinct(), "g", "left_semi")
-               .distinct().persist(StorageLevel.MEMORY_AND_DISK))
-    freq = matched.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    anchor = (n_grams.join(freq, "g")
-              .groupBy("item_id")
-              .agg(F.min(F.struct("df", "gpos", "g")).alias("a"))
-              .select("item_id", F.col("a.g").alias("g")))
-    cand = matched.join(anchor, "g").select("doc_id", "item_id").distinct()
-    verified = (cand.join(d, "doc_id").join(n, "item_id")
-                .where(F.instr(F.col("dtext"), F.col("ntext")) > 0)
-                .select("doc_id", "item_id"))
-
-    n_short = short_n.limit(short_needle_rows + 1).count()
-    if n_short == 0:
-        return verified
-    if n_short > short_needle_rows:
-        raise ValueError("too many needles without an interior trigram to verify exhaustively")
-    # Bounded (row count checked above) broadcast of the few short needles.
-    short_hits = (d.join(F.broadcast(short_n), F.instr(F.col("dtext"), F.col("ntext")) > 0)
-                  .select("doc_id", "item_id"))
-    return verified.unionByName(short_hits)
+    cand = _anchored_candidates(n_grams, d_grams, max_broadcast_keys)
+
+    # character q-gram anchors for needles too short for a token trigram
+    qs = [r.q for r in short_n.select(F.least(F.length("ntext"), F.lit(3)).alias("q"))
+          .where(F.col("q") > 0).distinct().collect()]  # at most {1, 2, 3}
+    if qs:
+        sn = short_n.withColumn("q", F.least(F.length("ntext"), F.lit(3)))
+        grams = F.when(F.col("q") == 3, _char_grams(F.col("ntext"), 3)).otherwise(F.array(F.col("ntext")))
+        sn_grams = (sn.where(F.col("q") > 0)
+                    .select("item_id", "q", F.posexplode_outer(grams).alias("gpos", "s"))
+                    .where(F.col("s").isNotNull())
+                    .select("item_id", "gpos", F.xxhash64("q", "s").alias("g")))
+        dq = None
+        for q in sorted(qs):
+            part = (d.select("doc_id", F.explode_outer(_char_grams(F.col("dtext"), q)).alias("s"))
+                    .where(F.col("s").isNotNull())
+                    .select("doc_id", F.xxhash64(F.lit(q), "s").alias("g")))
+            dq = part if dq is None else dq.unionByName(part)
+        cand = cand.unionByName(_anchored_candidates(sn_grams, dq, max_broadcast_keys))
+
+    return (cand.join(d, "doc_id").join(n, "item_id")
+            .where(F.instr(F.col("dtext"), F.col("ntext")) > 0)
+            .select("doc_id", "item_id"))

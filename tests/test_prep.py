@@ -86,3 +86,17 @@ def test_prepare_composite(spark):
     assert sorted((x.id, x.pos) for x in found.collect()) == [("q1", 0), ("q1", 2)]
     empty, prof2 = P.prepare(q, corpus.where("false"))
     assert prof2.first().docs_per_query is None  # Q19: nothing survives -> null, no error
+
+
+def test_containment_short_needles_and_chunked_broadcast(spark):
+    rnd = random.Random(5)
+    docs = [(i, "".join(rnd.choice("ab c.") for _ in range(rnd.randint(0, 25)))) for i in range(40)]
+    needles = [(j, "".join(rnd.choice("ab c") for _ in range(rnd.randint(1, 12)))) for j in range(30)]
+    needles += [(100, "a"), (101, "b."), (102, "zz"), (103, "a b c a b c a b")]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    nn = spark.createDataFrame(needles, "item_id long, text string")
+    exp = {(i, j) for i, t in docs for j, n in needles if n in t}
+    got = {(r.doc_id, r.item_id) for r in containment_join(dd, nn).collect()}
+    assert got == exp
+    chunked = {(r.doc_id, r.item_id) for r in containment_join(dd, nn, max_broadcast_keys=7).collect()}
+    assert chunked == exp
