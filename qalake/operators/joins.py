@@ -1,4 +1,5 @@
-"""Join helpers: size-checked broadcast and the anchored containment join."""
+"""The anchored containment join (J12): equi joins on token / character grams,
+broadcasts of a counted size, exact verification."""
 
 from __future__ import annotations
 
@@ -10,19 +11,6 @@ from pyspark.sql import functions as F
 
 from qalake.functions.text import WS_RE
 
-# A side is broadcast only when it is proven small: its row count is checked.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows``
-    rows, else ``(df, False)`` and let AQE pick the join from shuffle stats."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def _tok(col: str):
     return F.filter(F.split(F.col(col), WS_RE), lambda x: x != "")
 
