@@ -20,7 +20,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
             .option("header", True).option("multiLine", True).option("escape", '"')
             .option("enforceSchema", True).option("mode", "PERMISSIVE")
             .csv(path)
-            .withColumn("file", F.col("_metadata.file_name"))
+            .withColumn("file", F.col("_metadata.file_path"))
             .withColumn("batch", batch_number(F.col("_metadata.file_name"))))
 
 
