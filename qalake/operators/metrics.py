@@ -155,15 +155,13 @@ def summarize(per_q: DataFrame, by: list[str] | None = None, ap_col: str = "ap",
 
 
 def evaluate(ranked: DataFrame, gold_pairs: DataFrame, by: list[str] | None = None,
-             metric: str = "MAP", ap_col: str = "ap", cutoff: int = 10) -> DataFrame:
+             ap_col: str = "ap", cutoff: int = 10) -> DataFrame:
     """Ranked retrieval + gold relation -> metric summary as a DataFrame
-    (overall, or per ``by`` keys carried on ``ranked``). Questions that
-    retrieved nothing are absent from ``ranked`` and score like the reference
-    (they are not in its ranked lists either)."""
-    judged = judge_ranked(ranked, gold_pairs)
-    per_q = per_question(judged, keys=by, cutoff=cutoff)
-    out = summarize(per_q, by=by, ap_col=ap_col)
-    return out if metric is None else out
+    (overall, or per ``by`` keys carried on ``ranked``): n_questions,
+    mean_precision, mean_recall, mean_f1, MAP, GMAP. Questions that retrieved
+    nothing are absent from ``ranked`` and from the summary."""
+    per_q = per_question(judge_ranked(ranked, gold_pairs), keys=by, cutoff=cutoff)
+    return summarize(per_q, by=by, ap_col=ap_col)
 
 
 def summarize_rollup(per_q: DataFrame, by: str, ap_col: str = "ap",
