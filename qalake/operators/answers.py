@@ -24,9 +24,11 @@ def answer_positions(preds: DataFrame, gold: DataFrame, qid: str = "qid") -> Dat
     """M5: 1-based rank of the first prediction equal to any synonym of any
     gold group; 0 when none matches. One row per question in ``preds``."""
     p = preds.select(qid, "rank", norm_answer(F.col("answer")).alias("n"))
-    g = gold.select(qid, norm_answer(F.col("synonym")).alias("n")).distinct()
-    hit = p.join(g, [qid, "n"]).groupBy(qid).agg(F.min("rank").alias("pos"))
-    return (preds.select(qid).distinct().join(hit, qid, "left")
+    g = (gold.select(qid, norm_answer(F.col("synonym")).alias("n")).distinct()
+         .withColumn("_hit", F.lit(True)))
+    # one pass over the predictions: left join, then the best matching rank
+    return (p.join(g, [qid, "n"], "left").groupBy(qid)
+            .agg(F.min(F.when(F.col("_hit"), F.col("rank"))).alias("pos"))
             .select(qid, F.coalesce(F.col("pos"), F.lit(0)).cast("int").alias("pos")))
 
 

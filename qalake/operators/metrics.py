@@ -8,6 +8,7 @@ other.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,8 +233,9 @@ def squad_scores(pairs: DataFrame, key: list[str], pred: str = "prediction",
     token (counts per side, ``least`` of the two), so texts of any length are
     handled whole and no token list is ever compared pairwise.
     """
-    base = pairs.select(*key, gold_key, squad_tokens(F.col(pred)).alias("pt"),
-                        squad_tokens(F.col(gold)).alias("gt"))
+    base = (pairs.select(*key, gold_key, squad_tokens(F.col(pred)).alias("pt"),
+                         squad_tokens(F.col(gold)).alias("gt"))
+            .persist(StorageLevel.MEMORY_AND_DISK))  # read by three branches
     lens = base.select(*key, gold_key, F.size("pt").alias("np"), F.size("gt").alias("ng"),
                        (F.array_join("pt", " ") == F.array_join("gt", " ")).alias("em"))
     pk = key + [gold_key]

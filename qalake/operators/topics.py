@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -159,9 +160,10 @@ def coherence_umass(top: DataFrame, doc_terms: DataFrame, eps: float = EPSILON,
     ``doc_terms`` is ``(doc_id, term)`` (any multiplicity). Documents are
     semi-joined to the top-word list first; pairs are built per document from
     top words only (at most n^2 per document)."""
-    n_docs = doc_terms.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("D"))
-    dt = doc_terms.select("doc_id", "term").distinct()
-    hit = dt.join(top.select(group, "rank", "term"), "term")
+    dt = doc_terms.select("doc_id", "term").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs = dt.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("D"))
+    top = top.select(group, "rank", "term").persist(StorageLevel.MEMORY_AND_DISK)
+    hit = dt.join(top, "term").persist(StorageLevel.MEMORY_AND_DISK)
     single = hit.groupBy(group, "rank").agg(F.count(F.lit(1)).alias("dl"))
     a = hit.select("doc_id", group, F.col("rank").alias("rm"))
     b = hit.select("doc_id", group, F.col("rank").alias("rl"))
@@ -209,13 +211,18 @@ def window_counts(tokens_long: DataFrame, top: DataFrame, window: int,
     |A n B| = |A| + |B| - |A u B|, the union taken over the merged
     occurrences of both words -- each occurrence is copied to the n-1 pairs
     of its word only, so the work is linear in occurrences."""
-    n = tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
+    # Several branches read these; keep them once (MEMORY_AND_DISK, rebuilt
+    # from lineage if an executor is lost) instead of re-tokenising per branch.
+    top = top.select(group, "rank", "term").persist(StorageLevel.MEMORY_AND_DISK)
+    n = (tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
     nwin = F.greatest(F.col("last") + 1 - F.lit(window) + 1, F.lit(1))
     W = n.agg(F.sum(nwin)).scalar()
-    occ = (tokens_long.join(top.select(group, "rank", "term"), "term").join(n, "doc_id")
+    occ = (tokens_long.join(top, "term").join(n, "doc_id")
            .select("doc_id", group, "rank", "pos",
                    F.greatest(F.col("pos") - F.lit(window - 1), F.lit(0)).alias("lo"),
-                   F.least(F.col("pos"), nwin - 1).alias("hi")))
+                   F.least(F.col("pos"), nwin - 1).alias("hi"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
 
     def union_len(df: DataFrame, part: list[str]) -> DataFrame:
         w = Window.partitionBy(*part).orderBy("pos")
@@ -223,7 +230,7 @@ def window_counts(tokens_long: DataFrame, top: DataFrame, window: int,
         return (df.withColumn("_c", F.greatest(F.col("hi") - start + 1, F.lit(0)))
                 .groupBy(*part).agg(F.sum("_c").alias("len")))
 
-    single = union_len(occ, ["doc_id", group, "rank"])
+    single = union_len(occ, ["doc_id", group, "rank"]).persist(StorageLevel.MEMORY_AND_DISK)
     p1 = single.groupBy(group, "rank").agg(F.sum("len").alias("c1"))
     ranks = top.select(group, "rank")
     pairs = (ranks.select(group, F.col("rank").alias("ra"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,12 +268,12 @@ def token_windows(spark, sf):
 def window_labels(spark, sf):
     """Answer start/end positions per window (0 when cut by an edge)."""
     t = Tables(spark, sf)
-    rows = _squad_rows(t, materialize=True)
+    # rows and token offsets are each read by several branches: keep them once
+    rows = _squad_rows(t, materialize=True).persist(StorageLevel.MEMORY_AND_DISK)
     key = ["doc_id", "item_id", "answer_idx"]
     windows = Q.token_windows(rows, key)
-    ctx = t.documents.join(rows.select("doc_id").distinct(), "doc_id", "left_semi") \
-        .select("doc_id", F.col("text").alias("context"))
-    offsets = Q.token_offsets(ctx, ["doc_id"])
+    ctx = rows.select("doc_id", "context").dropDuplicates(["doc_id"])
+    offsets = Q.token_offsets(ctx, ["doc_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     ans = rows.select(*key, "answer_start", F.length("answer_text").alias("answer_len"))
     return Q.window_labels(windows, offsets, ans, key, ["doc_id"])
 
