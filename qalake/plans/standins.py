@@ -206,7 +206,9 @@ class LdaFit:
         from qalake.functions.text import tokens
         from qalake.operators import topics as TP
         self.t = t
-        # tokens feed the vocabulary and the vectors: tokenise once
+        # Tokens feed the vocabulary, the vectors and (in the analyses) term
+        # counts and lengths -- up to four reads: tokenise once and keep them
+        # (MEMORY_AND_DISK spills at corpus scale; rebuilt from lineage if lost).
         self.docs = t.documents.select("doc_id", tokens("text").alias("toks")) \
             .where(F.size("toks") > 0).persist(StorageLevel.MEMORY_AND_DISK)
         self.cv = TP.count_vectors(self.docs, vocab_size=vocab_size)
