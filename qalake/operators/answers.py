@@ -43,24 +43,27 @@ def dedup_predictions(preds: DataFrame, qid: str = "qid") -> DataFrame:
 
 def list_counts(preds: DataFrame, gold: DataFrame, qid: str = "qid",
                 count_repeats_as_fp: bool = False) -> DataFrame:
-    """M6: TP = gold groups hit, FP = predictions equal to no synonym,
-    FN = groups - TP. With ``count_repeats_as_fp`` a repeated spelling of an
-    already matched group counts as a false positive (human-judge behaviour)."""
+    """M6: TP = gold groups hit (a group is hit when any of its synonyms equals
+    any prediction -- one prediction may hit several groups), FP = predictions
+    equal to no synonym, FN = groups - TP. With ``count_repeats_as_fp`` a
+    prediction whose groups were all hit by an earlier prediction also counts
+    as a false positive (human-judge behaviour for repeated spellings)."""
     p = preds.select(qid, "rank", norm_answer(F.col("answer")).alias("n"))
     g = gold.select(qid, "grp", norm_answer(F.col("synonym")).alias("n")).distinct()
-    matched = p.join(g, [qid, "n"], "left")
-    per_pred = matched.groupBy(qid, "rank").agg(F.min("grp").alias("grp"))
+    matched = p.join(g, [qid, "n"], "left").select(qid, "rank", "grp").distinct()
+    first = (matched.where(F.col("grp").isNotNull()).groupBy(qid, "grp")
+             .agg(F.min("rank").alias("first_rank")))
+    per_pred = (matched.join(first, [qid, "grp"], "left")
+                .groupBy(qid, "rank")
+                .agg(F.max(F.col("grp").isNotNull()).alias("hit"),
+                     F.max(F.coalesce(F.col("rank") == F.col("first_rank"), F.lit(False))).alias("new")))
+    fp_flag = ~F.col("hit")
     if count_repeats_as_fp:
-        from pyspark.sql import Window
-        w = Window.partitionBy(qid, "grp").orderBy("rank")
-        per_pred = per_pred.withColumn(
-            "grp", F.when(F.col("grp").isNull() | (F.row_number().over(w) > 1), F.lit(None))
-            .otherwise(F.col("grp")))
-    pc = per_pred.groupBy(qid).agg(
-        F.countDistinct("grp").alias("tp"),
-        F.count(F.when(F.col("grp").isNull(), 1)).alias("fp"))
+        fp_flag = fp_flag | ~F.col("new")
+    fp = per_pred.groupBy(qid).agg(F.count(F.when(fp_flag, 1)).alias("fp"))
+    tp = matched.groupBy(qid).agg(F.countDistinct("grp").alias("tp"))
     groups = g.groupBy(qid).agg(F.countDistinct("grp").alias("n_groups"))
-    return (pc.join(groups, qid, "left")
+    return (tp.join(fp, qid).join(groups, qid, "left")
             .select(qid, F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
                     (F.coalesce(F.col("n_groups"), F.lit(0)) - F.col("tp")).cast("long").alias("fn")))
 

@@ -100,3 +100,12 @@ def test_containment_short_needles_and_chunked_broadcast(spark):
     assert got == exp
     chunked = {(r.doc_id, r.item_id) for r in containment_join(dd, nn, max_broadcast_keys=7).collect()}
     assert chunked == exp
+
+
+def test_m6_one_prediction_hits_two_groups_and_repeats(spark):
+    preds = spark.createDataFrame([(1, 1, "x"), (1, 2, "X "), (1, 3, "y")], "qid long, rank int, answer string")
+    gold = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (1, 2, "z")], "qid long, grp int, synonym string")
+    c = A.list_counts(preds, gold).first()
+    assert (c.tp, c.fp, c.fn) == (2, 1, 1)          # "x" hits groups 0 and 1
+    r = A.list_counts(preds, gold, count_repeats_as_fp=True).first()
+    assert (r.tp, r.fp, r.fn) == (2, 2, 1)          # the repeated spelling "X " is a FP

@@ -152,3 +152,24 @@ def test_x12_duplicate_questions_in_judged_files(spark):
     distinct = df.select("file", "body").distinct().count()
     assert surplus == df.count() - distinct
     assert surplus == 17
+
+
+@pytest.mark.skipif(not HAVE_ROOT, reason="QALAKE_JUDGED_ROOT not set")
+def test_m6_automatic_list_counts_on_judged_files(spark):
+    """M6 over every judged list file: 254 rows, the automatic TP equals the
+    human one on 115, with 352 automatic TP against 568 human ones."""
+    from qalake.operators import answers as A
+    files = [p for g in _by_header().values() for p in g["list"]]
+    df = (judged.read_list_judged(spark, files).where(F.col("tp").isNotNull())
+          .withColumn("qid", F.monotonically_increasing_id()))
+    ok = df.where(F.col("exact_answer").isNotNull() & F.col("predicted_answers").isNotNull())
+    preds = (ok.select("qid", F.posexplode("predicted_answers").alias("r0", "p"))
+             .select("qid", (F.col("r0") + 1).alias("rank"), F.col("p")[0].alias("answer")))
+    gold = (ok.select("qid", F.posexplode("exact_answer").alias("grp", "syns"))
+            .select("qid", "grp", F.explode("syns").alias("synonym")))
+    c = A.list_counts(preds, gold).withColumnRenamed("tp", "atp")
+    j = ok.join(c, "qid", "left").withColumn("atp", F.coalesce("atp", F.lit(0)))
+    assert ok.count() == 254
+    assert j.where(F.col("atp") == F.col("tp")).count() == 115
+    assert j.agg(F.sum("atp")).first()[0] == 352
+    assert j.agg(F.sum("tp")).first()[0] == 568
