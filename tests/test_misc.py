@@ -86,3 +86,11 @@ def test_spread_only_small_split_scans(spark, tmp_dir):
     assert "RoundRobinPartitioning" in spread(small, 4)._jdf.queryExecution().executedPlan().toString()
     wide = spark.range(100).repartition(8)
     assert spread(wide, 4) is wide
+
+
+def test_cluster_conf_sizes_partitions():
+    from qalake.session import cluster_conf
+    c = cluster_conf(100 << 40, cores=8000)          # 100 TB over 8000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert int(cluster_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+    assert c["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
