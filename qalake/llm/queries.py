@@ -81,7 +81,7 @@ bw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n,
 dw AS (SELECT r, i, n, array_to_string(w[i + 1:i + n], ' ') AS s
        FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) ON len(w) >= n)),
 h AS (SELECT r, i, dw.n AS n, item FROM dw JOIN bw ON dw.s = bw.s AND dw.n = bw.n),
-hit AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS at FROM h) GROUP BY r),
+hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM h) GROUP BY r),
 items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM h GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -122,11 +122,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
 g AS (SELECT r, doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS s
       FROM (SELECT r, doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
 f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
-gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS at FROM g JOIN f USING (s) WHERE doc_id > least),
-lost AS (SELECT r, list(at) AS at, count(*) AS n FROM gone GROUP BY r)
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS pos FROM g JOIN f USING (s) WHERE doc_id > least),
+lost AS (SELECT r, list(pos) AS pos, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE
-           list_transform(list_filter(list_zip(w, range(0, len(w))), lambda x: NOT list_contains(at, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+           list_transform(list_filter(list_zip(w, range(0, len(w))), lambda x: NOT list_contains(pos, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN lost USING (r)
 """
 
