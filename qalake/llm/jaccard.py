@@ -20,9 +20,9 @@ bound discarded; what is left is verified on whole sets.
   scan chunk, summed over all chunks; the ``hints`` most frequent are
   broadcast (size fixed by the parameter). Any order is exact; a good one only
   makes columns short.
-* Large near-copy groups: first every column links its members to one pivot
-  (star), these links are verified and merged into components; only then are
-  pairs formed, between different components of a column.
+* Large near-copy groups: first every column links its members to a few
+  pivots (stars), these links are verified and merged into components; only
+  then are pairs formed, between different components of a column.
 """
 
 from __future__ import annotations
@@ -203,8 +203,10 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     spark = docs.sparkSession
     hints = spark.sparkContext.broadcast(_hints(sets, p))
     rows = written(_prefixes(docs, hints, p), "prefixes")
-    by = written(rows.groupBy("gram").agg(F.min("rid").alias("pivot"), F.max("rid").alias("other"))
-                 .where("pivot < other").select("gram", "pivot"), "columns")
+    mixed = F.xxhash64("rid")
+    by = rows.groupBy("gram").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"),
+                                  F.min_by("rid", mixed).alias("p1"), F.max_by("rid", mixed).alias("p2")).where("lo < hi")
+    by = written(by.select("gram", F.array_distinct(F.array("lo", "hi", "p1", "p2")).alias("pivots")), "columns")
     entries = written(rows.join(by, "gram").dropDuplicates(["gram", "rid"]), "entries")  # columns of two sets or more
     held = written(entries.groupBy("rid").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams")), "rows")
 
@@ -216,7 +218,8 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
         return pairs.join(x, "a").join(y, "b").where(sizes) \
             .where(F.size(F.array_intersect("ga", "gb")) >= least).select("a", "b")
 
-    stars = entries.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
+    stars = entries.select(F.explode("pivots").alias("p"), "rid").where("rid <> p") \
+        .select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
     found = _verified(docs, fitting(stars), p)
     roots = written(components(found), "roots")
 
