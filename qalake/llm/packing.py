@@ -8,6 +8,7 @@ f(c) the least cost of a stream cut at c,
     f(c) = penalty(c) + window_cost + min( min over b in [c-L, c) of f(b) + L - (c - b),
                                            min over k of f(c - 2^k) )
 
+where lengths below ``least_window`` are left out but near the stream's end.
 The first minimum is a sliding-window minimum of f(b) + b, kept in a monotone
 queue; the second holds the lengths that need no padding. The DP runs on
 chunks of a bounded number of tokens; the windows near a chunk's end are left
@@ -40,14 +41,16 @@ class PackParams:
     sentence_penalty: int = 6     # cost of a cut at a sentence end, in padding tokens
     forced_penalty: int = 24      # cost of a cut inside a sentence
     window_cost: int = 16         # cost of each window, so that short ones stay rare
+    least_window: int = 64        # shorter windows only within the last `sequence` tokens of a stream
     forced_gap: int = 96
     chunk_tokens: int = 1 << 18
     ranks_path: str | None = None
 
 
-def candidate_cuts(ids: np.ndarray, doc_end: np.ndarray, enc, p: PackParams) -> tuple[np.ndarray, np.ndarray]:
+def candidate_cuts(ids: np.ndarray, doc_end: np.ndarray, enc, p: PackParams, final: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ascending cut positions (1..len(ids)) and their penalties; len(ids) is
-    always one. ``doc_end``: positions just past an end id."""
+    always one. ``doc_end``: positions just past an end id. ``final``: the
+    stream ends here, so its last window may be cut anywhere."""
     n = len(ids)
     kind = np.full(n + 1, -1, np.int64)
     if n > 1:
@@ -63,33 +66,40 @@ def candidate_cuts(ids: np.ndarray, doc_end: np.ndarray, enc, p: PackParams) ->
     if len(wide):
         extra = np.concatenate([np.arange(cuts[i] - gaps[i] + step, cuts[i], step) for i in wide])
         kind[extra] = p.forced_penalty
-        cuts = np.flatnonzero(kind >= 0)
+    if final:
+        tail = kind[max(1, n - p.sequence):]
+        tail[tail < 0] = p.forced_penalty
+    cuts = np.flatnonzero(kind >= 0)
     return cuts, kind[cuts]
 
 
 def best_cuts(cuts: np.ndarray, penalties: np.ndarray, p: PackParams) -> list[int]:
     """Window ends (a subset of ``cuts``, the last one included) of least cost."""
-    size, fixed = p.sequence, p.window_cost
-    steps = [1 << k for k in range(size.bit_length() - 1)]  # shorter powers of two; `size` needs no padding anyway
-    cost = {0: 0}
-    back = {0: -1}
+    size, fixed, n = p.sequence, p.window_cost, int(cuts[-1])
+    powers = [1 << k for k in range(size.bit_length() - 1)]  # `size` itself needs no padding anyway
+    long_ones = [s for s in powers if s >= p.least_window]  # shorter windows only near the end
+    none = 1 << 62
+    cost = [none] * (size + n + 1)  # shifted by `size`, so that c - 2^k may fall before the start
+    back = [0] * (n + 1)
+    cost[size] = 0
     queue = deque([(0, 0)])  # (f(b) + b, b), ascending in both
     for c, pen in zip(cuts.tolist(), penalties.tolist()):
-        while c - queue[0][1] > size:
+        while queue[0][1] < c - size:
             queue.popleft()
         key, b = queue[0]
         best = key + size - c
-        for s in steps:
-            v = cost.get(c - s)
-            if v is not None and v < best:
-                best, b = v, c - s
+        at = c + size
+        for s in long_ones if c < n - size else powers:
+            if cost[at - s] < best:
+                best, b = cost[at - s], c - s
         best += pen + fixed
-        cost[c], back[c] = best, b
+        cost[at] = best
+        back[c] = b
         key = best + c
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, c))
-    ends, c = [], int(cuts[-1])
+    ends, c = [], n
     while c > 0:
         ends.append(c)
         c = back[c]
@@ -116,7 +126,7 @@ class _Stream:
         p = self.p
         ids = np.concatenate(self.parts)
         ends = np.array([s + t for _, s, t in self.docs])
-        cuts, pen = candidate_cuts(ids, ends[ends > 0], self.enc, p)
+        cuts, pen = candidate_cuts(ids, ends[ends > 0], self.enc, p, final)
         stops = best_cuts(cuts, pen, p)
         if not final:  # the end of the chunk is no real end: leave the last windows open
             stops = [s for s in stops if s <= self.n - 4 * p.sequence]

@@ -1,9 +1,6 @@
 """Byte-level BPE ids of whole texts.
 
-The vocabulary file is a parameter (ranks file of a public tokenizer). Every
-token boundary of the pattern falls before a space that follows a character
-other than white space, so a text may be cut there, and the ids of each piece
-(a word with its leading space) are kept in a bounded table.
+The vocabulary file is a parameter (ranks file of a public tokenizer).
 """
 
 from __future__ import annotations
@@ -14,9 +11,6 @@ import numpy as np
 
 from qalake.llm.words import worker_cache
 
-CACHE_PIECES = 200_000  # pieces kept in a worker; then the table starts anew
-_PIECE_CHARS = 64       # longer pieces are encoded but not kept
-
 
 def default_ranks() -> str:
     import public_tokenizers
@@ -44,37 +38,10 @@ class Encoder:
             self.ends_sentence[i] = token[-1:] in (b".", b"!", b"?")
             self.starts_space[i] = token[:1].isspace()
             self.ends_line[i] = token.endswith(b"\n")
-        self._pieces: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids; null and empty text have none."""
-        if not text:
-            return np.empty(0, "<u4")
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return np.frombuffer(self._encode(text), "<u4")
-        known = self._pieces
-        found = list(map(known.get, rest))
-        if None in found:
-            for i, piece in enumerate(rest):
-                if found[i] is None:
-                    if not piece or piece[-1].isspace():  # white space before a space: no cut there
-                        if i + 1 == len(rest) and piece:
-                            found[i] = self._encode(" " + piece)
-                            continue
-                        return np.frombuffer(self._encode(text), "<u4")
-                    got = known.get(piece)
-                    if got is None:
-                        got = self._encode(" " + piece)
-                        if len(piece) <= _PIECE_CHARS:
-                            if len(known) >= CACHE_PIECES:
-                                known.clear()
-                            known[piece] = got
-                    found[i] = got
-        return np.frombuffer(self._encode(first) + b"".join(found), "<u4")
+        return np.array(self._bpe.encode_ordinary(text), "<u4") if text else np.empty(0, "<u4")
 
 
 def encoder(ranks_path: str | None) -> Encoder:

@@ -38,7 +38,7 @@ def test_ids_equal_the_tokenizer(reference):
 
 def test_best_cuts_are_optimal():
     rng = random.Random(3)
-    p = PackParams(sequence=16, window_cost=2)
+    p = PackParams(sequence=16, window_cost=2, least_window=4)
     for _ in range(60):
         n = rng.randrange(1, 60)
         cuts = sorted({*rng.sample(range(1, n + 1), rng.randrange(1, n + 1)), *range(10, n, 10), n})
@@ -48,13 +48,16 @@ def test_best_cuts_are_optimal():
             total, last = 0, 0
             for e in ends:
                 size = e - last
-                total += (0 if size & (size - 1) == 0 else p.sequence - size) + p.window_cost + pens[cuts.index(e)]
+                free = size & (size - 1) == 0 and (size >= p.least_window or e >= n - p.sequence)
+                total += (0 if free else p.sequence - size) + p.window_cost + pens[cuts.index(e)]
                 last = e
             return total
+        def padding(c, size):
+            free = size & (size - 1) == 0 and (size >= p.least_window or c >= n - p.sequence)
+            return 0 if free else p.sequence - size
         best = {0: 0}
         for i, c in enumerate(cuts):
-            best[c] = min(best[b] + (0 if (c - b) & (c - b - 1) == 0 else p.sequence - (c - b)) + p.window_cost + pens[i]
-                          for b in best if c - b <= p.sequence)
+            best[c] = min(best[b] + padding(c, c - b) + p.window_cost + pens[i] for b in best if c - b <= p.sequence)
         got = best_cuts(np.array(cuts), np.array(pens), p)
         assert cost(got) == best[n]
 
