@@ -11,8 +11,9 @@ every row is enough, and a pair must share at least
 
 columns of the two prefixes. The product is formed over prefixes only: a
 column held by one distinct set is dropped, the entries of the others are
-joined by column, overlap counts are accumulated by pair and pairs below the
-bound discarded; what is left is verified on whole sets.
+joined by column (where their positions allow a link), the overlap of the two
+prefixes is counted for each pair met, pairs below the bound are discarded,
+and what is left is verified on whole sets.
 
 * Equal sets are one row (keyed by a hash of the set), so a group of copies
   costs no more than one document.
@@ -117,7 +118,8 @@ def _hints(sets: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, hints, p: JaccardParams) -> DataFrame:
-    """(gram, rid, n): the prefix columns of every distinct set of a task."""
+    """(gram, rid, n, pos): the prefix columns of every distinct set of a task,
+    pos counting from 1 in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, freq = hints.value
@@ -143,9 +145,11 @@ def _prefixes(docs: DataFrame, hints, p: JaccardParams) -> DataFrame:
             if cols:
                 lens = [len(c) for c in cols]
                 yield pa.record_batch([pa.array(signed(np.concatenate(cols))), pa.array(np.repeat(rids, lens), pa.int64()),
-                                       pa.array(np.repeat(sizes, lens), pa.int32())], names=["gram", "rid", "n"])
+                                       pa.array(np.repeat(sizes, lens), pa.int32()),
+                                       pa.array(np.concatenate([np.arange(1, k + 1) for k in lens]), pa.int32())],
+                                      names=["gram", "rid", "n", "pos"])
 
-    return docs.mapInArrow(run, "gram long, rid long, n int")
+    return docs.mapInArrow(run, "gram long, rid long, n int, pos int")
 
 
 def _whole_sets(docs: DataFrame, wanted, p: JaccardParams) -> DataFrame:
@@ -169,11 +173,11 @@ def _whole_sets(docs: DataFrame, wanted, p: JaccardParams) -> DataFrame:
     return docs.mapInArrow(run, "rid long, items binary").dropDuplicates(["rid"])
 
 
-def _bounds(a: Column, b: Column, p: JaccardParams) -> tuple[Column, Column]:
-    """(sizes may link, least number of common prefix columns)."""
+def _bounds(a: Column, b: Column, p: JaccardParams) -> tuple[Column, Column, Column]:
+    """(sizes may link, least overlap t, least number of common prefix columns)."""
     big, small = F.greatest(a, b).cast("long"), F.least(a, b).cast("long")
     t = F.ceil(p.num * (big + small) / F.lit(p.num + p.den))
-    return small * p.den >= big * p.num, t - F.ceil(p.num * big / F.lit(p.den)) + 1
+    return small * p.den >= big * p.num, t, t - F.ceil(p.num * big / F.lit(p.den)) + 1
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame:
@@ -214,7 +218,7 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
         """Pairs (a, b) whose prefixes overlap enough."""
         x = held.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
         y = held.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-        sizes, least = _bounds(F.col("na"), F.col("nb"), p)
+        sizes, _, least = _bounds(F.col("na"), F.col("nb"), p)
         return pairs.join(x, "a").join(y, "b").where(sizes) \
             .where(F.size(F.array_intersect("ga", "gb")) >= least).select("a", "b")
 
@@ -223,18 +227,22 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     found = _verified(docs, fitting(stars), p)
     roots = written(components(found), "roots")
 
-    # pairs between different components of a column: the sparse product, counts accumulated by pair
-    own = written(entries.select("gram", "rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
+    # pairs between different components of a column. The first common column of a linked pair stands at most
+    # n - t + 1 from the start of both rows, and the pair is met there only: no column before it is common
+    own = written(entries.select("gram", "rid", "n", "pos").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
                   .withColumn("root", F.coalesce("root", "rid")), "members")
     mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    open_ = own.join(mixed, "gram")
-    x = open_.select("gram", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("gram", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    sizes, least = _bounds(F.col("na"), F.col("nb"), p)
-    pairs = (x.join(y, "gram").where("a < b").where("ra <> rb").where(sizes)
-             .groupBy("a", "b").agg(F.count("*").alias("common"), F.first(least).alias("least"))
-             .where("common >= least").select("a", "b"))
-    more = _verified(docs, pairs, p)
+    open_ = written(own.join(mixed, "gram"), "open")
+    lists = open_.groupBy("rid").agg(F.collect_list(F.struct("pos", "gram")).alias("cols"))
+    open_ = open_.join(lists, "rid").withColumn("before", F.transform(
+        F.filter("cols", lambda c: c["pos"] < F.col("pos")), lambda c: c["gram"])).drop("cols")
+    x = open_.select("gram", F.col("before").alias("xs"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
+    y = open_.select("gram", F.col("before").alias("ys"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("pos").alias("pb"))
+    sizes, t, _ = _bounds(F.col("na"), F.col("nb"), p)
+    near = (F.col("pa") <= F.col("na") - t + 1) & (F.col("pb") <= F.col("nb") - t + 1)
+    first = ~F.arrays_overlap("xs", "ys")
+    pairs = x.join(y, "gram").where("a < b").where("ra <> rb").where(sizes & near & first).select("a", "b")
+    more = _verified(docs, fitting(pairs), p)
     if more.isEmpty():
         return roots
     return components(found.unionByName(more))
