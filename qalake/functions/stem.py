@@ -34,11 +34,13 @@ STEP4_SUFFIXES = [
 
 def _cons(w: str, i: int) -> bool:
     c = w[i]
-    if c in _VOWELS:
-        return False
-    if c == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
+    if c != "y":
+        return c not in _VOWELS
+    first = i  # a y counts by the letter before it: along a run of them the kind alternates
+    while first > 0 and w[first - 1] == "y":
+        first -= 1
+    starts = first == 0 or w[first - 1] in _VOWELS
+    return starts == ((i - first) % 2 == 0)
 
 
 def _measure(stem: str) -> int:

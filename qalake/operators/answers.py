@@ -20,15 +20,25 @@ def norm_answer(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def answer_positions(preds: DataFrame, gold: DataFrame, qid: str = "qid") -> DataFrame:
+def _questions(preds: DataFrame, gold: DataFrame, qid: str, questions: DataFrame | None) -> DataFrame:
+    """Every question once: the given ones, else all with a gold answer or a prediction."""
+    if questions is not None:
+        return questions.select(qid).distinct()
+    return gold.select(qid).unionByName(preds.select(qid)).distinct()
+
+
+def answer_positions(preds: DataFrame, gold: DataFrame, qid: str = "qid",
+                     questions: DataFrame | None = None) -> DataFrame:
     """M5: 1-based rank of the first prediction equal to any synonym of any
-    gold group; 0 when none matches. One row per question in ``preds``."""
+    gold group; 0 when none matches. One row per question, answered or not
+    (``questions``, else all that ``gold`` or ``preds`` name)."""
     p = preds.select(qid, "rank", norm_answer(F.col("answer")).alias("n"))
     g = (gold.select(qid, norm_answer(F.col("synonym")).alias("n")).distinct()
          .withColumn("_hit", F.lit(True)))
     # one pass over the predictions: left join, then the best matching rank
-    return (p.join(g, [qid, "n"], "left").groupBy(qid)
-            .agg(F.min(F.when(F.col("_hit"), F.col("rank"))).alias("pos"))
+    found = (p.join(g, [qid, "n"], "left").groupBy(qid)
+             .agg(F.min(F.when(F.col("_hit"), F.col("rank"))).alias("pos")))
+    return (_questions(preds, gold, qid, questions).join(found, qid, "left")
             .select(qid, F.coalesce(F.col("pos"), F.lit(0)).cast("int").alias("pos")))
 
 
@@ -42,12 +52,14 @@ def dedup_predictions(preds: DataFrame, qid: str = "qid") -> DataFrame:
 
 
 def list_counts(preds: DataFrame, gold: DataFrame, qid: str = "qid",
-                count_repeats_as_fp: bool = False) -> DataFrame:
+                count_repeats_as_fp: bool = False, questions: DataFrame | None = None) -> DataFrame:
     """M6: TP = gold groups hit (a group is hit when any of its synonyms equals
     any prediction -- one prediction may hit several groups), FP = predictions
     equal to no synonym, FN = groups - TP. With ``count_repeats_as_fp`` a
     prediction whose groups were all hit by an earlier prediction also counts
-    as a false positive (human-judge behaviour for repeated spellings)."""
+    as a false positive (human-judge behaviour for repeated spellings). One row
+    per question, answered or not: without a prediction TP = FP = 0 and FN =
+    all groups."""
     p = preds.select(qid, "rank", norm_answer(F.col("answer")).alias("n"))
     g = gold.select(qid, "grp", norm_answer(F.col("synonym")).alias("n")).distinct()
     matched = p.join(g, [qid, "n"], "left").select(qid, "rank", "grp").distinct()
@@ -63,9 +75,11 @@ def list_counts(preds: DataFrame, gold: DataFrame, qid: str = "qid",
     fp = per_pred.groupBy(qid).agg(F.count(F.when(fp_flag, 1)).alias("fp"))
     tp = matched.groupBy(qid).agg(F.countDistinct("grp").alias("tp"))
     groups = g.groupBy(qid).agg(F.countDistinct("grp").alias("n_groups"))
-    return (tp.join(fp, qid).join(groups, qid, "left")
-            .select(qid, F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
-                    (F.coalesce(F.col("n_groups"), F.lit(0)) - F.col("tp")).cast("long").alias("fn")))
+    n_tp, n_fp, n_groups = (F.coalesce(F.col(c), F.lit(0)) for c in ("tp", "fp", "n_groups"))
+    return (_questions(preds, gold, qid, questions).join(tp, qid, "left").join(fp, qid, "left")
+            .join(groups, qid, "left")
+            .select(qid, n_tp.cast("long").alias("tp"), n_fp.cast("long").alias("fp"),
+                    (n_groups - n_tp).cast("long").alias("fn")))
 
 
 def locate_answer(context: Column, answer: Column) -> Column:

@@ -128,9 +128,10 @@ def _asof_token(offsets: DataFrame, probes: DataFrame, key: list[str], ctx_key:
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         v = F.last("_t", ignorenulls=True).over(w)
     else:
-        w = (Window.partitionBy(*ctx_key).orderBy("_p", "_o")
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        v = F.first("_t", ignorenulls=True).over(w)
+        # walked from the end, so that the frame grows: a shrinking one is computed anew for every row
+        w = (Window.partitionBy(*ctx_key).orderBy(F.desc("_p"), F.desc("_o"))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        v = F.last("_t", ignorenulls=True).over(w)
     res = u.withColumn(out, v).where(F.col("_t").isNull())
     return res.select(*ctx_key, *[F.col(k) for k in other], out)
 

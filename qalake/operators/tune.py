@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qalake.sources.questions import path_exists
 from qalake.schemas import TRIAL
 
 
@@ -53,10 +54,9 @@ def params_key(params_col: str = "params"):
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    try:
+    if path_exists(spark, path):
         return spark.read.schema(TRIAL).parquet(path)
-    except Exception:  # noqa: BLE001 - empty study
-        return spark.createDataFrame([], TRIAL)
+    return spark.createDataFrame([], TRIAL)  # empty study
 
 
 def pending(spark: SparkSession, candidates: list[dict], trials_path: str, study: str,

@@ -423,10 +423,11 @@ def stem_tokens(spark, sf):
     """Porter stems per document, stemmed once per distinct term."""
     t = Tables(spark, sf)
     st = TXT.stem_terms(S.doc_tokens(t))
-    return (st.groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
-            .select("doc_id", F.size("s").alias("n_tokens"),
-                    F.array_join(F.transform("s", lambda x: x["stem"]), " ").alias("stems")))
+    stems = st.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
+    # documents without a token stay
+    return (t.documents.select("doc_id").join(stems, "doc_id", "left")
+            .select("doc_id", F.coalesce(F.size("s"), F.lit(0)).alias("n_tokens"),
+                    F.coalesce(F.array_join(F.transform("s", lambda x: x["stem"]), " "), F.lit("")).alias("stems")))
 
 
 @query("lda_topics")

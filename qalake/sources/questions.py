@@ -66,17 +66,31 @@ def load_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def append_new_articles(spark: SparkSession, incoming: DataFrame, table_path: str,
                         key: str = "pmid") -> DataFrame:
-    """Resumable ingest -- keep only keys not stored yet and append them
-    in one write (instead of rewriting the table after every row)."""
-    try:
+    """Resumable ingest -- keep only keys not stored yet, the first row
+    of each, and append them in one write (instead of rewriting the table after
+    every row)."""
+    new = first_rows(incoming, key)
+    if path_exists(spark, table_path):
         stored = spark.read.schema(incoming.schema).parquet(table_path).select(key)
-        new = incoming.join(stored, key, "left_anti")
-    except Exception:  # noqa: BLE001 - first run: nothing stored yet
-        new = incoming
+        new = new.join(stored, key, "left_anti")
+    new = new.select(*incoming.columns)
     new.write.mode("append").parquet(table_path)
     return new
 
 
+def first_rows(df: DataFrame, key: str) -> DataFrame:
+    """The first row of each key in the order the rows come; rows without a key go."""
+    rows = df.where(F.col(key).isNotNull()).withColumn("_order", F.monotonically_increasing_id())
+    return (rows.groupBy(key).agg(F.min_by(F.struct(*df.columns), "_order").alias("_first"))
+            .select("_first.*"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table path is there, asked of its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def snippets_long(questions: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, pos, text) of the gold snippets."""
     return questions.select(id_col, F.posexplode("snippets").alias("pos", "s")).select(
