@@ -233,14 +233,14 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
                   .withColumn("root", F.coalesce("root", "rid")), "members")
     mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
     open_ = written(own.join(mixed, "gram"), "open")
-    lists = open_.groupBy("rid").agg(F.collect_list(F.struct("pos", "gram")).alias("cols"))
-    open_ = open_.join(lists, "rid").withColumn("before", F.transform(
-        F.filter("cols", lambda c: c["pos"] < F.col("pos")), lambda c: c["gram"])).withColumn("cols", F.col("cols.gram"))
+    lists = open_.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("cols"))
+    open_ = open_.join(lists, "rid").withColumn("before", F.size(F.filter("cols", lambda c: c["pos"] < F.col("pos")))) \
+        .withColumn("cols", F.col("cols.gram"))
     x = open_.select("gram", F.col("before").alias("xs"), F.col("cols").alias("xc"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
     y = open_.select("gram", F.col("before").alias("ys"), F.col("cols").alias("yc"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("pos").alias("pb"))
     sizes, t, least = _bounds(F.col("na"), F.col("nb"), p)
     near = (F.col("pa") <= F.col("na") - t + 1) & (F.col("pb") <= F.col("nb") - t + 1)
-    first = ~F.arrays_overlap("xs", "ys")
+    first = ~F.arrays_overlap(F.slice("xc", F.lit(1), F.col("xs")), F.slice("yc", F.lit(1), F.col("ys")))
     enough = F.size(F.array_intersect("xc", "yc")) >= least  # all their common columns are open: the roots differ
     pairs = x.join(y, "gram").where("a < b").where("ra <> rb").where(sizes & near & first & enough).select("a", "b")
     more = _verified(docs, pairs, p)
