@@ -207,11 +207,11 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     spark = docs.sparkSession
     hints = spark.sparkContext.broadcast(_hints(sets, p))
     rows = written(_prefixes(docs, hints, p), "prefixes")
+    shared = rows.groupBy("gram").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("gram")
+    entries = written(rows.join(shared, "gram").dropDuplicates(["gram", "rid"]), "entries")  # columns of two sets or more
     mixed = F.xxhash64("rid")
-    by = rows.groupBy("gram").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"),
-                                  F.min_by("rid", mixed).alias("p1"), F.max_by("rid", mixed).alias("p2")).where("lo < hi")
-    by = written(by.select("gram", F.array_distinct(F.array("lo", "hi", "p1", "p2")).alias("pivots")), "columns")
-    entries = written(rows.join(by, "gram").dropDuplicates(["gram", "rid"]), "entries")  # columns of two sets or more
+    by = entries.groupBy("gram").agg(F.array_distinct(F.array(F.min("rid"), F.max("rid"), F.min_by("rid", mixed),
+                                                              F.max_by("rid", mixed))).alias("pivots"))
     held = written(entries.groupBy("rid").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams")), "rows")
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -222,15 +222,14 @@ def links(docs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
         return pairs.join(x, "a").join(y, "b").where(sizes) \
             .where(F.size(F.array_intersect("ga", "gb")) >= least).select("a", "b")
 
-    stars = entries.select(F.explode("pivots").alias("p"), "rid").where("rid <> p") \
+    stars = entries.join(by, "gram").select(F.explode("pivots").alias("p"), "rid").where("rid <> p") \
         .select(F.least("p", "rid").alias("a"), F.greatest("p", "rid").alias("b")).distinct()
     found = _verified(docs, fitting(stars), p)
     roots = written(components(found), "roots")
 
     # pairs between different components of a column. The first common column of a linked pair stands at most
     # n - t + 1 from the start of both rows, and the pair is met there only: no column before it is common
-    own = written(entries.select("gram", "rid", "n", "pos").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-                  .withColumn("root", F.coalesce("root", "rid")), "members")
+    own = entries.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
     open_ = written(own.join(mixed, "gram"), "open")
     lists = open_.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("cols"))
