@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIM_DIGITS = 6
+SIM_DIGITS = 6     # of the similarity returned
+RANK_DIGITS = 12   # of the similarity ranked: only the noise of summation order goes, so equal vectors tie
 
 
 def unit_vector(col: Column | str) -> Column:
@@ -65,7 +66,7 @@ def _tile_topk(sims: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return cs, ci
 
 
-def _score_blocks(k: int, exclude_self: bool, digits: int, q_tile: int = Q_TILE,
+def _score_blocks(k: int, exclude_self: bool, q_tile: int = Q_TILE,
                   d_tile: int = D_TILE):
     """One (query block, document block) group: tiled products with a running
     exact top-k, so memory is bounded by the tile sizes, not the blocks."""
@@ -85,7 +86,7 @@ def _score_blocks(k: int, exclude_self: bool, digits: int, q_tile: int = Q_TILE,
             best_i = np.full((len(qi), k), np.iinfo(np.int64).max, dtype=np.int64)
             for d0 in range(0, len(d_ids), d_tile):
                 di = d_ids[d0:d0 + d_tile]
-                sims = np.round(qm[q0:q0 + q_tile] @ dm[d0:d0 + d_tile].T, digits)
+                sims = np.round(qm[q0:q0 + q_tile] @ dm[d0:d0 + d_tile].T, RANK_DIGITS)
                 if exclude_self:
                     sims[qi[:, None] == di[None, :]] = -np.inf
                 cs, ci = _tile_topk(sims, di, k)
@@ -112,8 +113,9 @@ def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 10, *,
     """Exact top-k documents per query by cosine similarity.
 
     Returns ``(q_id long, rank int, doc_id long, sim double)``; ``rank`` is
-    1-based, ties go to the lower ``doc_id`` (stable corpus order, Q9/W1), and
-    every query gets ``min(k, |docs|)`` rows even when similarities are 0 (Q10).
+    1-based, ties go to the lower ``doc_id`` (stable corpus order, Q9/W1), the
+    similarity is rounded to ``digits`` only after ranking, and every query gets
+    ``min(k, |docs|)`` rows even when similarities are 0 (Q10).
 
     Block sizes bound what one group holds (rows x dimension x 8 bytes); the
     number of document blocks is at least the cluster parallelism so that
@@ -138,12 +140,12 @@ def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 10, *,
 
     cand = (q_rep.groupBy("qb", "db")
             .cogroup(d_rep.groupBy("qb", "db"))
-            .applyInPandas(_score_blocks(k, exclude_self, digits, q_tile, d_tile),
+            .applyInPandas(_score_blocks(k, exclude_self, q_tile, d_tile),
                            schema="q_id long, doc_id long, sim double"))
     w = Window.partitionBy("q_id").orderBy(F.desc("sim"), F.asc("doc_id"))
     return (cand.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
-            .select("q_id", "rank", "doc_id", "sim"))
+            .select("q_id", "rank", "doc_id", F.round("sim", digits).alias("sim")))
 
 
 def attach_keys(ranked: DataFrame, docs: DataFrame, d_id: str = "doc_id",

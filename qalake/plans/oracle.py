@@ -4,14 +4,14 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
-# Ranked neighbours of every embedding: cosine on doubles, rounded to 6
-# places, ties to the lower id, self excluded.
+# Ranked neighbours of every embedding: cosine on doubles (12 places, so equal
+# vectors tie), ties to the lower id, self excluded; rounded to 6 places after ranking.
 _RANKED = """
 v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS q_id, b.vec_id AS doc_id,
-             round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS sim
+             round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 12) AS raw
       FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-ranked AS (SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, doc_id) AS INTEGER) AS rank, doc_id, sim
+ranked AS (SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY raw DESC, doc_id) AS INTEGER) AS rank, doc_id, round(raw, 6) AS sim
            FROM s QUALIFY rank <= {k})
 """
 
