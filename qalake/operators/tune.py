@@ -120,34 +120,30 @@ def checkpoint_scores(fit_at: Callable[[int], float], checkpoints: list[int]) ->
 
 
 def lda_objective(question_toks: DataFrame, doc_toks: DataFrame, gold_pairs: DataFrame,
-                  metric: str = "MAP", vocab_size: int = 5000, topn: int = 10,
-                  n_docs: int | None = None):
+                  metric: str = "MAP", vocab_size: int | None = None, topn: int = 10):
     """SURVEY 3.1 as an objective for ``run_study``: params (num_topics,
-    chunksize, passes, ...) -> online LDA on the documents -> topic vectors of
-    questions and documents -> exact top-n cosine retrieval -> metric against
-    the gold (q_id, doc_id) pairs. Every step is a Spark job; only the score
-    comes back."""
-    from pyspark import StorageLevel
-
+    passes) -> LDA on the documents -> topic vectors of questions and
+    documents -> exact top-n cosine retrieval -> metric against the gold
+    (q_id, doc_id) pairs. Every step is a Spark job; only the score comes back.
+    Other parameters (chunk size, decay) belong to online updates and change
+    nothing here. The whole vocabulary is used unless ``vocab_size`` asks for
+    the most frequent terms only."""
+    from qalake.operators import lda
     from qalake.operators import metrics as M
-    from qalake.operators import topics as TP
     from qalake.operators.retrieve import cosine_topk
+    from qalake.operators.textops import bag_of_words, term_counts, vocabulary
+    from qalake.session import ensure_checkpoint_dir
 
-    cv = TP.count_vectors(doc_toks, vocab_size=vocab_size)
-    dvec = cv.transform(doc_toks).select("doc_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    qvec = cv.transform(question_toks).select("doc_id", "features")
-    n = n_docs if n_docs is not None else dvec.count()
+    ensure_checkpoint_dir(doc_toks.sparkSession)
+    bag = term_counts(doc_toks) if vocab_size is None else \
+        bag_of_words(doc_toks, vocabulary(doc_toks, max_terms=vocab_size))
+    bag = bag.checkpoint()
+    q_bag = term_counts(question_toks).checkpoint()
 
     def objective(params: dict) -> float:
-        p = TP.lda_params_from_reference(
-            num_topics=int(params.get("num_topics", 10)), chunksize=int(params.get("chunksize", 2000)),
-            passes=int(params.get("passes", 1)), n_docs=n,
-            update_every=int(params.get("update_every", 1)),
-            decay=float(params.get("decay", 0.5)), offset=float(params.get("offset", 1.0)))
-        model = TP.fit_lda(dvec, p)
-        q = TP.topic_vectors(model, qvec).withColumnRenamed("doc_id", "q_id")
-        d = TP.topic_vectors(model, dvec)
-        ranked = cosine_topk(q, d, k=topn)
+        model = lda.fit(bag, int(params.get("num_topics", 10)), int(params.get("passes", 1)))
+        q = lda.topic_vectors(model, question_toks, q_bag).withColumnRenamed("doc_id", "q_id")
+        ranked = cosine_topk(q, lda.topic_vectors(model, doc_toks, bag), k=topn)
         score = M.evaluate(ranked, gold_pairs).first()[metric]
         if score is None:
             raise ValueError("empty evaluation")

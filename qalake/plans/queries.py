@@ -17,6 +17,7 @@ from qalake.operators import answers as A
 from qalake.operators import compare as C
 from qalake.operators import contexts as CX
 from qalake.operators import dedup as D
+from qalake.operators import lda
 from qalake.operators import metrics as M
 from qalake.operators import prep as P
 from qalake.operators import squad as Q
@@ -432,9 +433,8 @@ def stem_tokens(spark, sf):
 
 @query("lda_topics")
 def lda_topics(spark, sf):
-    """Online LDA (k=10) on the documents, top 5 terms per topic."""
-    fit = S.LdaFit(Tables(spark, sf))
-    return TP.describe_topics(fit.model, fit.vocab, 5)
+    """LDA (k=10) on the documents, top 5 terms per topic."""
+    return lda.describe_topics(S.LdaFit(Tables(spark, sf)).model, 5)
 
 
 @query("lda_retrieve")
@@ -445,11 +445,9 @@ def lda_retrieve(spark, sf):
     from qalake.operators.retrieve import cosine_topk
     t = Tables(spark, sf)
     fit = S.LdaFit(t)
-    qv = fit.cv.transform(t.benchmark.select(F.col("item_id").alias("doc_id"),
-                                             tokens("text").alias("toks")))
-    q = TP.topic_vectors(fit.model, qv).withColumnRenamed("doc_id", "q_id")
-    d = TP.topic_vectors(fit.model, fit.doc_vectors)
-    return cosine_topk(q, d, k=10)
+    qs = t.benchmark.select(F.col("item_id").alias("doc_id"), tokens("text").alias("toks"))
+    q = lda.topic_vectors(fit.model, qs, TXT.term_counts(qs)).withColumnRenamed("doc_id", "q_id")
+    return cosine_topk(q, fit.doc_vectors(), k=10)
 
 
 @query("topic_relevance")
@@ -458,13 +456,11 @@ def topic_relevance(spark, sf):
     prevalence weighted by document length."""
     t = Tables(spark, sf)
     fit = S.LdaFit(t)
-    phi = TP.topic_term_table(fit.model, fit.vocab)
-    tc = TXT.term_counts(fit.docs).join(fit.vocab, "term")
-    p = tc.groupBy("term").agg(F.sum("tf").alias("cf"))
+    p = fit.bag.groupBy("term").agg(F.sum("tf").alias("cf"))
     p = p.select("term", (F.col("cf") / p.agg(F.sum("cf")).scalar()).alias("p"))
-    rel = TP.term_relevance(phi, p, 0.6, 5)
-    mix = TP.topic_mix(fit.model, fit.doc_vectors, min_probability=0.0)
-    prev = TP.topic_prevalence(mix, fit.docs.select("doc_id", F.size("toks").alias("len")))
+    rel = TP.term_relevance(lda.topic_terms(fit.model), p, 0.6, 5)
+    mix = fit.doc_vectors(0.0).select("doc_id", F.posexplode("vec").alias("topic", "w"))
+    prev = TP.topic_prevalence(mix, fit.lengths)
     return rel.join(prev, "topic")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qalake.operators.retrieve import cosine_topk
+from qalake.operators.topics import MIN_PROBABILITY
+from qalake.session import ensure_checkpoint_dir
 from qalake.sources.tables import Tables
 
 
@@ -199,24 +201,20 @@ def tokens_long(t: Tables, keep: list[str] | None = None, persist: bool = False)
 
 
 class LdaFit:
-    """CountVectorizer + online LDA on the documents' F3 tokens."""
+    """LDA on the F3 tokens of every document, whole vocabulary, ``n_passes``
+    full passes; documents without a token stay."""
 
-    def __init__(self, t: Tables, k: int = 10, vocab_size: int = 2000, max_iter: int = 10,
-                 subsampling_rate: float = 0.1, seed: int = 1):
+    def __init__(self, t: Tables, k: int = 10, n_passes: int = 5, seed: int = 1):
         from qalake.functions.text import tokens
-        from qalake.operators import topics as TP
-        self.t = t
-        # Tokens feed the vocabulary, the vectors and (in the analyses) term
-        # counts and lengths -- up to four reads: tokenise once and keep them
-        # (MEMORY_AND_DISK spills at corpus scale; rebuilt from lineage if lost).
-        self.docs = t.documents.select("doc_id", tokens("text").alias("toks")) \
-            .where(F.size("toks") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-        self.cv = TP.count_vectors(self.docs, vocab_size=vocab_size)
-        self.vocab = TP.vocabulary_table(self.cv)
-        # Sparse count vectors are far smaller than the text and LDA reads
-        # them once per iteration: keep them (recomputable from lineage if an
-        # executor is lost).
-        self.doc_vectors = self.cv.transform(self.docs).select("doc_id", "features") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        self.model = TP.fit_lda(self.doc_vectors, TP.LdaParams(
-            k=k, max_iter=max_iter, subsampling_rate=subsampling_rate, seed=seed))
+        from qalake.operators import lda
+        from qalake.operators.textops import term_counts
+        self.docs = t.documents.select("doc_id", tokens("text").alias("toks"))
+        # read by the fit, the vectors and the term counts: written once
+        ensure_checkpoint_dir(t.spark)
+        self.bag = term_counts(self.docs).checkpoint()
+        self.lengths = self.docs.select("doc_id", F.greatest(F.size("toks"), F.lit(0)).alias("len"))
+        self.model = lda.fit(self.bag, k, n_passes, seed=seed)
+
+    def doc_vectors(self, min_probability: float = MIN_PROBABILITY) -> DataFrame:
+        from qalake.operators import lda
+        return lda.topic_vectors(self.model, self.docs, self.bag, min_probability)
