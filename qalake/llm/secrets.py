@@ -2,21 +2,26 @@
 
 Base findings are three patterns. The method adds spans: runs of the base64
 alphabet that look random. For each run an encoding is inferred from the
-characters it uses, and three tests are taken against a random string of that
-alphabet: chi-squared uniformity, runs of digits and non-digits, and lag-one
-serial correlation. A run that fails one of them is structured. For the rest,
-the p-value is the chance that structured text of that length would look as
-uniform (normal approximation around the coincidence rate of text); short runs
-carry little evidence, so their p-values are large. Discoveries are chosen by
-Benjamini-Hochberg within strata of encoding and length. The p-values are
-counted in bins of a tenth of a decade, so the control needs one small
+characters it uses, and four tests are taken against a random string of that
+alphabet: chi-squared uniformity, runs of digits and non-digits, lag-one
+serial correlation, and the run's surprise, its mean bits per character under
+a model of names and words (``SURPRISE``: which class of character follows
+which, and how frequent a letter is). A run that fails one of them is
+structured. For the rest, the p-value is the chance that a structured run is as
+surprising. That null is normal; its mean and spread are those of the runs of
+the stratum that failed a test, with ``prior_runs`` runs of the model itself
+added, so that a stratum without structured runs has a null as well.
+Discoveries are chosen by Benjamini-Hochberg within strata of encoding and
+length. Surprise is counted in bins, so null and control need one small
 aggregate whatever the number of runs.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +35,74 @@ RUN = r"[A-Za-z0-9+/_=-]{%d,}"
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# encoding: (pattern, alphabet, coincidence rate of structured text in it, sum of cubed letter shares there)
+# encoding: (pattern, alphabet)
 ENCODINGS = {
-    "decimal": (r"^[0-9]+$", _DIGITS, 0.20, 0.06),
-    "hex": (r"^[0-9a-f]+$", _DIGITS + "abcdef", 0.20, 0.06),
-    "hexupper": (r"^[0-9A-F]+$", _DIGITS + "ABCDEF", 0.20, 0.06),
-    "lower": (r"^[a-z]+$", _LOWER, 0.066, 0.0065),
-    "upper": (r"^[A-Z]+$", _UPPER, 0.066, 0.0065),
-    "letters": (r"^[A-Za-z]+$", _LOWER + _UPPER, 0.066, 0.0065),
-    "base32": (r"^[A-Z2-7]+=*$", _UPPER + "234567", 0.066, 0.0065),
-    "base36": (r"^[0-9a-z]+$", _DIGITS + _LOWER, 0.066, 0.0065),
-    "base64": (r"", _DIGITS + _LOWER + _UPPER + "+/_-", 0.066, 0.0065),
+    "decimal": (r"^[0-9]+$", _DIGITS),
+    "hex": (r"^[0-9a-f]+$", _DIGITS + "abcdef"),
+    "hexupper": (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    "lower": (r"^[a-z]+$", _LOWER),
+    "upper": (r"^[A-Z]+$", _UPPER),
+    "letters": (r"^[A-Za-z]+$", _LOWER + _UPPER),
+    "base32": (r"^[A-Z2-7]+=*$", _UPPER + "234567"),
+    "base36": (r"^[0-9a-z]+$", _DIGITS + _LOWER),
+    "base64": (r"", _DIGITS + _LOWER + _UPPER + "+/_-"),
 }
 
+_MARKS = "+/_-="
+_PLACES = _DIGITS + _LOWER + _UPPER + _MARKS
+# letters per thousand in running text of western languages, a to z
+_SHARES = dict(zip(_LOWER, [82, 15, 30, 40, 125, 20, 20, 45, 70, 2, 8, 42, 26, 70, 72, 22, 2, 62, 66, 88, 30, 10, 20, 2, 17, 2]))
+# class of a character -> class of the next one: digit, lower vowel and consonant, upper vowel and consonant, mark
+_NEXT = {
+    "d": {"d": 0.70, "v": 0.04, "c": 0.06, "V": 0.02, "C": 0.03, "m": 0.15},
+    "v": {"d": 0.02, "v": 0.12, "c": 0.73, "V": 0.01, "C": 0.02, "m": 0.10},
+    "c": {"d": 0.02, "v": 0.45, "c": 0.40, "V": 0.01, "C": 0.02, "m": 0.10},
+    "V": {"d": 0.04, "v": 0.08, "c": 0.40, "V": 0.06, "C": 0.34, "m": 0.08},
+    "C": {"d": 0.04, "v": 0.30, "c": 0.18, "V": 0.20, "C": 0.20, "m": 0.08},
+    "m": {"d": 0.15, "v": 0.20, "c": 0.35, "V": 0.07, "C": 0.13, "m": 0.10},
+}
+
+
+def _class(c: str) -> str:
+    if not c.isalpha():
+        return "d" if c.isdigit() else "m"
+    return ("V" if c.isupper() else "v") if c.lower() in "aeiou" else ("C" if c.isupper() else "c")
+
+
+def _model() -> np.ndarray:
+    """Chance of each character (column) after each one (row) in structured text."""
+    share = np.array([_SHARES.get(c.lower(), 1.0) for c in _PLACES])
+    kind = np.array([_class(c) for c in _PLACES])
+    out = np.zeros((len(_PLACES),) * 2)
+    for a, row in _NEXT.items():
+        for b, chance in row.items():
+            out[np.ix_(kind == a, kind == b)] = chance * share[kind == b] / share[kind == b].sum()
+    return out
+
+
+#: Bits of each character after each one.
+SURPRISE = -np.log2(_model())
+
+
+def _expected(alphabet: str) -> tuple[float, float, float, float]:
+    """(mean, spread of one step) of the surprise of random strings of an
+    alphabet, and of strings of the model within it; steps are dependent, so
+    the spread holds the covariances of neighbouring ones."""
+    at = [_PLACES.index(c) for c in alphabet]
+    bits = SURPRISE[np.ix_(at, at)]
+    chance = _model()[np.ix_(at, at)]
+    out = []
+    for step in (np.full(bits.shape, 1 / len(at)), chance / chance.sum(1, keepdims=True)):
+        start = np.linalg.matrix_power(step, 64)[0]
+        mean = float(start @ (step * bits).sum(1))
+        off = bits - mean
+        var = float(start @ (step * off ** 2).sum(1)) + 2 * float((start[:, None] * step * off).sum(0) @ (step * off).sum(1))
+        out += [mean, math.sqrt(max(var, 1e-6))]
+    return tuple(out)
+
+
+EXPECTED = {k: _expected(v[1]) for k, v in ENCODINGS.items()}
+
 
 @dataclass(frozen=True)
 class SecretParams:
@@ -50,7 +110,10 @@ class SecretParams:
     value_least: int = 6       # characters of an assigned value
     battery: float = 0.001     # a randomness test below this p-value fails the run
     fdr: float = 0.01          # false-discovery rate within a stratum
-    bins: int = 200            # tenths of a decade of the p-value
+    bins: int = 1000           # bins of the surprise
+    bin_bits: float = 0.02     # bits per character of a bin
+    prior_runs: int = 50       # structured runs that the model counts for in each stratum
+    prior_spread: float = 0.4  # bits per character: spread of the mean surprise between kinds of structured runs
 
 
 def _normal(z: Column) -> Column:
@@ -98,28 +161,32 @@ def _named(x: Column) -> Column:
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), s.alias("s"), n.alias("n"), name.alias("enc"))
 
 
+def _pick(enc: Column, values: dict) -> Column:
+    """The value of an encoding."""
+    out = F.lit(values["base64"])
+    for k, v in values.items():
+        out = F.when(enc == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def _stats(x: Column) -> Column:
-    """Adds the sums of the tests: squares of letter counts, digits, runs, and
-    sums of the letters' places for the serial correlation."""
-    def pick(i):
-        out = F.lit(ENCODINGS["base64"][i])
-        for k, v in ENCODINGS.items():
-            out = F.when(x["enc"] == k, F.lit(v[i])).otherwise(out)
-        return out
-    alphabet = pick(1)
+    """Adds the sums of the tests: squares of letter counts, digits, runs, the
+    letters' places for the serial correlation and those for the surprise."""
+    alphabet = _pick(x["enc"], {k: v[1] for k, v in ENCODINGS.items()})
     letters = F.regexp_extract_all(alphabet, F.lit("."), F.lit(0))
     squares = F.aggregate(F.transform(letters, lambda c: F.pow(x["n"] - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2.0))),
                           F.lit(0.0), lambda a, v: a + v)
     place = F.transform(F.regexp_extract_all(x["s"], F.lit("."), F.lit(0)), lambda c: F.instr(alphabet, c).cast("double"))
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["enc"].alias("enc"),
-                    F.length(alphabet).cast("double").alias("k"), pick(2).alias("rate"), pick(3).alias("cubes"),
-                    squares.alias("squares"), place.alias("place"),
+                    F.length(alphabet).cast("double").alias("k"), squares.alias("squares"), place.alias("place"),
+                    F.transform(F.regexp_extract_all(x["s"], F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(_PLACES), c)).alias("at"),
                     F.length(F.regexp_replace(x["s"], "[^0-9]", "")).cast("double").alias("digits"),
                     F.size(F.regexp_extract_all(x["s"], F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double").alias("runs"))
 
 
 def _judged(x: Column, p: SecretParams) -> Column:
-    """struct<start, end, stratum, bin> of one run: bin 0 for structured ones."""
+    """struct<start, end, stratum, bin, fails> of one run: bin of its surprise, and
+    whether a test tells it from a random string."""
     n, k = x["n"], x["k"]
     chi = k / n * x["squares"] - n
     # Wilson-Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
@@ -137,33 +204,50 @@ def _judged(x: Column, p: SecretParams) -> Column:
                       F.lit(0.0), lambda s, y: s + y)
     below = F.aggregate(F.transform(centred, lambda y: y * y), F.lit(0.0), lambda s, y: s + y)
     p_serial = F.when(below > 0, 2 * (1 - _normal(F.abs((top / F.greatest(below, F.lit(1e-9)) + 1 / n) * F.sqrt(n))))).otherwise(F.lit(0.0))
-    # structured text of this length: mean and spread of the same statistic
-    expect = k / n * (n + n * (n - 1) * x["rate"]) - n
-    sd = k / n * F.sqrt(4 * n * n * n * F.greatest(x["cubes"] - x["rate"] * x["rate"], F.lit(1e-4)) + 2 * n * n * x["rate"] * x["rate"])
-    value = F.when(F.least(p_chi, p_runs, p_serial) * 3 < p.battery, F.lit(1.0)).when(x["enc"] == "decimal", F.lit(1.0)) \
-        .otherwise(_normal((chi - expect) / sd))
-    binned = F.least(F.floor(-10 * F.log10(F.greatest(value, F.lit(1e-30)))).cast("int"), F.lit(p.bins))
+    bits = F.split(F.lit(",".join(f"{v:.4f}" for v in SURPRISE.ravel())), ",").cast("array<double>")
+    steps = F.zip_with(F.slice(x["at"], F.lit(1), size - 1), F.slice(x["at"], F.lit(2), size - 1),
+                       lambda u, w: F.get(bits, (u - 1) * len(_PLACES) + w - 1))
+    surprise = F.aggregate(steps, F.lit(0.0), lambda s, y: s + y) / (n - 1)
+    mean, spread = (_pick(x["enc"], {k: v[i] for k, v in EXPECTED.items()}) for i in (0, 1))
+    p_surprise = _normal((surprise - mean) / (spread / F.sqrt(n - 1)))
+    fails = (F.least(p_chi, p_runs, p_serial, p_surprise) * 4 < p.battery) | (x["enc"] == "decimal")
+    binned = F.least(F.floor(F.least(surprise, mean) / p.bin_bits).cast("int"), F.lit(p.bins))
     length = F.when(n < 28, "short").when(n < 48, "middle").otherwise("long")
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", x["enc"], length).alias("stratum"),
-                    F.greatest(binned, F.lit(0)).alias("bin"))
+                    F.greatest(binned, F.lit(0)).alias("bin"), fails.alias("fails"))
 
 
 def tested_runs(text: Column, p: SecretParams) -> Column:
-    """array<struct<start,end,stratum,bin>> of all runs of a text."""
+    """array<struct<start,end,stratum,bin,fails>> of all runs of a text."""
     found = matches(text, RUN % p.run_least)
     named = F.transform(found, _named)
     return F.transform(F.transform(named, _stats), lambda x: _judged(x, p))
 
 
 def thresholds(runs: DataFrame, p: SecretParams) -> DataFrame:
-    """(stratum, least bin) of the discoveries; ``runs``: stratum, bin.
-    A bin's p-values count at its upper edge, so the rate holds."""
-    bins = runs.groupBy("stratum", "bin").agg(F.count("*").alias("n"))  # a few strata times ``bins`` rows
+    """(stratum, least bin) of the discoveries; ``runs``: stratum, bin, fails.
+    A bin's p-values count at its upper edge, so the rate holds.
+
+    Runs that fail give the null; random strings fail as well, at the rate
+    ``battery`` of each test, so failures count only beyond ten times that rate
+    of the other runs."""
+    bins = runs.groupBy("stratum", "bin", "fails").agg(F.count("*").alias("n"))  # a few strata times ``bins`` rows
+    enc = F.split("stratum", "/")[0]
+    least_n = _pick(F.split("stratum", "/")[1], {"short": p.run_least, "middle": 28, "long": 48, "base64": p.run_least}) - 1
+    prior = _pick(enc, {k: v[2] for k, v in EXPECTED.items()})
+    spread = F.pow(_pick(enc, {k: v[3] for k, v in EXPECTED.items()}), F.lit(2.0)) / least_n + p.prior_spread ** 2
+    at, all_ = (F.col("bin") + 0.5) * p.bin_bits, Window.partitionBy("stratum")
+    failed = F.when(F.col("fails"), F.col("n")).otherwise(0)
+    null = bins.select("*", F.sum("n").over(all_).alias("m"), F.sum(failed).over(all_).alias("f"),
+                       F.sum(failed * at).over(all_).alias("s1"), F.sum(failed * at * at).over(all_).alias("s2"))
+    weight = F.greatest(F.col("f") - 10 * p.battery * (F.col("m") - F.col("f")), F.lit(0.0)) / F.greatest(F.col("f"), F.lit(1))
+    total = weight * F.col("f") + p.prior_runs
+    mean = (weight * F.col("s1") + p.prior_runs * prior) / total
+    var = (weight * F.col("s2") + p.prior_runs * (prior * prior + spread)) / total - mean * mean
+    value = _normal((mean - F.col("bin") * p.bin_bits) / F.sqrt(F.greatest(var, F.lit(1e-4))))
     above = Window.partitionBy("stratum").orderBy(F.desc("bin"))
-    all_ = Window.partitionBy("stratum")
-    ok = bins.select("stratum", "bin", F.sum("n").over(above).alias("c"), F.sum("n").over(all_).alias("m"))
-    return ok.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= p.fdr * F.col("c") / F.col("m")).groupBy("stratum") \
-        .agg(F.min("bin").alias("least"))
+    ok = null.where(~F.col("fails")).select("stratum", "bin", "m", value.alias("value"), F.sum("n").over(above).alias("c"))
+    return ok.where(F.col("value") <= p.fdr * F.col("c") / F.col("m")).groupBy("stratum").agg(F.min("bin").alias("least"))
 
 
 def findings(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> DataFrame:
@@ -173,11 +257,11 @@ def findings(docs: DataFrame, text_col: str = "text", params: SecretParams = Sec
     repeated. Null text: no spans."""
     p = params
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    limits = thresholds(docs.select(F.explode(tested_runs(text, p)).alias("r")).select("r.stratum", "r.bin"), p)
+    limits = thresholds(docs.select(F.explode(tested_runs(text, p)).alias("r")).select("r.stratum", "r.bin", "r.fails"), p)
     limits = limits.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))), F.create_map().cast("map<string,int>")))
     rows = docs.withColumn("__base", base_spans(text, p)).withColumn("__runs", tested_runs(text, p)) \
         .withColumn("__least", limits.scalar())
-    chosen = F.filter("__runs", lambda r: (r["bin"] >= F.col("__least")[r["stratum"]])
+    chosen = F.filter("__runs", lambda r: ~r["fails"] & (r["bin"] >= F.col("__least")[r["stratum"]])
                       & ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return rows.withColumn("secret_spans", F.array_sort(F.concat("__base", _spans(chosen, "random")))) \
         .drop("__base", "__runs", "__least")
