@@ -28,16 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (3); the smallest id of each group stays."""
-    return jaccard.keep_first(docs.select(*COLUMNS))
+    """N-gram Jaccard join (3); of each group the row of the smallest id stays
+    (null ids last), whatever rows share an id."""
+    return jaccard.keep_first_rows(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (2); documents with a hit go."""
-    docs = docs.select(*COLUMNS)
-    judged = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = judged.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Benchmark decontamination (2); rows with a hit go. The verdict depends on
+    the text alone, so rows are judged by the 64-bit hash of their text: ids may be null or repeated."""
+    docs = docs.select(*COLUMNS).withColumn("__text", F.xxhash64("text"))
+    judged = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"), id_col="__text")
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    return docs.join(bad, "__text", "left_anti").select(*COLUMNS)
 
 
 def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,9 +73,10 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
+def _sets(docs: DataFrame, p: JaccardParams, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, rid, n) of all documents, and rows (gram, cnt) of
-    shingles repeated in a chunk (doc_id and rid null, n null)."""
+    shingles repeated in a chunk (doc_id and rid null, n null). ``more``: long
+    columns of ``docs`` after the text that are carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -86,15 +87,16 @@ def _sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
             g, c = g[c > 1], c[c > 1]
             none = [None] * len(g)
             return pa.record_batch([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32()),
-                                    pa.array(signed(g)), pa.array(c, pa.int64())], names=["doc_id", "rid", "n", "gram", "cnt"])
+                                    pa.array(signed(g)), pa.array(c, pa.int64()), *[pa.array(none, pa.int64()) for _ in more]],
+                                   names=["doc_id", "rid", "n", "gram", "cnt", *more])
 
         for b in small_batches(batches, "text"):
             sets = shingle_sets(b.column(1), p)
             rid = [set_id(s) if len(s) else None for s in sets]
             none = [None] * len(sets)
             yield pa.record_batch([b.column(0), pa.array(rid, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                                   pa.array(none, pa.int64()), pa.array(none, pa.int64())],
-                                  names=["doc_id", "rid", "n", "gram", "cnt"])
+                                   pa.array(none, pa.int64()), pa.array(none, pa.int64()), *(b.column(c) for c in more)],
+                                  names=["doc_id", "rid", "n", "gram", "cnt", *more])
             for r, s in zip(rid, sets):
                 if r is not None and r not in held:
                     held[r] = s
@@ -105,7 +107,7 @@ def _sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
         if held:
             yield repeats()
 
-    return docs.mapInArrow(run, "doc_id long, rid long, n int, gram long, cnt long")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, rid long, n int, gram long, cnt long", *(f"{c} long" for c in more)]))
 
 
 def _hints(sets: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
@@ -296,3 +298,42 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = rows.where("__may").drop("__may").withColumn("__id", key)
     kept = asked.join(gone, "__id", "left_anti").dropDuplicates(["__id"]).drop("__id")
     return sure.unionByName(kept)
+
+
+def keep_first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    params: JaccardParams = JaccardParams()) -> DataFrame:
+    """``docs`` with one row of each group of links, judged row by row: the row
+    of the smallest id, a null id being the largest.
+
+    Rows that repeat an id are told apart by their texts (64-bit hash of id and
+    text); of rows that repeat both, one stays. Rows without shingles all stay.
+    Only rows that a bounded filter of the rows to drop may hold are shuffled
+    with their texts."""
+    p = params
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    texts = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    sets = written(_sets(texts, p, ("id",)), "documents")
+    own = sets.where("rid is not null").select(F.col("doc_id").alias("k"), "id", "rid")
+    roots = links(texts.select("doc_id", "text"), sets, p)
+    # equal sets first, then the sets of a component
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("k").alias("k"))
+    reps = own.groupBy("rid").agg(F.min(order).alias("least"), F.count("*").alias("n"))
+    reps = reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    first = reps.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    first = reps.select("rid", "root").join(first, "root").select("rid", F.col("first.k").alias("first"))
+    grouped = own.join(first, "rid").select("k", (F.col("k") == F.col("first")).alias("stays"))
+    # per row key: false for rows to drop, true for a row that stays once; rows alone have no entry
+    marks = written(grouped.groupBy("k").agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+                    .where("not stays or n > 1").select("k", "stays"), "marks")
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(marks, "k", p.bloom_log_words))
+
+    @F.pandas_udf("boolean")
+    def may(k: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bloom.value, k.to_numpy().view(np.uint64)))
+
+    rows = docs.withColumn("__k", key).withColumn("__may", may("__k"))
+    sure = rows.where(~F.col("__may")).drop("__k", "__may")
+    asked = rows.where("__may").drop("__may").join(marks.select(F.col("k").alias("__k"), F.col("stays").alias("__stays")), "__k", "left")
+    alone = asked.where("__stays is null").drop("__k", "__stays")
+    once = asked.where("__stays").dropDuplicates(["__k"]).drop("__k", "__stays")
+    return sure.unionByName(alone).unionByName(once)
