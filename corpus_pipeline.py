@@ -21,9 +21,15 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (7), learned from the labelled documents; documents without
-    a letter or without a clear language go."""
+    a letter or without a clear language (``LEAST_SCORE``) go, and so do many
+    texts of one word, whose few n-grams seldom make a language clear. Where
+    nothing can be learned (no label on a text with a letter), every document
+    with a letter stays."""
     docs = docs.select(*COLUMNS)
-    judged = langid.predict(docs, langid.fit(docs), keep=COLUMNS)
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = langid.predict(docs, model, keep=COLUMNS)
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 

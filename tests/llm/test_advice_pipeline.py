@@ -31,3 +31,13 @@ def test_decontamination_is_judged_by_row(spark):
     rows = [(None, "x1 " + item + " x2"), (1, "x3 " + item), (1, prose(rng, 40, 5000)), (None, prose(rng, 40, 5000)), (None, None), (2, None)]
     got = sorted(((r.doc_id, r.text) for r in P.decontaminate(spark, documents(spark, rows, clashing=False), SF).collect()), key=repr)
     assert got == sorted(rows[2:], key=repr)
+
+
+def test_unlabelled_documents_with_a_letter_stay(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, "the and of with"), (2, "日本語"), (3, "word"), (None, "é"), (4, "123 ..."), (5, ""), (6, None)]
+    docs = documents(spark, rows, clashing=False)
+    for lang in (F.lit(None).cast("string"), F.when(F.col("doc_id").isin(4, 5), "en")):
+        got = P.language(spark, docs.withColumn("lang", lang), SF)
+        assert got.columns == P.COLUMNS
+        assert sorted((r.text for r in got.collect())) == sorted(t for _, t in rows[:4])
