@@ -1,4 +1,4 @@
-"""Operator 3, n-gram Jaccard join: blocked sparse matrix product.
+"""Operator 3, n-gram Jaccard join: prefix-filtered set join (no sparse product).
 
 Documents are rows, shingles columns of a 0/1 matrix M; overlaps are entries
 of M M'. With similarity s = num/den, two sets of sizes a >= b can only link
