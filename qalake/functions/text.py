@@ -1,4 +1,4 @@
-"""Text expressions (F1-F13, F20-F21, T1-T3 tokenisation).
+"""Text expressions (F1-F13, F21, T1-T3 tokenisation).
 
 All of them are native Catalyst expressions, so they run inside whole-stage
 codegen; only the Porter stemmer (``qalake.functions.stem``) is Python, and it

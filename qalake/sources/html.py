@@ -1,4 +1,4 @@
-"""Field extraction from raw HTML held in a table.
+"""Field extraction from raw HTML held in a table.
 
 Regex expressions only (JVM side, codegen'd): scripts, styles and comments are
 removed first so that a ``</p>`` inside a script cannot end a paragraph.
