@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalake.llm import ann, decontam, jaccard, langid, licenses, packing, secrets, substring, tokencounts, urls
+from qalake.llm import (ann, decontam, dialogue, jaccard, langid, licenses, packing, phrases, secrets, substring, tokencounts,
+                        urls)
 from qalake.sources.tables import read_table
 
 #: Rules of the page query: (verdict, host and path).
@@ -64,10 +65,18 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring.dedup(_documents(spark, sf))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine(_documents(spark, sf))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(read_table(spark, sf, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_ngram_jaccard, op4_license_scan, op5_secret_scan,
                                     op6_url_filter, op7_language_id, op8_token_counts, op9_nearest_vectors,
-                                    op10_substring_dedup)}
+                                    op10_substring_dedup, op11_phrase_collocations, op13_conversation_repair)}
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,5 +140,26 @@ FROM d LEFT JOIN lost USING (r)
 """
 
 
+_OP11 = rf"""
+WITH w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD.format('text')}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+f AS (SELECT lang, k, array_to_string(w[i + 1:i + k], ' ') AS phrase, count(*) AS n
+      FROM (SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k)
+      GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, x, array_to_string(s[1:x], ' ') AS head, array_to_string(s[x + 1:k], ' ') AS tail
+         FROM (SELECT *, unnest(range(1, k)) AS x FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, h.n AS l, t.n AS r, x, (2000000::HUGEINT * a) // (h.n::HUGEINT + t.n) AS score
+           FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) AS o FROM scored) WHERE o = 1),
+inside AS (SELECT lang, array_to_string(s[i + 1:i + m], ' ') AS phrase, max(a) AS around
+           FROM (SELECT lang, s, a, m, unnest(range(0, k - m + 1)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op6_url_filter": _OP6, "op10_substring_dedup": _OP10}
+    return {"op2_decontamination": _OP2, "op6_url_filter": _OP6, "op10_substring_dedup": _OP10, "op11_phrase_collocations": _OP11}
