@@ -101,9 +101,9 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str, lang_col: str, p: Phrase
 
 def _least(keyed: DataFrame, p: PhraseParams) -> DataFrame:
     """(lh, shard, salt, least): the support of each shard, lowered by its share of the language's bytes."""
-    size = keyed.groupBy("lh", "shard").agg(F.sum(F.octet_length("text").cast("decimal(20,0)")).alias("b"))
-    total = F.sum("b").over(Window.partitionBy("lh"))
-    least = F.greatest(F.ceil(F.try_divide(F.col("b") * p.support, total)), F.lit(1)).cast("long")
+    size = keyed.groupBy("lh", "shard").agg(F.sum(F.octet_length("text").cast("long")).alias("b"))
+    size = size.withColumn("total", F.sum("b").over(Window.partitionBy("lh")))
+    least = F.expr(f"case when total > 0 then greatest((b * {p.support} + total - 1) div total, 1) end")  # rounded up
     return size.select("lh", "shard", F.coalesce(least, F.lit(1)).alias("least"),
                        F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("salt"))
 
