@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalake.llm import (ann, decontam, dialogue, jaccard, langid, licenses, packing, phrases, secrets, substring, tokencounts,
-                        urls)
+from qalake.llm import (ann, decontam, dialogue, jaccard, langid, licenses, packing, pages, phrases, secrets, substring,
+                        tokencounts, urls)
 from qalake.sources.tables import read_table
 
 #: Rules of the page query: (verdict, host and path).
@@ -69,6 +69,10 @@ def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.mine(_documents(spark, sf))
 
 
+def op12_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.main_text(read_table(spark, sf, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return dialogue.repair(dialogue.damage(read_table(spark, sf, "conversations")))
 
@@ -76,7 +80,7 @@ def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_ngram_jaccard, op4_license_scan, op5_secret_scan,
                                     op6_url_filter, op7_language_id, op8_token_counts, op9_nearest_vectors,
-                                    op10_substring_dedup, op11_phrase_collocations, op13_conversation_repair)}
+                                    op10_substring_dedup, op11_phrase_collocations, op12_html_extraction, op13_conversation_repair)}
 
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
