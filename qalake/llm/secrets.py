@@ -82,6 +82,15 @@ def _model() -> np.ndarray:
 
 #: Bits of each character after each one.
 SURPRISE = -np.log2(_model())
+_CLASSES = "".join(sorted(_NEXT))
+_CLASS_OF = "".join(_class(c) for c in _PLACES)
+
+
+def _bits() -> tuple[list[float], list[float]]:
+    """The same bits in two parts: of the class after a class, and of the character within its class."""
+    at = [_CLASS_OF.index(c) for c in _CLASSES]
+    within = [float(SURPRISE[0, i] + math.log2(_NEXT[_CLASS_OF[0]][_CLASS_OF[i]])) for i in range(len(_PLACES))]
+    return [float(SURPRISE[i, j] - within[j]) for i in at for j in at], within
 
 
 def _expected(alphabet: str) -> tuple[float, float, float, float]:
@@ -125,18 +134,61 @@ def _normal(z: Column) -> Column:
     return F.when(z < 0, upper).otherwise(1 - upper)
 
 
+_LONGS = "array<bigint>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body
+    names it (neighbouring projections may be merged, lambdas are not)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, op, block: int = 256) -> Column:
+    """Running ``op`` (plus, or greatest) of an array of longs from 0 or more,
+    each place without its own value. Blocks keep the copies of the growing
+    array short: the work is linear for any text that fits a row."""
+    def one(arr: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_LONGS).alias("out"))
+        return F.aggregate(arr, start, lambda acc, x: F.struct(op(acc["at"], x).cast("bigint").alias("at"),
+                                                              F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    cuts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(cuts, lambda i: one(F.slice(values, i * block + 1, F.lit(block))))
+    return _let(parts, lambda ps: F.flatten(F.zip_with(
+        ps, one(F.transform(ps, lambda x: x["at"]))["out"], lambda x, base: F.transform(x["out"], lambda o: op(o, base).cast("bigint")))))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _before(spans: Column, value: Column, field: str) -> Column:
+    """How many of ``spans`` (ascending by ``field``) lie below ``value``: binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.get(spans, mid)[field] < value
+        return F.when(acc["lo"] >= acc["hi"], acc).when(below, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))) \
+            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve, lambda acc: acc["lo"])
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,s>> of the leftmost non-overlapping matches
-    (code points): splitting and extracting walk the same matches."""
-    seg, got = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    (code points): splitting and extracting walk the same matches, and a
+    match starts after all that was skipped or matched before it."""
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    walked = F.aggregate(F.arrays_zip(F.transform(seg, F.length).alias("skip"), got.alias("s")), start, lambda acc, x: F.struct(
-        (acc["at"] + x["skip"] + F.coalesce(F.length(x["s"]), F.lit(0))).alias("at"),
-        F.when(x["s"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + F.length(x["s"])).alias("end"),
-            x["s"].alias("s"))))).alias("out")), lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    both = F.struct(F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint")).alias("skip"),
+                    F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("got"))
+
+    def found(x: Column) -> Column:
+        return F.struct(x["skip"].alias("skip"), x["got"].alias("got"), _running(F.zip_with(
+            F.slice(x["skip"], F.lit(1), F.size(x["got"])), x["got"], lambda n, s: n + F.length(s)), _plus).alias("at"))
+
+    def placed(x: Column) -> Column:
+        return F.zip_with(F.zip_with(F.slice(x["skip"], F.lit(1), F.size(x["got"])), x["at"], lambda n, at: (at + n).cast("int")), x["got"],
+                          lambda start, s: F.struct(start.alias("start"), (start + F.length(s)).alias("end"), s.alias("s")))
+    return F.when(text.rlike(pattern), _let(both, lambda x: _let(found(x), placed))).otherwise(none)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -150,78 +202,93 @@ def base_spans(text: Column, p: SecretParams) -> Column:
                                  _spans(matches(text, HEX), "hex")))
 
 
+def _pick(no: Column, values: list) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), no)
+
+
 def _named(x: Column) -> Column:
-    """Adds length and inferred encoding: the narrowest that holds the run."""
-    s, n = x["s"], F.length(x["s"]).cast("double")
-    name = F.lit("base64")
+    """Adds length, inferred encoding (the narrowest that holds the run) and alphabet."""
+    s, names = x["s"], list(ENCODINGS)
+    no = F.lit(names.index("base64"))
     for k, (pattern, *_) in reversed(list(ENCODINGS.items())):
         if pattern:
-            name = F.when(s.rlike(pattern), F.lit(k)).otherwise(name)
-
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), s.alias("s"), n.alias("n"), name.alias("enc"))
+            no = F.when(s.rlike(pattern), F.lit(names.index(k))).otherwise(no)
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), s.alias("s"), F.length(s).cast("double").alias("n"), no.alias("enc"))
 
 
-def _pick(enc: Column, values: dict) -> Column:
-    """The value of an encoding."""
-    out = F.lit(values["base64"])
-    for k, v in values.items():
-        out = F.when(enc == k, F.lit(v)).otherwise(out)
-    return out
+def _lettered(x: Column) -> Column:
+    alphabet = _pick(x["enc"], [v[1] for v in ENCODINGS.values()])
+    letters = F.regexp_extract_all(x["s"], F.lit("."), F.lit(0))
+    return F.struct(*[x[c].alias(c) for c in ("start", "end", "s", "n", "enc")], alphabet.alias("alphabet"), letters.alias("letters"),
+                    F.regexp_extract_all(F.translate(x["s"], _PLACES, _CLASS_OF), F.lit("."), F.lit(0)).alias("classes"))
 
 
 def _stats(x: Column) -> Column:
     """Adds the sums of the tests: squares of letter counts, digits, runs, the
-    letters' places for the serial correlation and those for the surprise."""
-    alphabet = _pick(x["enc"], {k: v[1] for k, v in ENCODINGS.items()})
-    letters = F.regexp_extract_all(alphabet, F.lit("."), F.lit(0))
-    squares = F.aggregate(F.transform(letters, lambda c: F.pow(x["n"] - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2.0))),
-                          F.lit(0.0), lambda a, v: a + v)
-    place = F.transform(F.regexp_extract_all(x["s"], F.lit("."), F.lit(0)), lambda c: F.instr(alphabet, c).cast("double"))
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["enc"].alias("enc"),
-                    F.length(alphabet).cast("double").alias("k"), squares.alias("squares"), place.alias("place"),
-                    F.transform(F.regexp_extract_all(x["s"], F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(_PLACES), c)).alias("at"),
+    letters' places for the serial correlation, and the surprise."""
+    squares = F.aggregate(F.regexp_extract_all(x["alphabet"], F.lit("."), F.lit(0)), F.lit(0.0), lambda a, c: a + F.pow(
+        x["n"] - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2.0)))
+    place = F.transform(x["letters"], lambda c: F.instr(x["alphabet"], c).cast("double"))
+    size = x["n"].cast("int")
+    between, within = (F.array(*[F.lit(v) for v in part]) for part in _bits())
+    steps = F.aggregate(F.zip_with(F.slice(x["classes"], F.lit(1), size - 1), F.slice(x["classes"], F.lit(2), size - 1), lambda u, w: F.get(
+        between, (F.instr(F.lit(_CLASSES), u) - 1) * len(_CLASSES) + F.instr(F.lit(_CLASSES), w) - 1)), F.lit(0.0), lambda a, v: a + v)
+    own = F.aggregate(F.slice(x["letters"], F.lit(2), size - 1), F.lit(0.0), lambda a, c: a + F.get(within, F.instr(F.lit(_PLACES), c) - 1))
+    return F.struct(*[x[c].alias(c) for c in ("start", "end", "n", "enc")], F.length(x["alphabet"]).cast("double").alias("k"),
+                    squares.alias("squares"), place.alias("place"),
+                    F.aggregate(place, F.lit(0.0), lambda a, v: a + v).alias("total"),
                     F.length(F.regexp_replace(x["s"], "[^0-9]", "")).cast("double").alias("digits"),
-                    F.size(F.regexp_extract_all(x["s"], F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double").alias("runs"))
+                    F.size(F.regexp_extract_all(x["s"], F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double").alias("runs"),
+                    ((steps + own) / (x["n"] - 1)).alias("surprise"))
 
 
-def _judged(x: Column, p: SecretParams) -> Column:
-    """struct<start, end, stratum, bin, fails> of one run: bin of its surprise, and
-    whether a test tells it from a random string."""
-    n, k = x["n"], x["k"]
+def _centred(x: Column) -> Column:
+    """Adds the spread of the runs test and the places less their mean."""
+    n, a, b = x["n"], x["digits"], x["n"] - x["digits"]
+    return F.struct(*[x[c].alias(c) for c in ("start", "end", "n", "enc", "k", "squares", "runs", "surprise")],
+                    (1 + 2 * a * b / n).alias("mean"), (2 * a * b * (2 * a * b - n) / (n * n * (n - 1))).alias("spread"),
+                    F.transform(x["place"], lambda y: y - x["total"] / n).alias("centred"))
+
+
+def _scored(x: Column) -> Column:
+    """Adds the standard scores of the four tests (null: the test has no say; serial of equal letters: far out)."""
+    n, k, size = x["n"], x["k"], x["n"].cast("int")
     chi = k / n * x["squares"] - n
     # Wilson-Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
     v = 2.0 / (9.0 * (k - 1))
-    p_chi = 1 - _normal((F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - v)) / F.sqrt(v))
-    a, b = x["digits"], n - x["digits"]
-    mean = 1 + 2 * a * b / n
-    spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-    p_runs = F.when((spread > 0), 2 * (1 - _normal(F.abs((x["runs"] - mean) / F.sqrt(F.greatest(spread, F.lit(1e-9))))))) \
-        .otherwise(F.lit(1.0))
-    total = F.aggregate(x["place"], F.lit(0.0), lambda s, y: s + y)
-    centred = F.transform(x["place"], lambda y: y - total / n)
-    size = n.cast("int")
-    top = F.aggregate(F.zip_with(F.slice(centred, F.lit(1), size - 1), F.slice(centred, F.lit(2), size - 1), lambda u, w: u * w),
+    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
+    z_runs = F.when(x["spread"] > 0, F.abs((x["runs"] - x["mean"]) / F.sqrt(F.greatest(x["spread"], F.lit(1e-9)))))
+    top = F.aggregate(F.zip_with(F.slice(x["centred"], F.lit(1), size - 1), F.slice(x["centred"], F.lit(2), size - 1), lambda u, w: u * w),
                       F.lit(0.0), lambda s, y: s + y)
-    below = F.aggregate(F.transform(centred, lambda y: y * y), F.lit(0.0), lambda s, y: s + y)
-    p_serial = F.when(below > 0, 2 * (1 - _normal(F.abs((top / F.greatest(below, F.lit(1e-9)) + 1 / n) * F.sqrt(n))))).otherwise(F.lit(0.0))
-    bits = F.split(F.lit(",".join(f"{v:.4f}" for v in SURPRISE.ravel())), ",").cast("array<double>")
-    steps = F.zip_with(F.slice(x["at"], F.lit(1), size - 1), F.slice(x["at"], F.lit(2), size - 1),
-                       lambda u, w: F.get(bits, (u - 1) * len(_PLACES) + w - 1))
-    surprise = F.aggregate(steps, F.lit(0.0), lambda s, y: s + y) / (n - 1)
-    mean, spread = (_pick(x["enc"], {k: v[i] for k, v in EXPECTED.items()}) for i in (0, 1))
-    p_surprise = _normal((surprise - mean) / (spread / F.sqrt(n - 1)))
-    fails = (F.least(p_chi, p_runs, p_serial, p_surprise) * 4 < p.battery) | (x["enc"] == "decimal")
-    binned = F.least(F.floor(F.least(surprise, mean) / p.bin_bits).cast("int"), F.lit(p.bins))
+    below = F.aggregate(x["centred"], F.lit(0.0), lambda s, y: s + y * y)
+    mean, spread = (_pick(x["enc"], [EXPECTED[e][i] for e in ENCODINGS]) for i in (0, 1))
+    return F.struct(*[x[c].alias(c) for c in ("start", "end", "n", "enc", "surprise")], z_chi.alias("z_chi"), z_runs.alias("z_runs"),
+                    top.alias("top"), below.alias("below"), mean.alias("mean"),
+                    ((x["surprise"] - mean) / (spread / F.sqrt(n - 1))).alias("z_surprise"))
+
+
+def _judged(x: Column, p: SecretParams) -> Column:
+    """struct<start, end, stratum, bin, fails> of one run: bin of its surprise, and
+    whether a test tells it from a random string."""
+    n = x["n"]
+    z_serial = F.abs((x["top"] / F.greatest(x["below"], F.lit(1e-9)) + 1 / n) * F.sqrt(n))
+    p_serial = F.when(x["below"] > 0, 2 * (1 - _normal(z_serial))).otherwise(F.lit(0.0))
+    p_runs = F.when(x["z_runs"].isNotNull(), 2 * (1 - _normal(x["z_runs"]))).otherwise(F.lit(1.0))
+    fails = (F.least(1 - _normal(x["z_chi"]), p_runs, p_serial, _normal(x["z_surprise"])) * 4 < p.battery) \
+        | (x["enc"] == list(ENCODINGS).index("decimal"))
+    binned = F.least(F.floor(F.least(x["surprise"], x["mean"]) / p.bin_bits).cast("int"), F.lit(p.bins))
     length = F.when(n < 28, "short").when(n < 48, "middle").otherwise("long")
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", x["enc"], length).alias("stratum"),
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", _pick(x["enc"], list(ENCODINGS)), length).alias("stratum"),
                     F.greatest(binned, F.lit(0)).alias("bin"), fails.alias("fails"))
 
 
 def tested_runs(text: Column, p: SecretParams) -> Column:
-    """array<struct<start,end,stratum,bin,fails>> of all runs of a text."""
-    found = matches(text, RUN % p.run_least)
-    named = F.transform(found, _named)
-    return F.transform(F.transform(named, _stats), lambda x: _judged(x, p))
+    """array<struct<start,end,stratum,bin,fails>> of all runs of a text. Each
+    step binds what the next one reads more than once."""
+    out = matches(text, RUN % p.run_least)
+    for step in (_named, _lettered, _stats, _centred, _scored):
+        out = F.transform(out, step)
+    return F.transform(out, lambda x: _judged(x, p))
 
 
 def thresholds(runs: DataFrame, p: SecretParams) -> DataFrame:
@@ -233,9 +300,11 @@ def thresholds(runs: DataFrame, p: SecretParams) -> DataFrame:
     of the other runs."""
     bins = runs.groupBy("stratum", "bin", "fails").agg(F.count("*").alias("n"))  # a few strata times ``bins`` rows
     enc = F.split("stratum", "/")[0]
-    least_n = _pick(F.split("stratum", "/")[1], {"short": p.run_least, "middle": 28, "long": 48, "base64": p.run_least}) - 1
-    prior = _pick(enc, {k: v[2] for k, v in EXPECTED.items()})
-    spread = F.pow(_pick(enc, {k: v[3] for k, v in EXPECTED.items()}), F.lit(2.0)) / least_n + p.prior_spread ** 2
+    length = F.split("stratum", "/")[1]
+    least_n = F.when(length == "middle", 28).when(length == "long", 48).otherwise(p.run_least) - 1
+    no = F.array_position(F.array(*[F.lit(e) for e in ENCODINGS]), enc).cast("int") - 1
+    prior = _pick(no, [EXPECTED[e][2] for e in ENCODINGS])
+    spread = F.pow(_pick(no, [EXPECTED[e][3] for e in ENCODINGS]), F.lit(2.0)) / least_n + p.prior_spread ** 2
     at, all_ = (F.col("bin") + 0.5) * p.bin_bits, Window.partitionBy("stratum")
     failed = F.when(F.col("fails"), F.col("n")).otherwise(0)
     null = bins.select("*", F.sum("n").over(all_).alias("m"), F.sum(failed).over(all_).alias("f"),
@@ -250,21 +319,38 @@ def thresholds(runs: DataFrame, p: SecretParams) -> DataFrame:
     return ok.where(F.col("value") <= p.fdr * F.col("c") / F.col("m")).groupBy("stratum").agg(F.min("bin").alias("least"))
 
 
-def findings(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> DataFrame:
-    """``docs`` with a column ``secret_spans``: array<struct<start, no, end,
-    kind>> sorted by start and kind (base findings and the method's; code
-    points, end exclusive). A run that overlaps a base finding is not
-    repeated. Null text: no spans."""
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def findings(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams(), spans_col: str = "secret_spans") -> DataFrame:
+    """``docs`` with a column ``spans_col`` (which ``docs`` must not have):
+    array<struct<start, no, end, kind>> sorted by start and kind (base findings
+    and the method's; code points, end exclusive). A run that overlaps a base
+    finding is not repeated. Null text: no spans."""
     p = params
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     limits = thresholds(docs.select(F.explode(tested_runs(text, p)).alias("r")).select("r.stratum", "r.bin", "r.fails"), p)
     limits = limits.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))), F.create_map().cast("map<string,int>")))
-    rows = docs.withColumn("__base", base_spans(text, p)).withColumn("__runs", tested_runs(text, p)) \
-        .withColumn("__least", limits.scalar())
-    chosen = F.filter("__runs", lambda r: ~r["fails"] & (r["bin"] >= F.col("__least")[r["stratum"]])
-                      & ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat("__base", _spans(chosen, "random")))) \
-        .drop("__base", "__runs", "__least")
+    least = _free(docs, "__least")
+    rows = docs.withColumn(least, limits.scalar())
+
+    def chosen(base: Column, ends: Column) -> Column:
+        return F.filter(tested_runs(text, p), lambda r: ~r["fails"] & (r["bin"] >= F.col(least)[r["stratum"]])
+                        & (F.get(ends, _before(base, r["end"], "start")) <= r["start"]))
+    spans = _let(base_spans(text, p), lambda base: _let(_furthest(base), lambda ends: F.array_sort(
+        F.concat(base, _spans(chosen(base, ends), "random")))))
+    return rows.withColumn(spans_col, spans).drop(least)
+
+
+def _furthest(spans: Column) -> Column:
+    """For each of ``spans`` the furthest end before it, and that of all."""
+    far = F.transform(spans, lambda x: x["end"].cast("bigint"))
+    return _running(F.concat(far, F.array(F.lit(0).cast("bigint"))), F.greatest)
 
 
 def digest(spans: Column) -> Column:
@@ -292,11 +378,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
 
 def redact(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams(), mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``;
-    overlapping spans become one. Null text stays null."""
-    rows = findings(docs, text_col, params)
-    merged = F.aggregate("secret_spans", F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")), lambda acc, x: F.struct(
-        F.greatest(acc["upto"], x["end"]).alias("upto"),
-        F.when(x["end"] <= acc["upto"], acc["out"]).when(x["start"] < acc["upto"], acc["out"])
-        .otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["upto"] + 1, x["start"] - acc["upto"]), F.lit(mark))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["upto"] + 1, F.length(F.col(text_col)))))
-    return rows.withColumn(text_col, F.when(F.size("secret_spans") > 0, merged).otherwise(F.col(text_col))).drop("secret_spans")
+    overlapping spans become one. All columns stay, whatever their names.
+
+    Null text stays null, a text without spans as it is. Each row is judged
+    alone, whatever its id. Very long texts are written block by block, each
+    from the spans that touch it. Empty table: no rows.
+    """
+    name, text, size = _free(docs, "__spans"), F.col(text_col), 4096
+    rows = findings(docs, text_col, params, name)
+
+    def block_text(block: Column, no: Column, spans: Column, ends: Column) -> Column:
+        at = (no * size).cast("bigint")
+        return _let(F.struct(at.alias("at"), _before(spans, at, "start").alias("lo"),
+                             _before(spans, at + F.length(block), "start").alias("hi")), lambda b: F.aggregate(
+            F.slice(spans, b["lo"] + 1, b["hi"] - b["lo"]),
+            F.struct(F.greatest(b["at"], F.get(ends, b["lo"])).alias("upto"), F.lit("").alias("out")),  # upto: what earlier spans cover
+            lambda acc, x: F.struct(
+                F.greatest(acc["upto"], x["end"].cast("bigint")).alias("upto"),
+                F.when(x["start"] < acc["upto"], acc["out"]).otherwise(F.concat(
+                    acc["out"], F.substring(block, (acc["upto"] - b["at"] + 1).cast("int"), (x["start"] - acc["upto"]).cast("int")),
+                    F.lit(mark))).alias("out")),
+            lambda acc: F.concat(acc["out"], F.substring(block, F.least(acc["upto"] - b["at"] + 1, F.lit(size + 1)).cast("int"), F.lit(size)))))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
+    clean = _let(F.col(name), lambda spans: _let(_furthest(spans), lambda ends: F.array_join(
+        F.transform(blocks, lambda block, no: block_text(block, no, spans, ends)), "")))
+    return rows.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(text)).drop(name)
