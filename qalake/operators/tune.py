@@ -113,6 +113,56 @@ def trial_durations(trials: DataFrame) -> DataFrame:
     return trials.withColumn("seconds", F.unix_micros("finished") / 1e6 - F.unix_micros("started") / 1e6)
 
 
+def pass_scores(trials: DataFrame) -> DataFrame:
+    """The trial log folded by (study, params, pass): one row each with
+    the score of the last finished trial (by trial id) and how many failed.
+    ``params`` is without its ``pass``, which must be there."""
+    key = F.map_filter("params", lambda k, _: k != "pass")
+    ok = F.when(F.col("state") == "COMPLETE", F.col("trial_id"))
+    return (trials.where(F.col("params")["pass"].isNotNull())
+            .select("study", key.alias("params"), F.col("params")["pass"].cast("int").alias("pass"), "score", "state", "trial_id")
+            .groupBy("study", params_key().alias("key"), "pass")
+            .agg(F.max_by("score", ok).alias("score"), F.max(ok).alias("trial_id"), F.count_if(F.col("state") == "FAIL").alias("failed"),
+                 F.first("params").alias("params"))
+            .select("study", "params", "pass", "score", "trial_id", "failed"))
+
+
+def run_passes(spark: SparkSession, study: str, params: dict, job, trials_path: str,
+               score: Callable[[object], float]) -> DataFrame:
+    """Fits ``job`` (an ``online_lda.OnlineLda``) pass by pass and appends
+    the score of every pass as a trial row with ``pass`` among its params.
+
+    Resumable: passes whose model is stored are not fitted again, passes that
+    have a finished trial are not scored again; one that was fitted but not
+    scored when the job was killed is scored from its stored model. A pass
+    whose score raises ValueError becomes a FAIL row and is tried again by the
+    next run. Returns ``pass_scores`` of this study and these params."""
+    params = {k: float(v) for k, v in params.items()}
+
+    def mine() -> DataFrame:
+        own = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.create_map(
+            *[c for k, v in params.items() for c in (F.lit(k), F.lit(v))])))))
+        got = pass_scores(read_trials(spark, trials_path).where(F.col("study") == study))
+        return got.where(params_key() == own) if params else got.where(F.size("params") == 0)
+    done = {r["pass"] for r in mine().where("trial_id is not null").collect()}  # bounded: the passes of one fit
+
+    def judge(n: int, model) -> None:
+        started = dt.datetime.now(dt.timezone.utc)
+        try:
+            value, state = float(score(model)), "COMPLETE"
+        except ValueError:
+            value, state = None, "FAIL"
+        last = read_trials(spark, trials_path).where(F.col("study") == study).agg(F.max("trial_id")).first()[0] or 0
+        spark.createDataFrame([(study, last + 1, params | {"pass": float(n)}, value, state, started, dt.datetime.now(dt.timezone.utc))],
+                              TRIAL).write.mode("append").parquet(trials_path)
+    for n in range(1, job.last_pass() + 1):
+        if n not in done:
+            judge(n, job.model(n))
+    for n, model in job.run():
+        judge(n, model)
+    return mine()
+
+
 def checkpoint_scores(fit_at: Callable[[int], float], checkpoints: list[int]) -> list[tuple[int, float]]:
     """Spark's LDA has no per-pass callback; score a model fitted with
     ``maxIter`` = each checkpoint instead (one trial row per checkpoint)."""

@@ -308,6 +308,15 @@ FROM events e WHERE event_type = 'view' AND NOT EXISTS (
     AND CAST(json_extract_string(d.props, '$.k') AS INTEGER) = CAST(json_extract_string(e.props, '$.k') AS INTEGER))"""
 
 
+ORACLE["trial_passes"] = """WITH l AS (
+  SELECT CAST(user_id AS VARCHAR) AS study, event_id AS trial_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+         CAST(((CAST(floor(value) AS BIGINT) % 5) + 5) % 5 AS INTEGER) AS pass, value AS score, event_type <> 'error' AS ok
+  FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND value IS NOT NULL)
+SELECT study, k, pass, arg_max(score, trial_id) FILTER (WHERE ok) AS score, max(trial_id) FILTER (WHERE ok) AS trial_id,
+       count(*) FILTER (WHERE NOT ok) AS failed
+FROM l GROUP BY study, k, pass"""
+
+
 def _html_sql() -> str:
     from qalake.sources.html import ENTITIES, H1_RE, LANG_RE, NOISE_RE, PARA_RE, TAG_RE, TITLE_RE
 

@@ -6,6 +6,7 @@ Each query reads the driver tables whole; the matching DuckDB text lives in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalake.functions import ids
+from qalake.functions.text import tokens
 from qalake.operators import answers as A
 from qalake.operators import compare as C
 from qalake.operators import contexts as CX
@@ -23,6 +25,7 @@ from qalake.operators import prep as P
 from qalake.operators import squad as Q
 from qalake.operators import textops as TXT
 from qalake.operators import topics as TP
+from qalake.operators import tune as TU
 from qalake.plans import standins as S
 from qalake.sources import html as H
 from qalake.sources import reports as R
@@ -362,6 +365,34 @@ def pending_trials(spark, sf):
     return planned.join(done, ["study", "k"], "left_anti")
 
 
+@query("trial_passes")
+def trial_passes(spark, sf):
+    """A trial log with scores per pass (events: study = user, k from
+    the props, pass = value modulo 5, errors failed), folded by ``tune.pass_scores``."""
+    e = Tables(spark, sf).events
+    k = F.get_json_object("props", "$.k").cast("double")
+    at = F.pmod(F.floor("value").cast("long"), F.lit(5)).cast("double")
+    log = e.where(k.isNotNull() & at.isNotNull()).select(
+        F.col("user_id").cast("string").alias("study"), F.col("event_id").alias("trial_id"),
+        F.create_map(F.lit("k"), k, F.lit("pass"), at).alias("params"), F.col("value").alias("score"),
+        F.when(F.col("event_type") == "error", "FAIL").otherwise("COMPLETE").alias("state"))
+    return TU.pass_scores(log).select("study", F.col("params")["k"].alias("k"), "pass", "score", "trial_id", "failed")
+
+
+@query("lda_online_topics")
+def lda_online_topics(spark, sf):
+    """T4 (online form) + W9: two passes in chunks of a quarter of the
+    documents, decay 0.5, offset 1, learned alpha; top five terms per topic."""
+    from qalake.operators import online_lda
+    from qalake.operators.textops import term_counts
+    from qalake.session import checkpoint_dir
+    t = Tables(spark, sf)
+    docs = t.documents.select("doc_id", tokens("text").alias("toks"))
+    params = online_lda.OnlineParams(10, chunk_docs=max(1, -(-t.documents.count() // 4)), passes=2, alpha="auto")
+    model = online_lda.fit_online(term_counts(docs), f"{checkpoint_dir(spark)}/lda-{uuid.uuid4().hex}", params)
+    return lda.describe_topics(model, 5)
+
+
 @query("html_fields")
 def html_fields(spark, sf):
     """Title, h1, language and paragraph text of raw pages."""
