@@ -277,6 +277,32 @@ ORACLE["null_score"] = "WITH " + _SPANS + """ SELECT label AS batch, round(min(n
 FROM spans GROUP BY label"""
 
 
+_ANSWERS = """n AS (SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS m FROM embeddings),
+l AS (SELECT vec_id % m AS q, vec_id // m AS w, CAST(embedding AS DOUBLE[]) AS s, list_reverse(CAST(embedding AS DOUBLE[])) AS e,
+             length(text) AS size, text FROM embeddings, n, documents WHERE doc_id = vec_id % m),
+sx AS (SELECT q, w, size, unnest(s) AS logit, unnest(generate_series(0, len(s) - 1)) AS idx FROM l),
+ex AS (SELECT q, w, size, unnest(e) AS logit, unnest(generate_series(0, len(e) - 1)) AS idx FROM l),
+sb AS (SELECT * FROM sx QUALIFY row_number() OVER (PARTITION BY q, w ORDER BY logit DESC, idx) <= 20),
+eb AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY q, w ORDER BY logit DESC, idx) <= 20),
+c AS (SELECT sb.q, sb.w, sb.idx AS i, eb.idx AS j, sb.logit + eb.logit AS score,
+             CAST((40 * sb.w + sb.idx) * 9 AS INTEGER) AS start_char, CAST((40 * sb.w + eb.idx) * 9 + 5 AS INTEGER) AS end_char
+      FROM sb JOIN eb ON sb.q = eb.q AND sb.w = eb.w AND eb.idx >= sb.idx AND eb.idx - sb.idx < 30
+      WHERE sb.idx > 0 AND (40 * sb.w + eb.idx) * 9 + 5 <= sb.size)"""
+
+ORACLE["answer_text"] = "WITH " + _ANSWERS + """,
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, w, i, j) = 1),
+nulls AS (SELECT q, min(s[1] + e[1]) AS null_score FROM l GROUP BY q)
+SELECT doc_id AS question_id, CASE WHEN i IS NULL THEN '' ELSE substr(text, start_char + 1, end_char - start_char) END AS text,
+       start_char, end_char, round(coalesce(score, 0.0), 6) AS score, round(null_score, 6) AS null_score,
+       coalesce(score > null_score, false) AS answerable
+FROM documents LEFT JOIN best ON best.q = doc_id LEFT JOIN nulls ON nulls.q = doc_id"""
+ORACLE["answer_nbest"] = "WITH " + _ANSWERS + """,
+spans AS (SELECT q, start_char, end_char, max(score) AS score FROM c GROUP BY ALL),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, start_char, end_char) AS INTEGER) AS rank FROM spans)
+SELECT q AS question_id, rank, substr(text, start_char + 1, end_char - start_char) AS text, start_char, end_char, round(score, 6) AS score
+FROM top JOIN documents ON doc_id = q WHERE rank <= 5"""
+
+
 _LB = """lb AS (SELECT event_type AS system, strftime(ts, '%Y-%m-%d') AS batch, round(sum(value), 2) / count(*) AS mean_value,
                 count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL)"""
 

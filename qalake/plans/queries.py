@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from qalake.functions import ids
 from qalake.functions.text import tokens
 from qalake.operators import answers as A
+from qalake.operators import best_answers as BA
 from qalake.operators import compare as C
 from qalake.operators import contexts as CX
 from qalake.operators import dedup as D
@@ -300,6 +301,21 @@ def null_score(spark, sf):
                       F.round("best_score", 6).alias("best_score"), "answerable")
 
 
+@query("answer_text")
+def answer_text(spark, sf):
+    """One predicted answer text per question over all its windows."""
+    features, contexts = S.window_features(Tables(spark, sf))
+    out = BA.best_answers(features, contexts)
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "null_score")})
+
+
+@query("answer_nbest")
+def answer_nbest(spark, sf):
+    """The five best answer spans of each question over all its windows."""
+    features, contexts = S.window_features(Tables(spark, sf))
+    return BA.n_best_answers(features, contexts, 5).withColumn("score", F.round("score", 6))
+
+
 # ---- slice 6: comparison, leaderboards, reports, HTML -----------------------------
 LB_METRICS = ["mean_value", "n_events", "n_users"]
 

@@ -159,6 +159,21 @@ def leaderboard(t: Tables) -> DataFrame:
                  F.countDistinct("user_id").alias("n_users")))
 
 
+def window_features(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Stand-in windows, four to a question: with n a quarter of the vectors,
+    vector v is window v div n of question (document) v mod n; token 0 is no
+    context, token i covers five characters from 9 * (40 window + i)."""
+    docs = t.documents.select(F.col("doc_id").alias("question_id"), F.col("text").alias("context"))
+    n = max(1, -(-t.embeddings.count() // 4))
+    lg = logits(t).select((F.col("vec_id") % n).alias("question_id"), F.floor(F.col("vec_id") / n).cast("long").alias("window"),
+                          "start_logits", "end_logits")
+    size = docs.select("question_id", F.length("context").alias("size"))
+    at = (F.col("window") * 40).cast("int")
+    lg = lg.join(size, "question_id").withColumn("offsets", F.transform("start_logits", lambda x, i: F.when(
+        (i > 0) & ((at + i) * 9 + 5 <= F.col("size")), F.struct(((at + i) * 9).alias("s"), ((at + i) * 9 + 5).alias("e")))))
+    return lg.drop("size"), docs
+
+
 def trials(t: Tables) -> DataFrame:
     """Trial table stand-in: study = event type, trial = event, param k from
     the JSON props, score = value."""
