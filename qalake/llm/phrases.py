@@ -45,7 +45,7 @@ class PhraseParams:
     shards: int = 4
     log_filter: int = 20     # Bloom filters of 2**20 words (8 MB)
     salts: int = 32
-    slice_bytes: int = 6 << 20
+    slice_bytes: int = 3 << 20
 
 
 class _Slice:
