@@ -12,7 +12,7 @@ from qalake.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "benchmark", "labels", "pages", "conversations", "embeddings", "events"]
-ROWS_ONLY = {"stem_tokens", "lda_topics", "lda_retrieve", "topic_relevance", "lda_eval"}
+ROWS_ONLY = {"stem_tokens", "lda_topics", "lda_online_topics", "lda_retrieve", "topic_relevance", "lda_eval"}
 
 
 def test_entry_runs(spark):
