@@ -2,9 +2,10 @@
 
 The automaton holds the token sequences of all templates. A file's words are
 streamed through it; after each word the state gives the longest run of words
-ending there that stands in some template (matching statistics). Maximal
-matches of a template are chained over small gaps into spans, and a span that
-covers enough of its template gives the template's label.
+ending there that stands in some template (matching statistics), and its suffix
+links the shorter runs that stand elsewhere. The maximal matches of a template
+are chained in the order of the template over small gaps into spans, and a span
+that covers enough distinct words of its template gives the template's label.
 
 Only runs of words of the templates can match, so runs shorter than the least
 match are skipped by vectorised look-up. The templates go with the job and each
@@ -14,6 +15,7 @@ worker builds the automaton once; its size is linear in their words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,17 +40,29 @@ TEMPLATES = [
             "documentation files the software to deal in the software without restriction including without limitation "
             "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
             "permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+            "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors "
+            "or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+            "otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+               "on an as is basis without warranties or conditions of any kind either express or implied see the license for "
+               "the specific language governing permissions and limitations under the license"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
                "with the license you may obtain a copy of the license at"),
     ("gpl", "licensed under the gnu general public license version 2"),
     ("gpl", "licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
             "public license as published by the free software foundation"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
             "the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+            "disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+            "following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "licensed under the bsd license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
             "granted provided that the above copyright notice and this permission notice appear in all copies"),
@@ -93,6 +107,45 @@ class Automaton:
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
             if self.link[s] > 0:
                 self.owners[self.link[s]] |= self.owners[s]
+        self.sequences = sequences
+        # (sequence, last position) of the prefixes that end in each state
+        self.prefixes: list[list[tuple[int, int]]] = [[] for _ in self.size]
+        self.children: list[list[int]] = [[] for _ in self.size]
+        for k, seq in enumerate(sequences):
+            s = 0
+            for e, w in enumerate(seq):
+                s = self.next[s][w]
+                self.prefixes[s].append((k, e))
+        for s in range(1, len(self.size)):
+            self.children[self.link[s]].append(s)
+        self._places: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def ends(self, state: int) -> Iterator[tuple[int, int]]:
+        """(sequence, last position) of every place of a state's strings."""
+        stack = [state]
+        while stack:
+            s = stack.pop()
+            yield from self.prefixes[s]
+            stack += self.children[s]
+
+    def places(self, state: int, least: list[int]) -> list[tuple[int, int, int, int]]:
+        """(common words, sequence, last position, next word) of every place of
+        a sequence that ends like the strings of a state, with at least
+        ``least`` words in common; 0 common words stand for all that the state
+        matched, next word -1 for the end of the sequence."""
+        got = self._places.get(state)
+        if got is None:
+            got, seen, s = [], set(), state
+            while s > 0 and self.size[s] >= min(least):
+                for k, e in self.ends(s):
+                    if (k, e) not in seen:
+                        seen.add((k, e))
+                        if self.size[s] >= least[k]:
+                            seq = self.sequences[k]
+                            got.append((0 if s == state else self.size[s], k, e, seq[e + 1] if e + 1 < len(seq) else -1))
+                s = self.link[s]
+            self._places[state] = got
+        return got
 
     def _state(self, size: int, link: int, nxt: dict[int, int]) -> int:
         self.size.append(size)
@@ -152,6 +205,9 @@ class Scanner:
         self.labels = [a for a, _ in templates]
         seqs = [tokens_of(t) for _, t in templates]
         self.lengths = [len(s) for s in seqs]
+        self.longest = max(self.lengths)
+        self.least = [min(params.min_match, n) for n in self.lengths]
+        self.least_of_all = min(self.least)
         phrases = [tokens_of(t) for t in base]
         self.base_labels = list(base.values())
         vocab = sorted({w for s in seqs + phrases for w in s})
@@ -189,7 +245,7 @@ class Scanner:
         """Runs of template words long enough to hold a match."""
         if not len(ids):
             return
-        least = min(self.p.min_match, min(self.lengths))
+        least = self.least_of_all
         known = ids >= 0
         edge = np.empty(len(ids), bool)
         edge[0] = True
@@ -199,29 +255,73 @@ class Scanner:
         keep = known[a] & (z - a >= least)
         yield from zip(a[keep].tolist(), z[keep].tolist())
 
-    def matches(self, ids: np.ndarray, a: int, z: int) -> Iterator[tuple[int, int, int]]:
-        """(template, start, end) of every maximal match in ids[a:z]."""
-        stats = self.automaton.statistics(ids[a:z].tolist())
+    def matches(self, ids: np.ndarray, a: int, z: int) -> Iterator[tuple[int, int, int, int]]:
+        """(template, start, end, start in the template) of every match in
+        ids[a:z] that can be continued neither to the left nor to the right at
+        that place of its template."""
+        words = ids[a:z].tolist()
+        stats = self.automaton.statistics(words)
+        words.append(-2)
         for i, (n, state) in enumerate(stats):
-            if not n or i + 1 < len(stats) and stats[i + 1][0] > n:
-                continue  # the match goes on
-            mask, k = self.automaton.owners[state], 0
-            while mask:
-                if mask & 1 and n >= min(self.p.min_match, self.lengths[k]):
-                    yield k, a + i + 1 - n, a + i + 1
-                mask >>= 1
-                k += 1
-
-    def spans(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Chains (template, start, end, covered words) of one row's matches."""
+            if n < self.least_of_all:
+                continue
+            for common, k, e, after in self.automaton.places(state, self.least):
+                m = common or n
+                if after != words[i + 1] and m >= self.least[k]:
+                    yield k, a + i + 1 - m, a + i + 1, e + 1 - m
+
+    def _crossed(self, strong: list[tuple[int, int, int]], k: int, x: int, y: int) -> bool:
+        """Whether a match that alone gives another template's label goes on
+        from before x to after y."""
+        j = bisect_left(strong, (x, 0, 0)) - 1
+        while j >= 0 and strong[j][0] + self.longest > y:
+            if strong[j][1] > y and strong[j][2] != k:
+                return True
+            j -= 1
+        return False
+
+    def spans(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Chains (template, start, end, covered words) of one row's matches.
+
+        A chain goes forward in the text and in its template, with at most
+        ``max_gap`` words of text between two matches; overlaps count once on
+        both sides, so ``covered`` counts distinct words of the template. It
+        does not bridge a place that another template's match, long enough to
+        give that label alone, goes across: those words are the other's. For
+        each match the best chain that ends there is kept (ties: the latest
+        start); of a template's chains those that cover most are taken first
+        (ties: the shorter, then the earlier), and none that overlaps one taken.
+        """
+        strong = sorted({(a, z, k) for k, a, z, _ in found if z - a >= self.p.min_cover * self.lengths[k]})
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for k, a, z, t in found:
+            by.setdefault(k, []).append((a, z, t))
         out = []
-        for k, a, z in sorted(found):
-            if out and out[-1][0] == k and a - out[-1][2] <= self.p.max_gap:
-                t, start, end, covered = out[-1]
-                out[-1] = (k, start, max(end, z), covered + max(0, z - max(a, end)))
-            else:
-                out.append((k, a, z, z - a))
-        return out
+        for k, own in sorted(by.items()):
+            own.sort()
+            best: list[tuple[int, int]] = []  # (covered, start) of the best chain that ends with each match
+            reach = 0
+            for j, (a, z, t) in enumerate(own):
+                got = (z - a, a)
+                while own[reach][0] + self.lengths[k] + self.p.max_gap < a:
+                    reach += 1
+                for i in range(reach, j):
+                    a0, z0, t0 = own[i]
+                    gain = min(z - max(a, z0), t + z - a - max(t, t0 + z0 - a0))
+                    if gain <= 0 or a0 >= a or t0 >= t or a - z0 > self.p.max_gap:
+                        continue
+                    new = (best[i][0] + gain, best[i][1])
+                    if new > got and not self._crossed(strong, k, min(z0, a), max(z0, a)):
+                        got = new
+                best.append(got)
+            taken: list[tuple[int, int]] = []
+            for _, size, start, covered in sorted((-c, own[j][1] - s, s, c) for j, (c, s) in enumerate(best)):
+                end = start + size
+                at = bisect_left(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                    taken.insert(at, (start, end))
+                    out.append((k, start, end, covered))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -233,8 +333,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``first_word`` / ``last_word`` the smallest and largest start (null if
     none); ``base_labels`` and ``labels`` (base and chained labels), each
     distinct, sorted, comma-joined; ``score``: the largest covered share of a
-    template, 1 if a base phrase stands there; ``spans``: the chains that gave
-    labels (word positions, end exclusive).
+    template by one chain, 1 if a base phrase stands there; ``spans``: the
+    chains that gave labels (word positions, end exclusive).
+
+    ``templates`` are (label, text) pairs of any length, so whole licence texts
+    may be given; they go with the job and must fit a worker.
 
     Null or empty text has no words: counts 0, empty labels, score 0. Very
     long texts are scanned whole. Repeated or null ids: each row is judged
@@ -269,12 +372,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, z in sc.runs(ids, row):
                 r = int(row[a])
                 shift = int(w.first[r])
-                for k, s, e in sc.matches(ids, a, z):
-                    found.setdefault(r, []).append((k, s - shift, e - shift))
+                for k, s, e, t in sc.matches(ids, a, z):
+                    found.setdefault(r, []).append((k, s - shift, e - shift, t))
             spans: list[list] = [[] for _ in range(n)]
             for r, places in found.items():
                 for k, s, e, covered in sc.spans(places):
-                    share = min(1.0, covered / sc.lengths[k])
+                    share = covered / sc.lengths[k]
                     score[r] = max(score[r], share)
                     if share >= sc.p.min_cover:
                         labels[r].add(sc.labels[k])
