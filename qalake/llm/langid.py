@@ -3,8 +3,9 @@
 Training counts (language, n-gram bucket) are summed inside each task and then
 by a partial aggregation; the model is a log-probability matrix of languages x
 ``buckets``, whose size is bounded by the parameters and the number of
-languages. It is broadcast, and texts are scored in numpy: the rows
-of a document's buckets, summed.
+languages. It is broadcast, and texts are scored in numpy by batches: each text
+is counted into (bucket, count) entries, slice by slice, and the sparse matrix
+of texts x buckets is multiplied with the log-probabilities in bounded pieces.
 """
 
 from __future__ import annotations
@@ -32,9 +33,13 @@ class LangParams:
     temperature: float = 12.0             # n-grams that count as one observation: they overlap
 
 
+SLICE = 1 << 16      # characters counted at once
+PRODUCT = 1 << 21    # doubles of a piece of the product
+
+
 def features(text: str, p: LangParams) -> np.ndarray:
-    """Bucket of every character n-gram of the lower-cased text."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    """Bucket of every character n-gram of a lower-cased text."""
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     out = []
     key = None
     for n in range(1, max(p.orders) + 1):
@@ -46,6 +51,22 @@ def features(text: str, p: LangParams) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
 
 
+def bucket_counts(text: str, p: LangParams, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, count) of all n-grams of a text, ascending. Long texts are
+    counted slice by slice; the n-grams of the overlap of two slices, which
+    both hold, are taken off once."""
+    text, over = text.lower(), max(p.orders) - 1
+    if len(text) <= size:
+        return np.unique(features(text, p), return_counts=True)
+    sums = np.zeros(p.buckets, np.int64)
+    for at in range(0, len(text), size):
+        sums += np.bincount(features(text[max(0, at - over):at + size], p), minlength=p.buckets)
+        if at:
+            sums -= np.bincount(features(text[max(0, at - over):at], p), minlength=p.buckets)
+    at = np.flatnonzero(sums)
+    return at, sums[at]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -56,14 +77,13 @@ def _counts(labelled: DataFrame, p: LangParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in small_batches(batches, "text"):
-            own: dict[str, list] = {}
             for lang, cell in zip(b.column(0).to_pylist(), b.column(1)):
                 text = cell.as_py()
                 if lang is not None and has_letter(text):
-                    own.setdefault(lang, []).append(features(text, p))
-            for lang, parts in own.items():
-                got = np.bincount(np.concatenate(parts), minlength=p.buckets)
-                sums[lang] = sums[lang] + got if lang in sums else got
+                    at, n = bucket_counts(text, p)
+                    if lang not in sums:
+                        sums[lang] = np.zeros(p.buckets, np.int64)
+                    sums[lang][at] += n
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
@@ -78,13 +98,48 @@ class Model:
     log_prob: np.ndarray  # buckets x languages, float32
     params: LangParams
 
+    def totals(self, texts: list[str], piece: int = PRODUCT) -> np.ndarray:
+        """Log-likelihoods, texts x languages: the sparse count matrix times
+        ``log_prob``, at most ``piece`` products at a time."""
+        out = np.zeros((len(texts), len(self.languages)))
+        step = max(1, piece // max(1, len(self.languages)))
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def multiply() -> None:
+            if not held:
+                return
+            at = np.concatenate([x for _, x, _ in held])
+            n = np.concatenate([x for _, _, x in held]).astype(np.float64)
+            first = np.cumsum([0] + [len(x) for _, x, _ in held[:-1]])
+            # a text stands at most once among the held entries
+            out[[i for i, _, _ in held]] += np.add.reduceat(self.log_prob[at] * n[:, None], first, axis=0)
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            at, n = bucket_counts(text, self.params)
+            for a in range(0, len(at), step):
+                part = len(at[a:a + step])
+                if a or size + part > step:
+                    multiply()
+                    size = 0
+                held.append((i, at[a:a + step], n[a:a + step]))
+                size += part
+        multiply()
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its posterior) of each text; ties go to the language first by name."""
+        got = [(UNKNOWN, 0.0)] * len(texts)
+        judged = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
+        total = self.totals([texts[i] for i in judged]) / self.params.temperature
+        for i, row in zip(judged, total):
+            best = int(np.argmax(row))
+            got[i] = (self.languages[best], float(1.0 / np.exp(row - row[best]).sum()))
+        return got
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its posterior); ties go to the language first by name."""
-        if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        total = self.log_prob[features(text, self.params)].sum(0, dtype=np.float64) / self.params.temperature
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", params: LangParams = LangParams()) -> Model:
@@ -120,7 +175,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     posterior in 0..1, tempered because overlapping n-grams are no independent
     observations. Whole texts are scored, very long ones too; repeated or null
     ids are judged row by row; an empty table has no rows; other columns are
-    not read.
+    not read, and kept ones named ``lang_pred`` or ``score`` are replaced.
     """
     p = model.params
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prob))
@@ -129,6 +184,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         keep, text_col, schema = ["doc_id"], "text", PREDICTIONS
     else:
         docs = docs.select(*dict.fromkeys([*keep, text_col]))
+        keep = [c for c in keep if c not in ("lang_pred", "score")]
         from pyspark.sql import types as T
         schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()),
                                                                 T.StructField("score", T.DoubleType())])
@@ -137,7 +193,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value, p)
         for b in small_batches(batches, text_name):
-            got = [m.predict(x.as_py()) for x in b.column(text_name)]
+            got = m.predict_all(b.column(text_name).to_pylist())
             yield pa.record_batch([*(b.column(c) for c in kept), pa.array([x for x, _ in got], pa.string()),
                                    pa.array([x for _, x in got], pa.float64())], names=[*kept, "lang_pred", "score"])
 
