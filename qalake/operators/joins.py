@@ -1,12 +1,9 @@
 """The anchored containment join (J12): equi joins on token / character grams,
-broadcasts of a counted size, exact verification."""
+texts verified where they stand, a broadcast of a counted size."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qalake.functions.text import WS_RE
@@ -24,94 +21,75 @@ def _gram_hashes(toks, first: int, last: int):
         lambda i: F.xxhash64(F.element_at(toks, i), F.element_at(toks, i + 1), F.element_at(toks, i + 2)))
 
 
-def _anchored_candidates(n_grams: DataFrame, d_grams: DataFrame, max_keys: int) -> DataFrame:
-    """(doc_id, item_id) candidates: each needle is anchored on its rarest gram.
-
-    ``n_grams`` is ``(item_id, gpos, g)``, ``d_grams`` ``(doc_id, g)``. The
-    needle gram set is broadcast with a proven size (counted first, at most
-    ``max_keys`` keys per broadcast); beyond that the needles are split into
-    hash chunks, each with its own bounded broadcast and document pass."""
-    n_keys = n_grams.select("g").distinct().count()
-    chunks = max(1, math.ceil(n_keys / max(max_keys, 1)))
-    parts = []
-    for c in range(chunks):
-        ng = n_grams if chunks == 1 else n_grams.where(
-            F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == c)
-        keys = ng.select("g").distinct()
-        # Document grams some needle uses: small next to the corpus, and read
-        # by both the frequency count and the candidate join, so kept
-        # (MEMORY_AND_DISK, recomputed from lineage if an executor is lost).
-        matched = (d_grams.join(F.broadcast(keys), "g", "left_semi").distinct()
-                   .persist(StorageLevel.MEMORY_AND_DISK))
-        freq = matched.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-        anchor = (ng.join(freq, "g").groupBy("item_id")
-                  .agg(F.min(F.struct("df", "gpos", "g")).alias("a"))
-                  .select("item_id", F.col("a.g").alias("g")))
-        parts.append(matched.join(anchor, "g").select("doc_id", "item_id"))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return cand.distinct()
-
-
-def _char_grams(text, q: int):
-    """Distinct character q-grams of a text (empty when shorter than q)."""
-    return F.when(F.length(text) >= q, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substr(text, i, F.lit(q)))))
+def _char_grams(text: Column, q: int) -> Column:
+    """Hashes of the character q-grams of a text (null when shorter than q)."""
+    return F.when(F.length(text) >= q, F.transform(
+        F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.xxhash64(F.lit(q), F.substr(text, i, F.lit(q)))))
+
+
+def _needle_anchors(n: DataFrame) -> DataFrame:
+    """(item_id, ntext, g): every non-empty needle with one of its grams, the
+    one that fewest needles hold (ties: the least hash)."""
+    tokens, short = F.col("t"), F.least(F.length("ntext"), F.lit(3))
+    interior = F.when(F.size(tokens) >= 5, _gram_hashes(tokens, 2, F.size(tokens) - 3))
+    chars = F.coalesce(*(F.when(short == q, _char_grams(F.col("ntext"), q)) for q in (1, 2, 3)))
+    keyed = n.withColumn("nk", F.sha2(F.concat_ws(" ", F.col("item_id").cast("string"), "ntext"), 256))
+    grams = (keyed.select("nk", "ntext", _tok("ntext").alias("t"))
+             .select("nk", F.explode_outer(F.array_distinct(F.coalesce(interior, chars))).alias("g"))
+             .where(F.col("g").isNotNull()))
+    uses = grams.groupBy("g").agg(F.count(F.lit(1)).alias("uses"))
+    anchor = (grams.join(uses, "g").groupBy("nk").agg(F.min(F.struct("uses", "g")).alias("a"))
+              .select("nk", F.col("a.g").alias("g")))
+    return keyed.join(anchor, "nk").select("item_id", "ntext", "g")
 
 
 def containment_join(docs: DataFrame, needles: DataFrame, *, doc_id: str = "doc_id",
                      doc_text: str = "text", needle_id: str = "item_id",
-                     needle_text: str = "text", max_broadcast_keys: int = 5_000_000) -> DataFrame:
-    """All (doc_id, needle_id) with ``needle_text`` a substring of ``doc_text``.
+                     needle_text: str = "text", max_broadcast_keys: int = 1_000_000,
+                     max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """All distinct (doc_id, needle_id) with ``needle_text`` a substring of ``doc_text``.
 
     Exact, with equi joins only. A needle's *interior* whitespace tokens (all
     but its first and last) are whole, consecutive tokens of any document that
-    contains it, so a needle with at least three interior tokens is anchored
-    on the rarest of its interior token trigrams. Shorter needles are anchored
-    on the rarest of their character q-grams (q = 3, or the whole needle when
-    it is shorter); documents emit their distinct character q-grams only when
-    such needles exist. Candidates are verified with ``instr`` on the whole
-    texts, so the anchors only bound the work, never the result.
+    contains it, so a needle with at least five tokens is anchored on one of
+    its interior token trigrams. Shorter needles are anchored on one of their
+    character q-grams (q = 3, or the whole needle when it is shorter);
+    documents emit their character q-grams only when such needles exist. Of a
+    needle's grams the one that fewest needles hold is taken, so what many
+    needles share (a common opening) is no anchor where anything else is left.
+
+    Documents are read once and their text stays on its row: the distinct
+    grams of a row are probed against the broadcast anchors and each hit is
+    verified there with ``instr``; only ids leave the stage. The needles are
+    broadcast while they are at most ``max_broadcast_keys`` rows and
+    ``max_broadcast_bytes`` bytes of text, both counted first. Beyond that,
+    grams and anchors meet by a shuffle of ids and hashes, and the texts of
+    the candidates, and of no other document, are joined to be verified.
+
+    Rows with a null id or text and empty needles match nothing; rows that
+    repeat an id are each verified.
     """
     d = (docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("dtext"))
          .where(F.col("doc_id").isNotNull() & F.col("dtext").isNotNull()))
     n = (needles.select(F.col(needle_id).alias("item_id"), F.col(needle_text).alias("ntext"))
-         .where(F.col("item_id").isNotNull() & F.col("ntext").isNotNull()))
-
-    n_tok = n.select("item_id", "ntext", _tok("ntext").alias("t"))
-    long_n = n_tok.where(F.size("t") >= 5)
-    short_n = n_tok.where(F.size("t") < 5).select("item_id", "ntext")
-
-    # token-trigram anchors (explode_outer + null filter: no inferred size()
-    # filter that would tokenise every document twice)
-    n_grams = (long_n.select("item_id", F.posexplode_outer(
-        _gram_hashes(F.col("t"), 2, F.size("t") - 3)).alias("gpos", "g"))
-        .where(F.col("g").isNotNull()))
-    d_grams = (d.select("doc_id", _tok("dtext").alias("t"))
-               .select("doc_id", F.explode_outer(F.when(
-                   F.size("t") >= 3, _gram_hashes(F.col("t"), 1, F.size("t") - 2))).alias("g"))
-               .where(F.col("g").isNotNull()))
-    cand = _anchored_candidates(n_grams, d_grams, max_broadcast_keys)
-
-    # character q-gram anchors for needles too short for a token trigram
-    qs = [r.q for r in short_n.select(F.least(F.length("ntext"), F.lit(3)).alias("q"))
-          .where(F.col("q") > 0).distinct().collect()]  # at most {1, 2, 3}
-    if qs:
-        sn = short_n.withColumn("q", F.least(F.length("ntext"), F.lit(3)))
-        grams = F.when(F.col("q") == 3, _char_grams(F.col("ntext"), 3)).otherwise(F.array(F.col("ntext")))
-        sn_grams = (sn.where(F.col("q") > 0)
-                    .select("item_id", "q", F.posexplode_outer(grams).alias("gpos", "s"))
-                    .where(F.col("s").isNotNull())
-                    .select("item_id", "gpos", F.xxhash64("q", "s").alias("g")))
-        dq = None
-        for q in sorted(qs):
-            part = (d.select("doc_id", F.explode_outer(_char_grams(F.col("dtext"), q)).alias("s"))
-                    .where(F.col("s").isNotNull())
-                    .select("doc_id", F.xxhash64(F.lit(q), "s").alias("g")))
-            dq = part if dq is None else dq.unionByName(part)
-        cand = cand.unionByName(_anchored_candidates(sn_grams, dq, max_broadcast_keys))
-
-    return (cand.join(d, "doc_id").join(n, "item_id")
-            .where(F.instr(F.col("dtext"), F.col("ntext")) > 0)
-            .select("doc_id", "item_id"))
+         .where(F.col("item_id").isNotNull() & (F.length("ntext") > 0)))
+
+    few = F.size(_tok("ntext")) < 5
+    size = n.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("ntext")).alias("bytes"),
+                 F.collect_set(F.when(few, F.least(F.length("ntext"), F.lit(3)))).alias("q")).first()  # q: at most {1, 2, 3}
+    anchors = _needle_anchors(n)
+    tokens = F.col("t")
+    parts = [F.when(F.size(tokens) >= 3, _gram_hashes(tokens, 1, F.size(tokens) - 2))]
+    parts += [_char_grams(F.col("dtext"), q) for q in sorted(size["q"])]
+    none = F.array().cast("array<bigint>")
+    # explode_outer + null filter: no inferred size() filter that would tokenise every document twice
+    grams = (d.select("doc_id", "dtext", _tok("dtext").alias("t"))
+             .select("doc_id", "dtext", F.array_distinct(F.concat(*(F.coalesce(x, none) for x in parts))).alias("gs"))
+             .select("doc_id", "dtext", F.explode_outer("gs").alias("g")))
+    holds = F.instr(F.col("dtext"), F.col("ntext")) > 0
+    if size["rows"] <= max_broadcast_keys and (size["bytes"] or 0) <= max_broadcast_bytes:
+        return grams.join(F.broadcast(anchors), "g").where(holds).select("doc_id", "item_id").distinct()
+    cand = (grams.select("doc_id", "g").where(F.col("g").isNotNull())
+            .join(anchors.select("item_id", "g"), "g").select("doc_id", "item_id").distinct())
+    return (cand.join(d, "doc_id").join(n, "item_id").where(holds)
+            .select("doc_id", "item_id").distinct())
