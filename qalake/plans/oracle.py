@@ -361,6 +361,25 @@ SELECT page_id, {text_of(f"regexp_extract(clean, {sql_str(TITLE_RE)}, 1)")} AS t
 
 
 ORACLE["html_fields"] = _html_sql()
+def _decoded(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), "
+            "'&amp;', '&')")
+
+
+def _between(x: str, a: str, z: str) -> str:
+    return f"split_part(split_part({x}, '{a}', 2), '{z}', 1)"
+
+
+_LINKS = "string_split(nav, '<a href=\"')[2:]"
+ORACLE["page_elements"] = f"""WITH p AS (SELECT page_id, html, {_between('html', '<head>', '</head>')} AS head,
+  {_between('html', '<nav>', '</nav>')} AS nav, {_between('html', '<article>', '</article>')} AS art FROM pages),
+t AS (SELECT *, CASE WHEN contains(head, '<title>') THEN trim({_decoded(_between('head', '<title>', '</title>'))}) END AS title,
+  list_transform({_LINKS}, lambda x: split_part(x, '"', 1)) AS hrefs,
+  list_transform({_LINKS}, lambda x: split_part(split_part(x, '>', 2), '<', 1)) AS names FROM p)
+SELECT page_id, {_between('html', '<html lang="', '"')} AS page_lang, title, left(title, 4) AS start,
+  CASE WHEN contains(art, '<h1>') THEN trim({_decoded(_between('art', '<h1>', '</h1>'))}) END AS heading,
+  lower({_decoded("coalesce(array_to_string(names, '|'), '')")}) AS menu,
+  {_decoded("coalesce(array_to_string(hrefs, '|'), '')")} AS links FROM t"""
 ORACLE["report_pivot"] = """SELECT user_id AS batch,
   max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'error') AS error,
   max(value) FILTER (WHERE event_type = 'purchase') AS purchase, max(value) FILTER (WHERE event_type = 'signup') AS signup,

@@ -415,6 +415,17 @@ def html_fields(spark, sf):
     return H.html_fields(Tables(spark, sf).pages.select("page_id", "html"))
 
 
+@query("page_elements")
+def page_elements(spark, sf):
+    """Fields of raw pages by element; ``start`` is the first four characters of the title."""
+    from qalake.sources.elements import Field, element_fields
+    fields = [Field("page_lang", "html", attr="lang"), Field("title", "head > title"), Field("start", "head > title", first=4),
+              Field("heading", "article > h1"), Field("menu", "nav ul > li a", many=True, lower=True),
+              Field("links", "nav a", attr="href", many=True)]
+    out = element_fields(Tables(spark, sf).pages.select("page_id", "html"), fields)
+    return out.withColumns({"menu": F.array_join("menu", "|"), "links": F.array_join("links", "|")})
+
+
 @query("report_pivot")
 def report_pivot(spark, sf):
     """Parse ``metric: score`` lines and pivot to one row per batch."""
