@@ -84,6 +84,22 @@ def profile(df: DataFrame, dataset: str, qtype: str, types: list[str]) -> DataFr
     return out
 
 
+def profile_documents(questions: DataFrame, links: DataFrame, dataset: str, qtype: str, types: list[str],
+                      key: str) -> DataFrame:
+    """A4 whole: one row per dataset with its questions, its distinct documents
+    and its questions by type. Questions and links are each read once: the
+    types are conditional counts, and documents are made distinct before they
+    are counted. Datasets of either side stay, missing counts are 0; null keys
+    are no documents."""
+    q = questions.groupBy(dataset).agg(F.count(F.lit(1)).alias("n_queries"),
+                                       *(F.count_if(F.col(qtype) == t).alias(t) for t in types))
+    d = links.select(dataset, key).distinct().groupBy(dataset).agg(F.count(key).alias("n_docs"))
+    d = d.withColumnRenamed(dataset, "__dataset")
+    both = q.join(d, q[dataset].eqNullSafe(d["__dataset"]), "full")
+    return both.select(F.coalesce(dataset, "__dataset").alias(dataset),
+                       *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ["n_queries", "n_docs", *types]))
+
+
 def backfill(base: DataFrame, updates: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Left join on the key, ``coalesce(new, old)`` per updated column."""
     u = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])

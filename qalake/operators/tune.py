@@ -59,19 +59,24 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], TRIAL)  # empty study
 
 
+def unfinished(candidates: DataFrame, trials: DataFrame, keys: list[str], max_retry: int = 3) -> DataFrame:
+    """T16 on tables: the candidates whose keys have neither a COMPLETE trial
+    nor ``max_retry`` failed ones."""
+    done = trials.where(F.col("state") == "COMPLETE").select(*keys)
+    failed = (trials.where(F.col("state") == "FAIL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_fail"))
+              .where(F.col("n_fail") >= max_retry).select(*keys))
+    return candidates.join(done.unionByName(failed), keys, "left_anti")
+
+
 def pending(spark: SparkSession, candidates: list[dict], trials_path: str, study: str,
             max_retry: int = 3) -> DataFrame:
     """Candidates minus finished trials; failed ones come back until they
     have failed ``max_retry`` times."""
     cand = spark.createDataFrame([(i, p) for i, p in enumerate(candidates)],
                                  "cand_id long, params map<string,double>")
-    t = read_trials(spark, trials_path).where(F.col("study") == study)
-    done = t.where(F.col("state") == "COMPLETE").select(params_key().alias("pk"))
-    failed = (t.where(F.col("state") == "FAIL").groupBy(params_key().alias("pk"))
-              .agg(F.count(F.lit(1)).alias("n_fail")).where(F.col("n_fail") >= max_retry).select("pk"))
-    c = cand.withColumn("pk", params_key())
-    return (c.join(done, "pk", "left_anti").join(failed, "pk", "left_anti")
-            .select("cand_id", "params").orderBy("cand_id"))
+    t = read_trials(spark, trials_path).where(F.col("study") == study).withColumn("pk", params_key())
+    return unfinished(cand.withColumn("pk", params_key()), t, ["pk"], max_retry) \
+        .select("cand_id", "params").orderBy("cand_id")
 
 
 def run_study(spark: SparkSession, study: str, candidates: list[dict], trials_path: str,

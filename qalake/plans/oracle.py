@@ -429,6 +429,19 @@ sc AS (SELECT pairs.lang, coalesce(c2, 0) / tw.W AS pab, coalesce(x.c1, 0) / tw.
        LEFT JOIN p1 y ON y.lang = pairs.lang AND y.rank = pairs.rb CROSS JOIN tw)
 SELECT lang, round(avg(ln((pab + 1e-12) / (pa * pb)) / (-ln(pab + 1e-12))), 6) AS c_npmi FROM sc GROUP BY lang"""
 
+ORACLE["coherence_uci"] = ORACLE["coherence_npmi"].replace(" / (-ln(pab + 1e-12))), 6) AS c_npmi", "), 6) AS c_uci")
+ORACLE["dataset_documents"] = "WITH " + _GOLD + """,
+l AS (SELECT g.item_id, g.doc_id, d.source, d.lang FROM gold g JOIN documents d USING (doc_id)),
+q AS (SELECT DISTINCT source, item_id, lang FROM l)
+SELECT q.source, count(*) AS n_queries, (SELECT count(DISTINCT doc_id) FROM l WHERE l.source = q.source) AS n_docs,
+  count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en,
+  count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM q GROUP BY q.source"""
+ORACLE["retry_trials"] = """WITH e AS (SELECT user_id % 50 AS study, CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS k,
+  event_type, value FROM events),
+p AS (SELECT DISTINCT study, k FROM e WHERE event_type = 'view'),
+gone AS (SELECT study, k FROM e WHERE event_type = 'purchase' AND value > 90
+  UNION SELECT study, k FROM e WHERE event_type = 'error' GROUP BY study, k HAVING count(*) >= 3)
+SELECT p.study, p.k FROM p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.study = p.study AND g.k = p.k)"""
 
 ORACLE["prepare_profile"] = "WITH " + _GOLD + """,
 ll AS (SELECT item_id AS id, doc_id AS pos, string_split('http://www.ncbi.nlm.nih.gov/pubmed/' || CAST(doc_id AS VARCHAR), '/')[-1] AS pmid FROM gold),

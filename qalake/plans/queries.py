@@ -143,6 +143,15 @@ def dataset_profile(spark, sf):
                      ["assistant", "system", "user"])
 
 
+@query("dataset_documents")
+def dataset_documents(spark, sf):
+    """A4: per dataset (source of the gold documents) its questions, distinct documents and questions by type (language)."""
+    t = Tables(spark, sf)
+    links = S.gold_links(t, materialize=True).join(t.documents.select("doc_id", "lang", "source"), "doc_id")
+    questions = links.select("source", "item_id", "lang").distinct()
+    return P.profile_documents(questions, links, "source", "lang", ["de", "en", "es", "fr"], "doc_id")
+
+
 @query("null_backfill")
 def null_backfill(spark, sf):
     """Back-fill quality/toxic by key; rows still missing are flagged."""
@@ -377,8 +386,20 @@ def pending_trials(spark, sf):
     e = Tables(spark, sf).events
     k = F.get_json_object("props", "$.k").cast("int").alias("k")
     planned = e.where(F.col("event_type") == "view").select(F.col("user_id").alias("study"), k).distinct()
-    done = e.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("study"), k)
-    return planned.join(done, ["study", "k"], "left_anti")
+    done = e.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("study"), k, F.lit("COMPLETE").alias("state"))
+    return TU.unfinished(planned, done, ["study", "k"])
+
+
+@query("retry_trials")
+def retry_trials(spark, sf):
+    """Planned (study, params) neither finished nor failed three times (errors)."""
+    e = Tables(spark, sf).events
+    k = (F.get_json_object("props", "$.k").cast("int") % 10).alias("k")
+    study = (F.col("user_id") % 50).alias("study")
+    planned = e.where(F.col("event_type") == "view").select(study, k).distinct()
+    state = F.when(F.col("event_type") == "error", "FAIL").when(F.col("value") > 90, "COMPLETE").otherwise("RUNNING")
+    trials = e.where(F.col("event_type").isin("error", "purchase")).select(study, k, state.alias("state"))
+    return TU.unfinished(planned, trials, ["study", "k"])
 
 
 @query("trial_passes")
@@ -477,6 +498,15 @@ def coherence_npmi(spark, sf):
     return out.select("lang", F.round("c_npmi", 6).alias("c_npmi"))
 
 
+@query("coherence_uci")
+def coherence_uci(spark, sf):
+    """T10 c_uci (10-token sliding windows) of each language's top-10 terms."""
+    t = Tables(spark, sf)
+    top = S.top_terms_by_group(t, "lang", 10)
+    out = TP.coherence_windowed(S.tokens_long(t), top, 10, "c_uci", group="lang")
+    return out.select("lang", F.round("c_uci", 6).alias("c_uci"))
+
+
 @query("stem_tokens")
 def stem_tokens(spark, sf):
     """Porter stems per document, stemmed once per distinct term."""
