@@ -4,13 +4,15 @@ The model is a table ``(term, lam)`` with one array of k weights per term of
 the whole training vocabulary; every pass reads every document. Nothing of
 size k x V or of the corpus reaches the driver: only the k topic totals do.
 
-A pass: documents sit in hash blocks of bounded size; each block gets the
-weights of its own terms by an equi join on the distinct (block, term) pairs;
-one numpy E-step per block returns a partial sum per term, and a partially
-aggregated vector sum per term is the M-step. A term that occurs in every
-document therefore moves once per block, not once per document. Weights are
-seeded by hashes of term and topic, so a fit does not depend on partitioning
-beyond the order of floating-point sums.
+A bag is stored once as blocks of documents with small integers for the block's
+terms (``blocks``). A pass: each block gets the weights of its own terms and runs
+the numpy E-step over tiles of its documents; one partial sum per (block, term)
+goes to the term's home, which adds them up (the M-step) and sends the new
+weights back to the same blocks. So a pass moves each (block, term) pair twice,
+and the entries of the bag only in their packed form. Terms travel as 64-bit
+hashes that are checked to be distinct. Weights are seeded by hashes of term and
+topic, so a fit does not depend on partitioning beyond the order of
+floating-point sums.
 """
 
 from __future__ import annotations
@@ -20,17 +22,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qalake.llm.store import written
 from qalake.operators.topics import MIN_PROBABILITY
-from qalake.session import ensure_checkpoint_dir
 
-#: Doubles of one entries x k matrix in a block (8 MB).
-BLOCK_VALUES = 1_000_000
+#: Entries x k of a block: what one task holds packed, 20 bytes an entry while it packs.
+BLOCK_VALUES = 20_000_000
+#: Entries x k of a tile, the stretch of documents that one E-step runs over (1.6 MB a matrix).
+TILE_VALUES = 200_000
+#: Weights that one M-step task adds up (32 MB).
+HOME_VALUES = 4_000_000
 #: E-step: most iterations, and the mean change of a document's weights that ends it.
 MAX_STEPS = 50
 TOLERANCE = 1e-3
@@ -71,96 +77,216 @@ def infer(start: np.ndarray, n: np.ndarray, beta: np.ndarray, alpha: np.ndarray)
     size = np.diff(np.append(start, len(n)))
     gamma = alpha + np.add.reduceat(n, start)[:, None] / len(alpha)
     active = np.arange(len(start))
+    begin = start
     for _ in range(MAX_STEPS):
-        if not len(active):
-            break
-        s = size[active]
-        begin = np.append(0, np.cumsum(s)[:-1])
-        rep = np.repeat(np.arange(len(active)), s)
-        at = start[active][rep] + np.arange(len(rep)) - begin[rep]
-        theta, b = _expected(gamma[active]), beta[at]
-        share = n[at] / (np.einsum("ek,ek->e", theta[rep], b) + 1e-100)
-        new = alpha + theta * np.add.reduceat(b * share[:, None], begin, axis=0)
-        moved = np.abs(new - gamma[active]).mean(axis=1)
+        theta = _expected(gamma[active])
+        share = n / (np.einsum("ek,ek->e", np.repeat(theta, size, axis=0), beta) + 1e-100)
+        new = alpha + theta * np.add.reduceat(beta * share[:, None], begin, axis=0)
+        moved = np.abs(new - gamma[active]).mean(axis=1) > TOLERANCE
         gamma[active] = new
-        active = active[moved > TOLERANCE]
+        if not moved.any():
+            break
+        if not moved.all():   # only the entries of documents that still move are held
+            held = np.repeat(moved, size)
+            n, beta, size, active = n[held], beta[held], size[moved], active[moved]
+            begin = np.cumsum(size) - size
     return gamma
 
 
-def _block_step(alpha: list[float], totals: list[float], learn: bool):
-    """cogroup function: (block entries, weights of the block's terms) ->
-    partial sums per term (``learn``) or the topic mix per document."""
+def spread_out(gamma: np.ndarray, size: np.ndarray, n: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """The count of each entry shared out to the topics (entries x k)."""
+    stat = np.repeat(_expected(gamma), size, axis=0) * beta
+    stat *= (n / (stat.sum(axis=1) + 1e-100))[:, None]
+    return stat
+
+
+def add_by_code(into: np.ndarray, code: np.ndarray, rows: np.ndarray) -> None:
+    """``into[c] += rows`` of code c, each code once."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    into[code[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def matrix(column: pa.ChunkedArray, k: int) -> np.ndarray:
+    """A column of arrays of k doubles as rows x k."""
+    return np.concatenate([np.empty(0)] + [c.flatten().to_numpy() for c in column.chunks]).reshape(-1, k)
+
+
+def arrays(rows: np.ndarray) -> pa.Array:
+    """The reverse of ``matrix``."""
+    n, k = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(rows.ravel()))
+
+
+# ---- the bag by blocks -------------------------------------------------------------
+TILES = "block long, tile int, docs array<long>, sizes array<int>, codes array<int>, n array<double>, terms array<long>"
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """A stored bag (``blocks``)."""
+
+    tiles: DataFrame   # TILES: a stretch of a block's documents; codes are places in the terms of the block's tile 0
+    terms: DataFrame   # (term string, id long, n long): every term with its rows in the bag
+    pairs: int         # (block, term) pairs
+
+
+def pack(t: pa.Table, tile_entries: int) -> pa.Table:
+    """The tiles of one block from its rows (block, doc_id, id, tf). Rows without a document are one document each."""
+    doc = t.column("doc_id").combine_chunks()
+    none = doc.is_null().to_numpy(zero_copy_only=False)
+    docs = doc.fill_null(0).to_numpy()
+    terms, code = np.unique(t.column("id").to_numpy(), return_inverse=True)
+    order = np.lexsort((code, docs, none))
+    docs, code, none, n = docs[order], code[order].astype(np.int32), none[order], t.column("tf").to_numpy()[order]
+    start = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | none[1:]))
+    size = np.diff(np.append(start, len(docs)))
+    tile = start // tile_entries
+    cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))[1:]
+    at = start[cut]
+    own = doc.take(pa.array(order[start]))
+    ends = np.append(cut, len(start))
+    rows = len(ends)
+    return pa.table({
+        "block": pa.array([t.column("block")[0].as_py()] * rows, pa.int64()),
+        "tile": pa.array(range(rows), pa.int32()),
+        "docs": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), own),
+        "sizes": pa.array(np.split(size.astype(np.int32), cut), pa.list_(pa.int32())),
+        "codes": pa.array(np.split(code, at), pa.list_(pa.int32())),
+        "n": pa.array(np.split(n, at), pa.list_(pa.float64())),
+        "terms": pa.array([terms] + [None] * (rows - 1), pa.list_(pa.int64()))})
+
+
+def hashed_terms(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(term, id, n) of ``counts`` (term, n), stored, and the salt of the hash:
+    the first with which no two terms share an id."""
+    counts = written(counts, "lda-terms")
+    for salt in range(1, 9):
+        terms = counts.select("term", F.xxhash64("term", F.lit(salt)).alias("id"), "n")
+        if terms.groupBy("id").count().where("count > 1").limit(1).count() == 0:
+            return terms, salt
+    raise ValueError("no salt tells the terms apart")
+
+
+def blocks(bag: DataFrame, k: int) -> Blocks:
+    """``bag`` (doc_id, term, tf), which is read twice, by blocks of documents."""
+    bag = bag.where(F.col("term").isNotNull())
+    terms, salt = hashed_terms(bag.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    n_rows = terms.agg(F.sum("n")).first()[0] or 0
+    n_blocks = max(bag.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows * k / BLOCK_VALUES))
+    rows = bag.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
+                      F.xxhash64("term", F.lit(salt)).alias("id"), F.col("tf").cast("double").alias("tf"))
+    entries = max(1, TILE_VALUES // k)
+    tiles = written(rows.groupBy("block").applyInArrow(lambda t: pack(t, entries), TILES), "lda-tiles")
+    pairs = tiles.where("tile = 0").agg(F.sum(F.size("terms"))).first()[0] or 0
+    return Blocks(tiles, terms, pairs)
+
+
+def _weights(b: Blocks, topics: DataFrame) -> DataFrame:
+    """(at, code, lam): the weights of each block's terms, as far as ``topics`` (term, lam) has them."""
+    own = b.tiles.where("tile = 0").select(F.col("block").alias("at"), F.posexplode("terms").alias("code", "id"))
+    return own.join(b.terms.select("term", "id").join(topics, "term"), "id").select("at", "code", "lam")
+
+
+# ---- E-step and M-step -------------------------------------------------------------
+def tile_entries(t: pa.Table, known: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, entries of each, codes, counts) of each tile; unknown terms and documents without another are left out."""
+    for i in range(t.num_rows):
+        docs = t.column("docs")[i].values
+        size, code, n = (t.column(c)[i].values.to_numpy() for c in ("sizes", "codes", "n"))
+        if not known.all():
+            held = known[code]
+            size = np.add.reduceat(held.astype(np.int64), np.cumsum(size) - size)
+            docs, size, code, n = docs.filter(pa.array(size > 0)), size[size > 0], code[held], n[held]
+        if len(size):
+            yield docs, size, code, n
+
+
+def tile_terms(t: pa.Table) -> np.ndarray:
+    """Ids of the block's terms, by code."""
+    at = np.flatnonzero(t.column("tile").to_numpy() == 0)
+    return t.column("terms")[int(at[0])].values.to_numpy() if len(at) else np.empty(0, np.int64)
+
+
+def _block_step(alpha: list[float], totals: list[float], homes: int | None):
+    """cogroup function: (tiles of a block, weights of its terms) -> partial
+    sums per term for their homes, or without homes the topic mix per document."""
     a = np.array(alpha)
     base = digamma(np.array(totals))
 
-    def step(entries: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
-        names = ["term", "stat"] if learn else ["doc_id", "vec"]
-        code = pd.Index(weights["term"]).get_indexer(entries["term"]) if len(weights) else np.full(len(entries), -1)
-        known = code >= 0
-        if not known.any():
-            return pd.DataFrame({c: [] for c in names})
-        ids, code = entries["doc_id"].to_numpy()[known], code[known]
-        n = entries["tf"].to_numpy(dtype=float)[known]
-        order = np.lexsort((code, ids))
-        ids, code, n = ids[order], code[order], n[order]
-        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        beta = np.exp(digamma(np.stack(weights["lam"].to_numpy())) - base)[code]
-        gamma = infer(start, n, beta, a)
-        if not learn:
-            mix = gamma / gamma.sum(axis=1, keepdims=True)
-            return pd.DataFrame({"doc_id": ids[start], "vec": list(mix)})
-        theta = np.repeat(_expected(gamma), np.diff(np.append(start, len(n))), axis=0)
-        stat = theta * beta
-        stat *= (n / (stat.sum(axis=1) + 1e-100))[:, None]
-        by_term = np.argsort(code, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(code[by_term]) != 0))
-        return pd.DataFrame({"term": weights["term"].to_numpy()[code[by_term][first]],
-                             "stat": list(np.add.reduceat(stat[by_term], first, axis=0))})
+    def step(tiles: pa.Table, weights: pa.Table) -> pa.Table:
+        terms, code = tile_terms(tiles), weights.column("code").to_numpy()
+        beta, known = np.zeros((len(terms), len(a))), np.zeros(len(terms), bool)
+        beta[code], known[code] = np.exp(digamma(matrix(weights.column("lam"), len(a))) - base), True
+        stat, docs, mixes = np.zeros_like(beta) if homes else None, [pa.array([], pa.int64())], [np.empty((0, len(a)))]
+        for doc, size, code, n in tile_entries(tiles, known):
+            b = beta[code]
+            gamma = infer(np.cumsum(size) - size, n, b, a)
+            if homes:
+                add_by_code(stat, code, spread_out(gamma, size, n, b))
+            else:
+                docs.append(doc)
+                mixes.append(gamma / gamma.sum(axis=1, keepdims=True))
+        if not homes:
+            return pa.table({"doc_id": pa.concat_arrays(docs), "vec": arrays(np.concatenate(mixes))})
+        own = np.flatnonzero(known)
+        block = tiles.column("block")[0].as_py() if len(own) else 0
+        return pa.table({"home": pa.array(terms[own] % homes, pa.int64()), "at": pa.array(np.full(len(own), block), pa.int64()),
+                         "code": pa.array(own, pa.int32()), "id": pa.array(terms[own], pa.int64()), "stat": arrays(stat[own])})
     return step
 
 
-def _blocks(bag: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(block, doc_id, term, tf) and its distinct terms per block (at, known), both checkpointed."""
-    ensure_checkpoint_dir(bag.sparkSession)
-    rows = bag.select("doc_id", "term", F.col("tf").cast("double").alias("tf")).checkpoint()
-    n_blocks = max(1, math.ceil(rows.count() * k / BLOCK_VALUES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
-    return rows, rows.select(F.col("block").alias("at"), F.col("term").alias("known")).distinct().checkpoint()
+def _home_step(k: int, eta: float):
+    """Group function: a home's partial sums -> the new weights for each block that has
+    the term, marked at one of them."""
+    def step(t: pa.Table) -> pa.Table:
+        ids, at = t.column("id").to_numpy(), t.column("at").to_numpy()
+        order = np.lexsort((at, ids))
+        ids, at = ids[order], at[order]
+        first = np.append(True, ids[1:] != ids[:-1])
+        start = np.flatnonzero(first)
+        lam = np.add.reduceat(matrix(t.column("stat"), k)[order], start, axis=0) + eta
+        return pa.table({"at": pa.array(at), "code": pa.array(t.column("code").to_numpy()[order]), "id": pa.array(ids),
+                         "first": pa.array(first), "lam": arrays(np.repeat(lam, np.diff(np.append(start, len(ids))), axis=0))})
+    return step
 
 
-def _step(rows: DataFrame, pairs: DataFrame, model: LdaModel, learn: bool) -> DataFrame:
-    known = pairs.join(model.topics, F.col("known") == F.col("term")).select("at", F.col("known").alias("term"), "lam")
-    return rows.groupBy("block").cogroup(known.groupBy("at")).applyInPandas(
-        _block_step(model.alpha, model.totals, learn),
-        "term string, stat array<double>" if learn else "doc_id long, vec array<double>")
+def _step(b: Blocks, weights: DataFrame, model: LdaModel, homes: int | None) -> DataFrame:
+    return b.tiles.groupBy("block").cogroup(weights.groupBy("at")).applyInArrow(
+        _block_step(model.alpha, model.totals, homes),
+        "home long, at long, code int, id long, stat array<double>" if homes else "doc_id long, vec array<double>")
 
 
-def _with_totals(topics: DataFrame, alpha: list[float]) -> LdaModel:
+def _with_totals(topics: DataFrame, alpha: list[float], rows: DataFrame | None = None) -> LdaModel:
+    """The model of ``topics``; ``rows``: the same weights in a form that is read faster."""
     # grouped by a constant: without a term there is no group, and all totals are 0
-    got = topics.select(F.lit(0).alias("all"), array_to_vector("lam").alias("v")).groupBy("all") \
+    got = (topics if rows is None else rows).select(F.lit(0).alias("all"), array_to_vector("lam").alias("v")).groupBy("all") \
         .agg(Summarizer.sum(F.col("v")).alias("s")).first()
     return LdaModel(topics, [0.0] * len(alpha) if got is None else got.s.toArray().tolist(), alpha)
 
 
-def passes(bag: DataFrame, k: int, n: int, alpha: list[float] | None = None, eta: float | None = None,
+def passes(bag: DataFrame | Blocks, k: int, n: int, alpha: list[float] | None = None, eta: float | None = None,
            seed: int = 1) -> Iterator[LdaModel]:
     """The model after each of ``n`` passes over every document of ``bag``
-    (doc_id, term, tf). Concentrations default to 1/k."""
+    (doc_id, term, tf), or of its ``blocks``. Concentrations default to 1/k."""
     alpha, eta = list(alpha or [1.0 / k] * k), 1.0 / k if eta is None else eta
-    rows, pairs = _blocks(bag, k)
+    b = bag if isinstance(bag, Blocks) else blocks(bag, k)
     # exponential start values: -ln of a uniform hash in (0, 1)
     start = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.lit(eta) - F.ln(
         (F.pmod(F.xxhash64("term", i, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
-    model = _with_totals(pairs.select(F.col("known").alias("term")).distinct().select("term", start.alias("lam")).checkpoint(), alpha)
+    model = _with_totals(b.terms.select("term", start.alias("lam")), alpha)
+    weights = _weights(b, model.topics)
+    homes = max(b.tiles.sparkSession.sparkContext.defaultParallelism, math.ceil(b.pairs * k / HOME_VALUES))
     for _ in range(n):
-        summed = _step(rows, pairs, model, True).groupBy("term").agg(
-            vector_to_array(Summarizer.sum(array_to_vector("stat"))).alias("stat"))
-        topics = summed.select("term", F.transform("stat", lambda x: x + F.lit(eta)).alias("lam")).checkpoint()
-        model = _with_totals(topics, alpha)
+        weights = written(_step(b, weights, model, homes).groupBy("home").applyInArrow(
+            _home_step(k, eta), "at long, code int, id long, first boolean, lam array<double>"), "lda-weights")
+        topics = weights.where("first").select("id", "lam")
+        model = _with_totals(topics.join(b.terms, "id").select("term", "lam"), alpha, topics)
         yield model
 
 
-def fit(bag: DataFrame, k: int, n_passes: int = 5, **kwargs) -> LdaModel:
+def fit(bag: DataFrame | Blocks, k: int, n_passes: int = 5, **kwargs) -> LdaModel:
     """T4: the model after ``n_passes`` full passes; see ``passes``."""
     if n_passes < 1:
         raise ValueError("n_passes must be at least 1")
@@ -170,15 +296,15 @@ def fit(bag: DataFrame, k: int, n_passes: int = 5, **kwargs) -> LdaModel:
     return model
 
 
-def topic_vectors(model: LdaModel, docs: DataFrame, bag: DataFrame,
+def topic_vectors(model: LdaModel, docs: DataFrame, bag: DataFrame | Blocks,
                   min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """T5: (doc_id, vec) for every row of ``docs`` (doc_id), weights below
     ``min_probability`` as 0. Terms the model does not hold are ignored; a
     document without a known term has the prior's mix."""
-    rows, pairs = _blocks(bag, model.k)
+    b = bag if isinstance(bag, Blocks) else blocks(bag, model.k)
     total = sum(model.alpha)
     prior = F.array(*[F.lit(a / total) for a in model.alpha])
-    return (docs.select("doc_id").join(_step(rows, pairs, model, False), "doc_id", "left")
+    return (docs.select("doc_id").join(_step(b, _weights(b, model.topics), model, None), "doc_id", "left")
             .select("doc_id", F.transform(F.coalesce("vec", prior), lambda x: F.when(x >= min_probability, x)
                                           .otherwise(F.lit(0.0))).alias("vec"))
             .checkpoint())  # read several times by what follows

@@ -9,8 +9,8 @@ the decay until then, and a chunk reads and writes its own terms alone. Topic
 totals decay as sums, so they never need the vocabulary. ``alpha="auto"`` takes
 a Newton step from the distributed sums of E[log theta] after each chunk.
 
-All state is tables below one folder of the shared store: the bag by chunk,
-new weights by update, and after each pass the whole model. A model counts once
+All state is tables below one folder of the shared store: the bag by row and
+packed by chunk and block (``lda.pack``), new weights by update, and after each pass the whole model. A model counts once
 its parameters, written last, are complete: a killed fit goes on after the
 last such pass. Each document is read once in every pass.
 """
@@ -24,18 +24,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalake.operators.lda import LdaModel, _expected, digamma, infer
+from qalake.operators.lda import (HOME_VALUES, TILE_VALUES, TILES, LdaModel, add_by_code, arrays, digamma, hashed_terms, infer, matrix,
+                                  pack, spread_out, tile_entries, tile_terms)
 from qalake.sources.questions import path_exists
 
 #: What is left of old weights counts at least this much (rho may be 1).
 LEAST_LEFT = 1e-12
-_MIXES, _TOTALS, _DOCS = -1, -2, -3  # rows of a chunk's sums that belong to no term
+_MIXES, _TOTALS, _DOCS = 0, 1, 2  # rows of a chunk's sums that belong to no term; their home is -1
+_SUMS = "home long, id long, stat array<double>"
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ class OnlineParams:
     alpha: str | tuple[float, ...] = "symmetric"   # or "auto", or one value per topic
     eta: float | None = None
     seed: int = 1
-    block_values: int = 16_000_000   # doubles of the entries x k matrix of one task (128 MB)
+    block_values: int = 16_000_000   # entries x k of one task
     compact_every: int = 8           # updates between two compactions of the weights
 
 
@@ -85,30 +87,38 @@ def newton_alpha(alpha: np.ndarray, mean_log: np.ndarray, n: float, rho: float)
     return new if np.isfinite(new).all() and (new > 0).all() else alpha
 
 
-def _chunk_step(alpha: tuple[float, ...], base: np.ndarray, eta: float):
+def _chunk_step(alpha: tuple[float, ...], base: np.ndarray, eta: float, homes: int):
     a = np.array(alpha)
 
-    def step(entries: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
-        if not len(entries):
-            return pd.DataFrame({"id": [], "stat": []})
-        code = pd.Index(weights["id"]).get_indexer(entries["id"])
-        order = np.lexsort((code, entries["doc_id"].to_numpy()))
-        ids, code, n = entries["doc_id"].to_numpy()[order], code[order], entries["tf"].to_numpy(dtype=float)[order]
-        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        beta = np.exp(digamma(eta + np.stack(weights["e"].to_numpy())) - base)[code]
-        gamma = infer(start, n, beta, a)
-        stat = np.repeat(_expected(gamma), np.diff(np.append(start, len(n))), axis=0) * beta
-        stat *= (n / (stat.sum(axis=1) + 1e-100))[:, None]
-        by_term = np.argsort(code, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(code[by_term]) != 0))
-        log_theta = (digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))).sum(axis=0)
-        docs = np.zeros(len(a))
-        docs[0] = len(start)
-        return pd.DataFrame({"id": np.concatenate([weights["id"].to_numpy()[code[by_term][first]], [_MIXES, _TOTALS, _DOCS]]),
-                             "stat": [*np.add.reduceat(stat[by_term], first, axis=0), log_theta, stat.sum(axis=0), docs]})
+    def step(tiles: pa.Table, weights: pa.Table) -> pa.Table:
+        terms, code = tile_terms(tiles), weights.column("code").to_numpy()
+        beta, known = np.zeros((len(terms), len(a))), np.zeros(len(terms), bool)
+        beta[code], known[code] = np.exp(digamma(eta + matrix(weights.column("e"), len(a))) - base), True
+        stat, whole = np.zeros_like(beta), np.zeros((3, len(a)))
+        for _, size, code, n in tile_entries(tiles, known):
+            b = beta[code]
+            gamma = infer(np.cumsum(size) - size, n, b, a)
+            share = spread_out(gamma, size, n, b)
+            add_by_code(stat, code, share)
+            whole[_MIXES] += (digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))).sum(axis=0)
+            whole[_TOTALS] += share.sum(axis=0)
+            whole[_DOCS, 0] += len(size)
+        own = np.flatnonzero(known)
+        return pa.table({"home": pa.array(np.append(terms[own] % homes, [-1, -1, -1]), pa.int64()),
+                         "id": pa.array(np.append(terms[own], [_MIXES, _TOTALS, _DOCS]), pa.int64()),
+                         "stat": arrays(np.concatenate([stat[own], whole]))})
     return step
 
 
+def _sum_home(t: pa.Table) -> pa.Table:
+    """Sum per id of one home."""
+    ids, code = np.unique(t.column("id").to_numpy(), return_inverse=True)
+    rows = matrix(t.column("stat"), len(t.column("stat")[0]))
+    stat = np.zeros((len(ids), rows.shape[1]))
+    add_by_code(stat, code, rows)
+    return pa.table({"home": pa.array([t.column("home")[0].as_py()] * len(ids), pa.int64()), "id": pa.array(ids), "stat": arrays(stat)})
+
+
 def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(vector_to_array(Summarizer.sum(array_to_vector("stat"))).alias("stat"))
 
@@ -127,8 +137,19 @@ class OnlineLda:
         return self.spark.read.parquet(*[f"{self.path}/{t}" for t in tables])
 
     def _bag(self) -> DataFrame:
+        """The stored rows with term ids, chunk and block."""
+        _, chunks = self._read("meta").first()
+        return self._placed(chunks, *self._read("sizes").first())
+
+    def _placed(self, chunks: int, blocks: int, salt: int) -> DataFrame:
         # with its schema: an empty bag has no file to read one from
-        return self.spark.read.schema("doc_id long, id long, tf double, block long, chunk int").parquet(f"{self.path}/bag")
+        rows = self.spark.read.schema("doc_id long, term string, tf double").parquet(f"{self.path}/rows")
+        return rows.select("doc_id", F.xxhash64("term", F.lit(salt)).alias("id"), "tf",
+                           F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("long").alias("block"),
+                           F.pmod(F.xxhash64("doc_id", F.lit(self.p.seed)), F.lit(chunks)).cast("int").alias("chunk"))
+
+    def _tiles(self) -> DataFrame:
+        return self.spark.read.schema(f"{TILES}, chunk int").parquet(f"{self.path}/tiles")
 
     def _write(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
@@ -145,17 +166,24 @@ class OnlineLda:
             return
         p = self.p
         rows = bag.where(F.col("term").isNotNull() & (F.col("tf") > 0)).select("doc_id", "term", F.col("tf").cast("double").alias("tf"))
-        if not self._done("terms"):
-            ids = rows.select("term").distinct().select("term", F.monotonically_increasing_id().alias("id"))
-            self._write(ids.select("term", "id", self._start().alias("e")), "terms")
+        if not self._done("rows"):
+            self._write(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "rows")   # the bag is computed once
+        rows = self.spark.read.schema("doc_id long, term string, tf double").parquet(f"{self.path}/rows")
+        terms, salt = hashed_terms(rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+        self._write(terms.select("term", "id", self._start().alias("e")), "terms")
         n_docs, n_rows = rows.agg(F.count_distinct("doc_id"), F.count("*")).first()
         chunks = max(1, math.ceil(n_docs / p.chunk_docs))
         # bounded by a task's memory, and enough for the cores there are
         blocks = max(math.ceil(n_rows / chunks * p.k / p.block_values), min(self.spark.sparkContext.defaultParallelism, p.chunk_docs))
-        (rows.join(self._read("terms").select("term", "id"), "term")
-         .select(F.col("doc_id").cast("long"), "id", "tf", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("long").alias("block"),
-                 F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(chunks)).cast("int").alias("chunk"))
-         .repartition("chunk", "block").write.mode("overwrite").partitionBy("chunk").parquet(f"{self.path}/bag"))
+        self._write(self.spark.createDataFrame([(blocks, salt)], "blocks int, salt int"), "sizes")
+        entries = max(1, TILE_VALUES // p.k)
+
+        def packed(t: pa.Table) -> pa.Table:
+            tiles = pack(t, entries)
+            return tiles.append_column("chunk", pa.array([t.column("chunk")[0].as_py()] * tiles.num_rows, pa.int32()))
+        (self._placed(chunks, blocks, salt).groupBy("chunk", "block")
+         .applyInArrow(packed, f"{TILES}, chunk int")
+         .write.mode("overwrite").partitionBy("chunk").parquet(f"{self.path}/tiles"))
         self._write(self.spark.createDataFrame([(n_docs, chunks)], "docs long, chunks int"), "meta")
 
     def last_pass(self) -> int:
@@ -222,9 +250,9 @@ class OnlineLda:
     def _update(self, s: _State, chunk: int, n: int, weights: list[str], to: str, docs: int) -> tuple[_State, str | None]:
         """One chunk: its terms' weights now, the E-step by blocks, new weights."""
         p = self.p
-        rows = self._bag().where(F.col("chunk") == chunk).select("block", "doc_id", "id", "tf")
-        need = rows.select(F.col("block").alias("part"), F.col("id").alias("need")).distinct()
-        mine = need.select(F.col("need").alias("id")).distinct()
+        tiles = self._tiles().where(F.col("chunk") == chunk).drop("chunk")
+        need = tiles.where("tile = 0").select(F.col("block").alias("part"), F.posexplode("terms").alias("code", "id"))
+        mine = need.select("id").distinct()
         now = self._read("terms").join(mine, "id", "left_semi").select("id", F.col("e").alias("first"))
         if weights:
             held = self._read(*weights).join(mine, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("e", "at"), "t").alias("w"))
@@ -234,17 +262,18 @@ class OnlineLda:
         e = F.when(F.col("w").isNull(), self._decayed(F.col("first"), F.lit(0.0), s)).otherwise(self._decayed(F.col("w.e"), F.col("w.at"), s))
         now = self._write(now.select("id", e.alias("e")), f"{to}/now")
         base = digamma(np.array(s.totals) + self.terms * self.eta)
-        held = need.join(now, F.col("need") == F.col("id")).select("part", F.col("need").alias("id"), "e")
-        sums = self._write(_summed(rows.groupBy("block").cogroup(held.groupBy("part")).applyInPandas(
-            _chunk_step(s.alpha, base, self.eta), "id long, stat array<double>")), f"{to}/sums")
-        whole = {r.id: np.array(r.stat) for r in sums.where("id < 0").collect()}  # three rows
+        held = need.join(now, "id").select("part", "code", "e")
+        homes = max(self.spark.sparkContext.defaultParallelism, math.ceil(need.count() * p.k / HOME_VALUES))
+        sums = self._write(tiles.groupBy("block").cogroup(held.groupBy("part")).applyInArrow(
+            _chunk_step(s.alpha, base, self.eta, homes), _SUMS).groupBy("home").applyInArrow(_sum_home, _SUMS), f"{to}/sums")
+        whole = {r.id: np.array(r.stat) for r in sums.where("home < 0").collect()}  # three rows
         if not whole:
             return s, None
         size = whole[_DOCS][0]
         rho = (p.offset + (n - 1) + s.seen) ** -p.decay
         left, gain = max(1 - rho, LEAST_LEFT), rho * docs / size
         log_left = s.log_left + math.log(left)
-        new = sums.where("id >= 0").join(now, "id").select(
+        new = sums.where("home >= 0").join(now, "id").select(
             "id", F.zip_with("e", "stat", lambda a, b: a * F.lit(left) + b * F.lit(gain)).alias("e"),
             F.lit(log_left).alias("at"), F.lit(s.updates + 1).alias("t"))
         self._write(new, f"{to}/new")
