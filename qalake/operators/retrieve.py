@@ -47,7 +47,8 @@ def _block_count(n: int, per_block: int) -> int:
     return max(1, int(math.ceil(n / max(per_block, 1))))
 
 
-Q_TILE = 2048
+# A tile is 16 MB, and a task holds about six of that size, whatever the blocks hold.
+Q_TILE = 256
 D_TILE = 8192
 
 
@@ -107,7 +108,7 @@ def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 10, *,
                 q_id: str = "q_id", q_vec: str = "vec",
                 d_id: str = "doc_id", d_vec: str = "vec",
                 exclude_self: bool = False,
-                q_block_rows: int = 50_000, d_block_rows: int = 200_000,
+                q_block_rows: int = 50_000, d_block_rows: int = 50_000,
                 min_doc_blocks: int | None = None,
                 digits: int = SIM_DIGITS, q_tile: int = Q_TILE, d_tile: int = D_TILE) -> DataFrame:
     """Exact top-k documents per query by cosine similarity.
