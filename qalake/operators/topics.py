@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_PROBABILITY = 0.01
@@ -197,8 +197,17 @@ def window_occurrences(tokens_long: DataFrame, top: DataFrame, window: int,
                        F.explode(F.sequence(lo, hi)).alias("start")).distinct())
 
 
+#: Words of a topic that share one long of a window mask.
+MASK_BITS = 60
+
+
+def _kept(top: DataFrame, group: str) -> DataFrame:
+    """The (small) word list, computed once: every branch reads it."""
+    return top if top.is_cached else top.select(group, "rank", "term").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def window_counts(tokens_long: DataFrame, top: DataFrame, window: int,
-                  group: str = "topic") -> tuple[DataFrame, DataFrame, "Column"]:
+                  group: str = "topic") -> tuple[DataFrame, DataFrame, Column]:
     """Boolean sliding-window counts without enumerating windows.
 
     Returns ``(p1, p2, W)``: windows containing each top word
@@ -206,48 +215,53 @@ def window_counts(tokens_long: DataFrame, top: DataFrame, window: int,
     ``(group, ra, rb, c2)`` and the total number of windows (a scalar
     subquery). An occurrence at p lies in windows ``[max(0, p-w+1),
     min(p, nwin-1)]``; the windows holding a word are the union of its
-    occurrences' intervals, measured in one ``lag`` pass over the sorted
-    occurrences (starts and ends both grow with p). Pairs use
-    |A n B| = |A| + |B| - |A u B|, the union taken over the merged
-    occurrences of both words -- each occurrence is copied to the n-1 pairs
-    of its word only, so the work is linear in occurrences."""
-    # Several branches read these; keep them once (MEMORY_AND_DISK, rebuilt
-    # from lineage if an executor is lost) instead of re-tokenising per branch.
-    top = top.select(group, "rank", "term").persist(StorageLevel.MEMORY_AND_DISK)
-    n = (tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    occurrences' intervals, made disjoint in one ``lag`` pass over the sorted
+    occurrences (starts and ends both grow with p). Their starts and ends cut a
+    document into stretches of windows with the same words: a running sum of
+    the words' bits. Lengths are added up per set of words, and words and pairs
+    are counted on these sums. So each occurrence gives two rows, whatever the
+    number of words.
+
+    Where ``tokens_long`` has a column ``last`` (a document's last position),
+    it is read once; else twice."""
+    top = _kept(top, group)
+    by_rank = Window.partitionBy(group).orderBy("rank")
+    coded = top.withColumn("code", (F.dense_rank().over(by_rank) - 1).cast("int"))
+    hit = F.broadcast(coded.withColumn("hit", F.lit(True)))
+    if "last" in tokens_long.columns:
+        kept = (tokens_long.join(hit, "term", "left").where(F.col("hit") | (F.col("pos") == F.col("last")))
+                .select("doc_id", "last", group, "code", "pos", "hit").persist(StorageLevel.MEMORY_AND_DISK))
+        n, occ = kept.groupBy("doc_id").agg(F.max("last").alias("last")), kept.where("hit").drop("last")
+    else:
+        n, occ = tokens_long.groupBy("doc_id").agg(F.max("pos").alias("last")), tokens_long.join(hit, "term")
     nwin = F.greatest(F.col("last") + 1 - F.lit(window) + 1, F.lit(1))
     W = n.agg(F.sum(nwin)).scalar()
-    occ = (tokens_long.join(top, "term").join(n, "doc_id")
-           .select("doc_id", group, "rank", "pos",
-                   F.greatest(F.col("pos") - F.lit(window - 1), F.lit(0)).alias("lo"),
-                   F.least(F.col("pos"), nwin - 1).alias("hi"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
-
-    def union_len(df: DataFrame, part: list[str]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy("pos")
-        start = F.greatest(F.col("lo"), F.coalesce(F.lag("hi").over(w) + 1, F.col("lo")))
-        return (df.withColumn("_c", F.greatest(F.col("hi") - start + 1, F.lit(0)))
-                .groupBy(*part).agg(F.sum("_c").alias("len")))
-
-    single = union_len(occ, ["doc_id", group, "rank"]).persist(StorageLevel.MEMORY_AND_DISK)
-    p1 = single.groupBy(group, "rank").agg(F.sum("len").alias("c1"))
-    ranks = top.select(group, "rank")
-    pairs = (ranks.select(group, F.col("rank").alias("ra"))
-             .join(ranks.select(group, F.col("rank").alias("rb")), group)
-             .where(F.col("ra") < F.col("rb")))
-    # each occurrence goes to the n-1 pairs of its word: two equi joins on the
-    # (bounded) pair list of the topic's top words
-    cols = ["doc_id", group, "ra", "rb", "pos", "lo", "hi"]
-    as_a = occ.withColumnRenamed("rank", "ra").join(F.broadcast(pairs), [group, "ra"])
-    as_b = occ.withColumnRenamed("rank", "rb").join(F.broadcast(pairs), [group, "rb"])
-    both = as_a.select(*cols).unionByName(as_b.select(*cols))
-    uni = union_len(both, ["doc_id", group, "ra", "rb"]).withColumnRenamed("len", "lu")
-    sa = single.select("doc_id", group, F.col("rank").alias("ra"), F.col("len").alias("la"))
-    sb = single.select("doc_id", group, F.col("rank").alias("rb"), F.col("len").alias("lb"))
-    p2 = (uni.join(sa, ["doc_id", group, "ra"]).join(sb, ["doc_id", group, "rb"])
-          .groupBy(group, "ra", "rb")
-          .agg(F.sum(F.col("la") + F.col("lb") - F.col("lu")).alias("c2")))
+    occ = occ.join(n, "doc_id").select(
+        "doc_id", group, "code", "pos", F.greatest(F.col("pos") - F.lit(window - 1), F.lit(0)).alias("lo"),
+        F.least(F.col("pos"), nwin - 1).alias("hi"))
+
+    own = Window.partitionBy("doc_id", group, "code").orderBy("pos")
+    lo = F.greatest(F.col("lo"), F.coalesce(F.lag("hi").over(own) + 1, F.col("lo")))
+    bounds = occ.withColumn("lo", lo).where(F.col("lo") <= F.col("hi")).select(
+        "doc_id", group, "code", F.explode(F.array(
+            F.struct(F.col("lo").alias("at"), F.lit(1).cast("long").alias("sign")),
+            F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).cast("long").alias("sign")))).alias("b"))
+    words = (coded.agg(F.max("code")).first()[0] or 0) // MASK_BITS + 1
+    run = Window.partitionBy("doc_id", group).orderBy("at")
+    bit = F.expr(f"b.sign * shiftleft(1L, code % {MASK_BITS})")
+    masks = [F.sum(F.when(F.expr(f"code div {MASK_BITS} = {j}"), bit).otherwise(F.lit(0).cast("long"))).over(run) for j in range(words)]
+    sets = (bounds.select("doc_id", group, "code", "b", F.col("b.at").alias("at"))
+            .select(group, F.array(*masks).alias("words"), (F.lead("at").over(run) - F.col("at")).cast("long").alias("len"))
+            .where("len > 0").groupBy(group, "words").agg(F.sum("len").alias("len")).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def holds(code: str) -> Column:
+        return F.expr(f"shiftright(words[cast({code} div {MASK_BITS} as int)], {code} % {MASK_BITS}) & 1 = 1")
+    one = coded.select(F.col(group).alias("_g"), "rank", "code").distinct()
+    p1 = (sets.join(F.broadcast(one), F.col(group).eqNullSafe(F.col("_g"))).where(holds("code"))
+          .groupBy(group, "rank").agg(F.sum("len").alias("c1")))
+    a, b = (one.select("_g", F.col("rank").alias(r), F.col("code").alias(c)) for r, c in (("ra", "ca"), ("rb", "cb")))
+    p2 = (sets.join(F.broadcast(a.join(b, "_g").where("ca < cb")), F.col(group) == F.col("_g")).where(holds("ca") & holds("cb"))
+          .groupBy(group, "ra", "rb").agg(F.sum("len").alias("c2")))
     return p1, p2, W
 
 
@@ -256,6 +270,7 @@ def coherence_windowed(tokens_long: DataFrame, top: DataFrame, window: int = 10,
                        group: str = "topic") -> DataFrame:
     """c_uci / c_npmi per topic on sliding windows (Roeder et al. 2015):
     P = share of windows containing the word(s); pairs a<b by rank."""
+    top = _kept(top, group)
     p1, p2, W = window_counts(tokens_long, top, window, group)
     ranks = top.select(group, "rank")
     pairs = (ranks.select(group, F.col("rank").alias("ra"))
@@ -282,6 +297,7 @@ def coherence_cv(tokens_long: DataFrame, top: DataFrame, window: int = 110,
     """c_v per topic: NPMI context vectors over boolean sliding windows; each
     word's vector v_i = [NPMI(w_i, w_j)]_j (diagonal included) is compared by
     cosine with the topic's set vector sum_k v_k; mean over words."""
+    top = _kept(top, group)
     p1, p2, W = window_counts(tokens_long, top, window, group)
     ranks = top.select(group, "rank")
     allp = (ranks.select(group, F.col("rank").alias("i"))
