@@ -180,3 +180,56 @@ def test_parts_of_a_big_host(spark, sent):
 
 def test_empty_table(spark):
     assert pages.main_text(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def shared_site(n=240):
+    """Pages of one host, unmarked: a banner on all, lines that only a few pages share, copies, empty pages."""
+    rng = random.Random(7)
+
+    def say(k):
+        return " ".join(f"w{rng.randrange(50000)}" for _ in range(k))
+    banner, lines = say(10), [say(10) for _ in range(40)]
+    htmls = [f"<div>{banner}</div><p>{say(rng.randrange(9, 30))}</p>" + "".join(f"<p>{x}</p>" for j, x in enumerate(lines) if i % (j * 3 + 40) < 2)
+             for i in range(n)]
+    return htmls + htmls[:60] * 2 + ["", "<p>a"] * 3 + ["<p>" + "la " * n for n in (20, 30, 40)]
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+@pytest.mark.parametrize("share", [0.01, 0.03])
+def test_parts_do_not_change_the_result(spark, share, sent):
+    htmls = shared_site()
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)] + [(i, f"http://small.example/{i}", h) for i, h in enumerate(htmls[:5])]
+    rows += [rows[0], (None, "http://h.example/", htmls[3]), (None, "http://h.example/", None)]
+    df = spark.createDataFrame(rows, PAGES)
+    total = sum(len(h) for h in htmls)
+    got = [sorted(map(str, pages.main_text(df, params=pages.PageParams(part_bytes=b, least_share=share, most_sent=sent)).collect()))
+           for b in (10 * total, total // 3, total // 50)]
+    assert got[0] == got[1] == got[2]
+    assert len(got[0]) == len(rows)
+
+
+def test_a_line_of_two_parts_is_found(spark):
+    """Two pages share a line: it repeats on the host wherever the pages lie."""
+    rng = random.Random(3)
+
+    def say(k):
+        return " ".join(f"w{rng.randrange(50000)}" for _ in range(k))
+    line = say(12)
+    own = [say(20) for _ in range(40)]
+    rows = [(i, f"http://h.example/{i}", f"<p>{x}</p>" + (f"<p>{line}</p>" if i < 2 else "")) for i, x in enumerate(own)]
+    for part_bytes in (1 << 20, 700, 200):
+        got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, PAGES), params=pages.PageParams(part_bytes=part_bytes)).collect()}
+        assert {i: r.text for i, r in got.items()} == dict(enumerate(own))
+        assert {i for i, r in got.items() if r.n_repeated == 12} == {0, 1}
+
+
+def test_window_hashes_are_of_the_words():
+    hashes = np.array([5, 6, 7, 5, 6, 7, 5, 6], np.uint64)
+    page = np.array([0, 0, 0, 1, 1, 1, 3, 3])
+    x = pages.stream(page, 4, 4)
+    h = pages.window_hashes(x, hashes, 4)
+    of = x.of[x.windows]
+    assert h[of == 0].tolist() == h[of == 1].tolist() and len(set(h[of == 0])) == 6
+    assert len(set(h[of == 3])) == 5 and not (of == 2).any()
+    c = pages.contents(x, h)
+    assert c[0] == c[1] and len(set(c)) == 3
