@@ -20,6 +20,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing will read again."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def bloom_filter(keys: DataFrame, col: str, log_words: int = 19) -> np.ndarray:
     """Blocked Bloom filter of column ``col`` (long, already well mixed):
     three bits of one 64-bit word per key.

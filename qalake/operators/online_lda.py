@@ -30,8 +30,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalake.operators.lda import (HOME_VALUES, TILE_VALUES, TILES, LdaModel, add_by_code, arrays, digamma, hashed_terms, infer, matrix,
-                                  pack, spread_out, tile_entries, tile_terms)
+from qalake.operators.lda import (HOME_VALUES, TILE_VALUES, TILES, LdaModel, add_by_code, arrays, by_term, digamma, e_step, entries_of,
+                                  hashed_terms, matrix, pack, tile_terms)
 from qalake.sources.questions import path_exists
 
 #: What is left of old weights counts at least this much (rho may be 1).
@@ -94,15 +94,12 @@ def _chunk_step(alpha: tuple[float, ...], base: np.ndarray, eta: float, homes: i
         terms, code = tile_terms(tiles), weights.column("code").to_numpy()
         beta, known = np.zeros((len(terms), len(a))), np.zeros(len(terms), bool)
         beta[code], known[code] = np.exp(digamma(eta + matrix(weights.column("e"), len(a))) - base), True
-        stat, whole = np.zeros_like(beta), np.zeros((3, len(a)))
-        for _, size, code, n in tile_entries(tiles, known):
-            b = beta[code]
-            gamma = infer(np.cumsum(size) - size, n, b, a)
-            share = spread_out(gamma, size, n, b)
-            add_by_code(stat, code, share)
-            whole[_MIXES] += (digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))).sum(axis=0)
-            whole[_TOTALS] += share.sum(axis=0)
-            whole[_DOCS, 0] += len(size)
+        _, size, code, n = entries_of(tiles, known)
+        gamma, theta, share = e_step(size, code, n, beta, a)
+        stat, whole = by_term(size, code, share, theta, beta), np.zeros((3, len(a)))
+        whole[_MIXES] = (digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True))).sum(axis=0)
+        whole[_TOTALS] = stat.sum(axis=0)
+        whole[_DOCS, 0] = len(size)
         own = np.flatnonzero(known)
         return pa.table({"home": pa.array(np.append(terms[own] % homes, [-1, -1, -1]), pa.int64()),
                          "id": pa.array(np.append(terms[own], [_MIXES, _TOTALS, _DOCS]), pa.int64()),

@@ -544,7 +544,7 @@ def topic_relevance(spark, sf):
     prevalence weighted by document length."""
     t = Tables(spark, sf)
     fit = S.LdaFit(t)
-    p = fit.bag.groupBy("term").agg(F.sum("tf").alias("cf"))
+    p = fit.blocks.terms
     p = p.select("term", (F.col("cf") / p.agg(F.sum("cf")).scalar()).alias("p"))
     rel = TP.term_relevance(lda.topic_terms(fit.model), p, 0.6, 5)
     mix = fit.doc_vectors(0.0).select("doc_id", F.posexplode("vec").alias("topic", "w"))
