@@ -475,6 +475,7 @@ def fit(bag: DataFrame | Blocks, k: int, n_passes: int = 5, **kwargs) -> LdaMode
     for following in passes(bag, k, n_passes, **kwargs):
         if model:
             drop(model.placed[1])   # nothing reads the weights of an earlier pass again
+            model.topics.sparkSession._jvm.System.gc()   # Spark deletes a finished pass's shuffle files when the driver's heap is collected
         model = following
     return model
 

@@ -546,7 +546,7 @@ def topic_relevance(spark, sf):
     fit = S.LdaFit(t)
     p = fit.blocks.terms
     p = p.select("term", (F.col("cf") / p.agg(F.sum("cf")).scalar()).alias("p"))
-    rel = TP.term_relevance(lda.topic_terms(fit.model), p, 0.6, 5)
+    rel = TP.term_relevance(lda.relevant_terms(fit.model, p, 0.6, 5), p, 0.6, 5)
     mix = fit.doc_vectors(0.0).select("doc_id", F.posexplode("vec").alias("topic", "w"))
     prev = TP.topic_prevalence(mix, fit.lengths)
     return rel.join(prev, "topic")
