@@ -139,3 +139,14 @@ def test_even_ids_are_dealt_evenly(spark):
     at = spark.createDataFrame([(i,) for i in ids], "id long").select(F.pmod(F.hash("id"), F.lit(8)).alias("at"))
     assert len(set(ids)) == 8 and at.distinct().count() == 8
     assert lda.even_ids(spark, 100) == list(range(100))
+
+
+def test_vectors_of_fitted_documents_take_the_last_weights(spark, monkeypatch):
+    toks, lines = _lines(spark, _texts())
+    b = lda.line_blocks(lines, 3)
+    model = lda.fit(b, 3, 2)
+    fresh = lda.LdaModel(model.topics, model.totals, model.alpha)
+    want = {r.doc_id: r.vec for r in lda.topic_vectors(fresh, toks.where("doc_id is not null").distinct(), b, 0.0).collect()}
+    monkeypatch.setattr(lda, "_weights", None)   # no join of blocks and terms
+    got = {r.doc_id: r.vec for r in lda.topic_vectors(model, toks.where("doc_id is not null").distinct(), b, 0.0).collect()}
+    assert set(got) == set(want) and len(got) == 42 and all(np.allclose(got[d], want[d]) for d in want)
